@@ -114,7 +114,7 @@ def _block_hits(words: np.ndarray, offsets: np.ndarray, items: Items) -> dict[in
     order = np.lexsort((at, item, row))
     at, row, item = at[order], row[order], item[order]
     cuts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])])) if len(at) else np.zeros(0, np.int64)
-    for a, b in zip(cuts, np.append(cuts[1:], len(at)), strict=True):
+    for a, b in zip(cuts, np.append(cuts[1:], len(at))[: len(cuts)], strict=True):
         word, n = items.words[item[a]], len(items.words[item[a]])
         most = allowed_edits(n)
         need, first, end = max(1, n - 2 - 3 * most), offsets[row[a]], offsets[row[a] + 1]
