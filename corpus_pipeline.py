@@ -23,23 +23,23 @@ LEAST_COSINE = 0.05
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter (null and empty ones too) or like no language; a null lang becomes the predicted one."""
-    found = identify_language(docs, learn_prototypes(docs.where(~held_out())))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = identify_language(docs, learn_prototypes(docs.where(~held_out())), out=("__lang", "__score"))
+    kept = found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_COSINE))
+    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group (a null id only where all are null), and one of equal rows."""
-    keyed = docs.withColumns(dict(zip(("k1", "k2"), row_key("doc_id", "text"), strict=True)))
-    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("id"), "text")
-    kept = minhash_dedup(named, "id", "text", similarity=Fraction(4, 5)).where("kept").select("id.k1", "id.k2")
-    return keyed.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*docs.columns)
+    keyed = docs.withColumns(dict(zip(("__k1", "__k2"), row_key("doc_id", "text"), strict=True)))
+    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).alias("id"), "text")
+    kept = minhash_dedup(named, "id", "text", similarity=Fraction(4, 5)).where("kept").select(F.col("id.k1").alias("__k1"), F.col("id.k2").alias("__k2"))
+    return keyed.join(kept, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name="__hits")
+    return found.where(F.size("__hits") == 0).select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

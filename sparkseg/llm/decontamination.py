@@ -162,23 +162,23 @@ def _mark(items: Items):
     return run
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Adds `hits`: (item, at, words, edits) for each place where an item is within a fifth of its words in edits.
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", name: str = "hits") -> DataFrame:
+    """Adds `hits` (under that name or another): (item, at, words, edits) for each place where an item is within a fifth of its words in edits.
 
     Words are compared with A-Z lower-cased; items below ten words must occur unchanged.  A null or empty
     text has no hits, and items without words, or with a null id, are nobody's.  Rows are judged one by
     one and nothing is shuffled.  A benchmark beyond ITEM_BYTES goes over the texts in blocks.  A column
-    `hits` is replaced; all others stay.
+    of that name is replaced; all others stay.
     """
     given = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("body"))
     size = given.agg(F.sum(F.octet_length("body") + 64)).first()[0] or 0
     parts = int(size // ITEM_BYTES) + 1
-    kept = [c for c in docs.columns if c != "hits"]
+    kept = [c for c in docs.columns if c != name]
     out = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{text_col}`").cast("string").alias("body"), F.array().cast(_HITS).alias("hits"))
     for part in range(parts):
         rows = (given if parts == 1 else given.where(F.pmod(F.xxhash64("id", "body"), F.lit(parts)) == part)).orderBy("id", "body").collect()  # at most about ITEM_BYTES
         out = out.mapInArrow(_mark(Items.of([r[0] for r in rows], [r[1] for r in rows])), out.schema)
-    return out.drop("body").toDF(*kept, "hits")
+    return out.drop("body").toDF(*kept, name)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

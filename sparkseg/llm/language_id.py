@@ -137,19 +137,19 @@ def _predict(names: list[str], prototypes: np.ndarray):
     return run
 
 
-def identify_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score (the cosine, 0 to 1), in place of columns of these names.
+def identify_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds lang_pred and score (the cosine, 0 to 1) under the names of out, in place of columns of these names.
 
     A null text, or one without a letter, is `und` with score 0, and so is every text if nothing was
     learned.  Of equal cosines the first language by name wins.  Nothing but the text is looked at.
     """
     names = sorted(prototypes)
     table = np.stack([prototypes[n] for n in names]) if names else np.zeros((1, DIMENSIONS), np.float32)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in out]
     fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
-    out = docs.select(*fields, F.col(f"`{text_col}`").cast("string").alias("body")).mapInArrow(_predict(names, table), f"{schema}{', ' * bool(schema)}lang_pred string, score double")
-    return out.toDF(*kept, "lang_pred", "score")
+    found = docs.select(*fields, F.col(f"`{text_col}`").cast("string").alias("body")).mapInArrow(_predict(names, table), f"{schema}{', ' * bool(schema)}lang_pred string, score double")
+    return found.toDF(*kept, *out)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

@@ -93,8 +93,12 @@ def find_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] =
     A null text is empty and has none.  Matches that fail their check are dropped, and nothing is tried
     again inside them.  Spans of different kinds may overlap.  A column `pii` is replaced; others stay.
     """
+    return docs.withColumn("pii", _all_spans(text_col, kinds))
+
+
+def _all_spans(text_col: str, kinds: tuple[Kind, ...]) -> Column:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.withColumn("pii", F.array_sort(F.concat(*(_spans(text, i, k) for i, k in enumerate(kinds)))))
+    return F.array_sort(F.concat(*(_spans(text, i, k) for i, k in enumerate(kinds))))
 
 
 def redact_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -108,9 +112,11 @@ def redact_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...]
         piece = F.array(F.substr(text, (a["at"] + 1).cast("int"), (x["s"] - a["at"]).cast("int")), F.get(marks, x["kind"]))
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(fresh, F.concat(a["out"], piece)).otherwise(a["out"]).alias("out"))
 
-    done = let(F.aggregate(F.col("pii"), start, step), lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, (a["at"] + 1).cast("int"))))
-    out = find_pii(docs, text_col, kinds)
-    return out.withColumn(text_col, F.when(F.size("pii") == 0, text).otherwise(done)).drop("pii").select(*docs.columns)
+    def masked(spans: Column) -> Column:
+        done = let(F.aggregate(spans, start, step), lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, (a["at"] + 1).cast("int"))))
+        return F.when(F.size(spans) == 0, text).otherwise(done)
+
+    return docs.withColumn(text_col, let(_all_spans(text_col, kinds), masked))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
