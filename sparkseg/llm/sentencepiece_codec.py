@@ -110,14 +110,18 @@ class Model:
                     out.append((-score, -len(piece) if blank else 0, ids[piece[:i]], ids[piece[i:]], piece[:i], piece[i:]))
         return [x[4:] for x in sorted(out)]
 
-    def tokenizer(self):
-        """The model as a tokenizer of the tokenizers library."""
+    def tokenizer(self, decoding: bool = False):
+        """The model as a tokenizer of the tokenizers library.
+
+        Its unigram lattice would also match the names of control and byte pieces in a text, so when encoding
+        these have names that no text holds, and the codec puts the bytes of unknown stretches.
+        """
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
         if self.kind == BPE:
             core = models.BPE({p: i for i, (p, _, _) in enumerate(self.pieces)}, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
         else:
-            core = models.Unigram([(p, s) for p, s, _ in self.pieces], self.unknown, self.byte_fallback)
+            core = models.Unigram([(p if kind == NORMAL or decoding else f"\U0010ffff{i}", s) for i, (p, s, kind) in enumerate(self.pieces)], self.unknown, False)
         out = Tokenizer(core)
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.squeeze:
@@ -155,6 +159,7 @@ class Codec:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.model = Model.parse(data)
         self.tokenizer = self.model.tokenizer()
+        self.decoder = self.tokenizer if self.model.kind == BPE else self.model.tokenizer(decoding=True)
         self.plain = self.model.chunked and not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
         self.reference = None
         if parity:
@@ -162,6 +167,7 @@ class Codec:
 
             self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         pieces = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
+        self.byte_ids = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == BYTE}
         self.leads = np.array([kind != BYTE and p.startswith(MARK) for p, _, kind in self.model.pieces])
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.piece_ends = np.cumsum([len(p) for p in pieces])
@@ -175,7 +181,8 @@ class Codec:
         self.size: list[int] = []
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else []
+        ids = [self._with_bytes(e) for e in found] if self.model.kind == UNIGRAM and self.model.byte_fallback else [e.ids for e in found]
         if self.reference is not None:
             wanted = self.reference.encode(texts) if texts else []
             if ids != wanted:
@@ -183,6 +190,12 @@ class Codec:
                 raise ValueError(f"the libraries disagree on {bad[:200]!r}")
         return ids
 
+    def _with_bytes(self, encoding) -> list[int]:
+        unknown, out = self.model.unknown, []
+        for i, token in zip(encoding.ids, encoding.tokens, strict=True):
+            out += [i] if i != unknown else [self.byte_ids[b] for b in token.encode()]
+        return out
+
     def _keep(self, chunks: list[str]) -> None:
         """Encodes chunks joined by spaces: the ids of one end where a piece begins with the mark."""
         if not chunks:
@@ -249,7 +262,7 @@ class Codec:
         return out[1:] if self.model.dummy_prefix and out[:1] == b" " else out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return self.decoder.decode_batch(ids, skip_special_tokens=False)
 
 
 def _encode(data: bytes, threads: int, parity: bool, text_at: int):

@@ -256,7 +256,7 @@ def test_sentencepiece_parity(spark, sf_dir, kind):
 
     model = sentencepiece_codec.load_model(spark) if kind == "bpe" else unigram_model()
     reference = sentencepiece.SentencePieceProcessor(model_proto=model)
-    odd = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, "  a   b", "x▁y", " a", "a ", "日本 語😀", "\x00", "<s> </s>", " " * 51 + "q", "the cats thing", "x" * 300 + " the"])], "doc_id long, text string")
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, "  a   b", "x▁y", " a", "a ", "日本 語😀", "\x00", "<s> </s> <0x0A>", " " * 51 + "q", "the cats thing", "x" * 300 + " the"])], "doc_id long, text string")
     docs = odd.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")) if kind == "bpe" else odd
     found = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_texts(docs, model), model).collect()
     for r in found:
