@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, panel
 from ..operators import neighbours as nb
 from ..operators import series as se
+from ..streaming.online import OnlineSegmentation
 
 W, K, M = 12, 3, 60
 EUCLID = "euclidean_distance"
@@ -169,13 +171,33 @@ r AS (SELECT series_id, min(t) AS "start", max(t) + 1 AS "end", state FROM g GRO
 _U_SQL = "u AS (SELECT CAST(user_id AS VARCHAR) AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value AS v FROM events)"
 
 
+def _segmented(p: DataFrame, **settings) -> DataFrame:
+    """(series_id, n, change_points, scores) of every series, those without a change point too."""
+    cps = panel.segment(p, **settings).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("cp", "score"))).alias("c"))
+    out = p.groupBy("series_id").agg(F.count("*").alias("n")).join(cps, "series_id", "left")
+    none = F.array().cast("array<long>")
+    return out.select("series_id", "n", F.coalesce(F.transform("c", lambda x: x["cp"]), none).alias("change_points"), F.coalesce(F.transform("c", lambda x: F.round(x["score"], 9)), F.array().cast("array<double>")).alias("scores"))
+
+
 def segment_users(spark, sf_dir):
     """Change points of all user series, and of the hourly series."""
-    return panel.segment(users(spark, sf_dir).unionByName(hourly(spark, sf_dir).withColumn("value", F.col("value").cast("double"))), window_size=5)
+    return _segmented(users(spark, sf_dir).unionByName(hourly(spark, sf_dir).withColumn("value", F.col("value").cast("double"))), window_size=5)
 
 
 def segment_shipped(spark, sf_dir):
-    return panel.segment(shipped(spark, sf_dir))
+    return _segmented(shipped(spark, sf_dir))
+
+
+def stream_replay(spark, sf_dir):
+    """The online segmentation over stored series, point by point: what a stream of them would have made known."""
+    p = vectors(spark, sf_dir).unionByName(hourly(spark, sf_dir).withColumn("value", F.col("value").cast("double")))
+
+    def run(key, frame):
+        model = OnlineSegmentation(n_timepoints=min(600, max(60, len(frame))), window_size=5)
+        known = sum(model.update(v) for v in frame.sort_values("t")["value"].tolist())
+        return pd.DataFrame({"series_id": [key[0]], "n": [len(frame)], "n_change_points": [int(known)], "last_cp": [model.last_cp]})
+
+    return p.groupBy("series_id").applyInPandas(run, "series_id string, n long, n_change_points long, last_cp long")
 
 
 def multichannel_profile(spark, sf_dir):
@@ -195,7 +217,7 @@ def states_vectors(spark, sf_dir):
 QUERIES = {
     "knn_self_join": knn_hourly, "profile_roc_auc": profile_auc, "profile_f1": profile_f1, "split_validated": split_hourly, "rolling_stats": rolling_users, "min_max_scaled": scaled_users, "rolled_slice": rolled_users, "suss_scores": suss_scores,
     "window_sizes": window_sizes, "covering": covering, "cp_distance": cp_distance, "nearest_cp": nearest_cp, "score_summary": score_summary, "event_segments": event_segments, "state_transitions": event_transitions, "dense_states": dense_labels, "macro_f1": state_f1,
-    "segment_panel": segment_users, "segment_long": segment_shipped, "multichannel_profile": multichannel_profile, "detect_states": states_vectors,
+    "segment_panel": segment_users, "segment_long": segment_shipped, "multichannel_profile": multichannel_profile, "detect_states": states_vectors, "stream_replay": stream_replay,
 }
 
 ORACLE_SQL = {
