@@ -147,7 +147,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     """(k1, k2, body) in; (k1, k2, place, mask) out: place is first window << 8 | windows, mask has a bit for each repeated one."""
     n = partitions(docs.sparkSession)
     segments = docs.mapInArrow(_segments(window, anchor), "anchor long, content long, k1 long, k2 long, place long")
-    again = segments.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    again = cut(segments.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))  # read back, so that the join below may split a hot anchor's rows
     segments = cut(segments.join(again, "anchor", "left_semi"))
     kinds = segments.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "place")).alias("one"))
     open_anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1")
