@@ -149,7 +149,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     segments = docs.mapInArrow(_segments(window, anchor), "anchor long, content long, k1 long, k2 long, place long")
     again = cut(segments.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))  # read back, so that the join below may split a hot anchor's rows
     segments = cut(segments.join(again, "anchor", "left_semi"))
-    kinds = segments.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "place")).alias("one"))
+    kinds = cut(segments.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "place")).alias("one")))
     open_anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1")
     wanted = kinds.join(open_anchors, "anchor").select("one.k1", "one.k2", F.struct("one.place", "anchor", "content", "copies", (F.col("kinds") > hot).alias("hot")).alias("w"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
