@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .quality_rules import let
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+_BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.7, "ip|host|server|address", "[IP]"),
     Kind("card", r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++", "", 0.8, "card|visa|pay|credit", "[CARD]"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, "phone|call|tel|mobile", "[PHONE]"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", "", 0.8, "iban|account|bank|konto", "[IBAN]"),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", "", 0.8, "iban|account|bank|konto", "[IBAN]"),
 )
 _SPANS = "array<struct<s:bigint,kind:int,e:bigint,score:double>>"
 
@@ -60,7 +60,7 @@ def _confirmed(kind: str, match: Column) -> Column:
         return let(F.regexp_replace(match, r"[\x20-]", ""), lambda d: F.when(F.length(d).between(14, 19), luhn(d)).otherwise(False))
     if kind == "phone":
         return F.length(F.regexp_replace(match, "[^0-9]", "")).between(10, 15)
-    return mod97(match) if kind == "iban" else F.lit(True)
+    return mod97(F.translate(match, " ", "")) if kind == "iban" else F.lit(True)
 
 
 def _spans(text: Column, number: int, kind: Kind) -> Column:
@@ -119,14 +119,19 @@ def redact_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...]
     return docs.withColumn(text_col, let(_all_spans(text_col, kinds), masked))
 
 
-def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "pii")
+def span_digest(docs: DataFrame) -> DataFrame:
+    """Of (doc_id, text): counts by kind, the hash of the first four kinds' spans, and all spans as text."""
+    found = find_pii(docs).select("doc_id", "pii")
     names = F.array(*(F.lit(k.name) for k in KINDS))
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["s"], x["e"])), ",")
     count = lambda i: F.size(F.filter("pii", lambda x: x["kind"] == i)).cast("long")
     return found.select("doc_id", *(count(i).alias(f"n_{KINDS[i].name}") for i in range(4)), F.sha2(listed(F.filter("pii", lambda x: x["kind"] < 4)), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def _sql_kind(number: int, name: str, pattern: str, check: str) -> str:
     return f"""SELECT r, {number} AS k, '{name}' AS name, m, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY r ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
     FROM (SELECT r, unnest(ms) AS m, unnest(gaps[:len(ms)]) AS gap, generate_subscripts(ms, 1) AS j FROM (SELECT r, regexp_extract_all(text, '{pattern}') AS ms, regexp_split_to_array(text, '{pattern}') AS gaps FROM d))
@@ -134,14 +139,14 @@ def _sql_kind(number: int, name: str, pattern: str, check: str) -> str:
 
 
 _LUHN = "CASE WHEN length(regexp_replace(m, '[ -]', '', 'g')) BETWEEN 14 AND 19 THEN list_sum(list_transform(string_split(reverse(regexp_replace(m, '[ -]', '', 'g')), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INT) ELSE CAST(x AS INT) * 2 - CASE WHEN CAST(x AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0 ELSE false END"
-_MOD97 = "CAST(array_to_string(list_transform(string_split(m[5:] || m[:4], ''), lambda x: CASE WHEN x >= 'A' THEN CAST(ascii(x) - 55 AS VARCHAR) ELSE x END), '') AS VARCHAR)"
+_MOD97 = "CAST(array_to_string(list_transform(string_split(replace(m, ' ', '')[5:] || m[:4], ''), lambda x: CASE WHEN x >= 'A' THEN CAST(ascii(x) - 55 AS VARCHAR) ELSE x END), '') AS VARCHAR)"
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
 a AS ({_sql_kind(0, "email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "true")}
 UNION ALL {_sql_kind(1, "ip", "[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)", "list_bool_and(list_transform(string_split(m, '.'), lambda x: CAST(x AS HUGEINT) <= 255))")}
 UNION ALL {_sql_kind(2, "card", "[0-9](?:[ -]?[0-9])+", _LUHN)}
 UNION ALL {_sql_kind(3, "phone", "[+][0-9][ ().0-9-]+[0-9]", "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 10 AND 15")}
-UNION ALL {_sql_kind(4, "iban", "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", f"list_reduce(list_transform(string_split({_MOD97}, ''), lambda x: CAST(x AS INT)), lambda p, q: (p * 10 + q) % 97) = 1")}),
+UNION ALL {_sql_kind(4, "iban", "[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?", f"list_reduce(list_transform(string_split({_MOD97}, ''), lambda x: CAST(x AS INT)), lambda p, q: (p * 10 + q) % 97) = 1")}),
 s AS (SELECT r, k, name || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT) AS t, s FROM a),
 g AS (SELECT r, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, count(*) FILTER (k = 3) AS n3, string_agg(t, ',' ORDER BY s, k) FILTER (k < 4) AS base, string_agg(t, ',' ORDER BY s, k) AS spans FROM s GROUP BY r)
 SELECT doc_id, coalesce(n0, 0) AS n_email, coalesce(n1, 0) AS n_ip, coalesce(n2, 0) AS n_card, coalesce(n3, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans

@@ -138,7 +138,7 @@ def test_quality_and_pii_on_odd_rows(spark, same_as_sql):
     assert pii.redact_pii(docs).select("pii").distinct().collect()[0][0] == 5
 
 
-PRIVATE = ["a@b.c a@b.c%d@e.f x@y", "1.2.3.4 999.1.1.1 1.2.3.4.5 001.02.003.255", "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111111111111111.", "+1 (807) 555-5623 +12 3 +49", "pay DE89370400440532013000 or GB82WEST12345698765432 or GB82WEST12345698765433", "é" * 5 + "x@y.zz" + "\n+44 20 7946 0958 x@y.zz", "9" * 30000, "a." * 20000 + "@b.c", None, "", "@", "1 " * 9000]
+PRIVATE = ["a@b.c a@b.c%d@e.f x@y", "1.2.3.4 999.1.1.1 1.2.3.4.5 001.02.003.255", "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111111111111111.", "+1 (807) 555-5623 +12 3 +49", "pay DE89370400440532013000 or GB82WEST12345698765432 or GB82WEST12345698765433", "é" * 5 + "x@y.zz" + "\n+44 20 7946 0958 x@y.zz", "9" * 30000, "a." * 20000 + "@b.c", None, "", "@", "1 " * 9000, "10.0.0.1 0.0.0.0 00.0.256.1 192.168.0.000 0.0.0.300", "IBAN DE89 3704 0044 0532 0130 00, GB82 WEST 1234 5698 7654 32."]
 
 
 def test_pii_spans(spark, same_as_sql):
@@ -148,6 +148,9 @@ def test_pii_spans(spark, same_as_sql):
     assert spans[0] == [("a@b.c", "email"), ("a@b.c", "email"), ("%d@e.f", "email")]
     assert [x for x in spans[4] if x[1] == "iban"] == [("DE89370400440532013000", "iban"), ("GB82WEST12345698765432", "iban")]
     assert [x[0] for x in spans[2]] == ["4111 1111 1111 1111", "4111111111111111"]
+    assert [x[0] for x in spans[12]] == ["10.0.0.1", "0.0.0.0", "192.168.0.000"]
+    assert [x[0] for x in spans[13] if x[1] == "iban"] == ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    same_as_sql(pii.span_digest(docs), pii.ORACLE_SQL, {"documents": docs.toArrow()})
     clean = {r.doc_id: r.text for r in pii.redact_pii(docs).collect()}
     assert clean[5] == "ééééé[EMAIL]\n[PHONE] [EMAIL]" and clean[8] is None and clean[6] == PRIVATE[6]
     scores = {x.score for r in found.where("doc_id = 2").collect() for x in r.pii}
