@@ -110,8 +110,8 @@ class Model:
                     out.append((-score, -len(piece) if blank else 0, ids[piece[:i]], ids[piece[i:]], piece[:i], piece[i:]))
         return [x[4:] for x in sorted(out)]
 
-    def tokenizer(self, decoding: bool = False):
-        """The model as a tokenizer of the tokenizers library.
+    def tokenizer(self, decoding: bool = False, single: bool = False):
+        """The model as a tokenizer of the tokenizers library; single: for marked words without runs of spaces, each met once.
 
         Its unigram lattice would also match the names of control and byte pieces in a text, so when encoding
         these have names that no text holds, and the codec puts the bytes of unknown stretches.
@@ -119,7 +119,7 @@ class Model:
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
         if self.kind == BPE:
-            core = models.BPE({p: i for i, (p, _, _) in enumerate(self.pieces)}, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
+            core = models.BPE({p: i for i, (p, _, _) in enumerate(self.pieces)}, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback, cache_capacity=0 if single else 10_000)
         else:
             core = models.Unigram([(p if kind == NORMAL or decoding else f"\U0010ffff{i}", s) for i, (p, s, kind) in enumerate(self.pieces)], self.unknown, False)
         out = Tokenizer(core)
@@ -127,6 +127,9 @@ class Model:
         if self.squeeze:
             steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
         steps += [normalizers.Prepend(MARK)] * self.dummy_prefix + [normalizers.Replace(" ", MARK)]
+        if single:
+            out.pre_tokenizer = pre_tokenizers.Metaspace(MARK, "never", True)
+            return out
         out.normalizer = normalizers.Sequence(steps)
         if self.chunked:
             out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
@@ -161,6 +164,7 @@ class Codec:
         self.tokenizer = self.model.tokenizer()
         self.decoder = self.tokenizer if self.model.kind == BPE else self.model.tokenizer(decoding=True)
         self.plain = self.model.chunked and not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
+        self.single = self.model.tokenizer(single=True) if self.plain else self.tokenizer
         self.reference = None
         if parity:
             import sentencepiece
@@ -177,11 +181,13 @@ class Codec:
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.int32), 0
-        self.first: list[int] = []
-        self.size: list[int] = []
+        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else []
+    def _encode(self, texts: list[str], single: bool = False) -> list[list[int]]:
+        marked = [MARK + t.replace(" ", MARK) for t in texts] if single else texts
+        core = self.single if single else self.tokenizer
+        run = core.encode_batch_fast if self.model.kind == BPE else core.encode_batch  # the fast form leaves out the tokens' texts
+        found = run(marked, add_special_tokens=False) if texts else []
         ids = [self._with_bytes(e) for e in found] if self.model.kind == UNIGRAM and self.model.byte_fallback else [e.ids for e in found]
         if self.reference is not None:
             wanted = self.reference.encode(texts) if texts else []
@@ -200,7 +206,7 @@ class Codec:
         """Encodes chunks joined by spaces: the ids of one end where a piece begins with the mark."""
         if not chunks:
             return
-        lists = self._encode([" ".join(chunks[i : i + 256]) for i in range(0, len(chunks), 256)])
+        lists = self._encode([" ".join(chunks[i : i + 256]) for i in range(0, len(chunks), 256)], single=True)
         ids = np.concatenate([np.array(x, np.int32) for x in lists])
         first = np.flatnonzero(self.leads[ids])
         if len(first) != len(chunks):
@@ -208,10 +214,11 @@ class Codec:
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        for i, chunk in enumerate(chunks):
-            self.place[chunk] = len(self.first) + i
-        self.first += (first + self.used).tolist()
-        self.size += np.diff(np.append(first, len(ids))).tolist()
+        have, to = len(self.place), len(self.place) + len(chunks)
+        if to > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros(to, np.int64)]) for x in (self.first, self.size))
+        self.first[have:to], self.size[have:to] = first + self.used, np.diff(np.append(first, len(ids)))
+        self.place.update(zip(chunks, range(have, to), strict=True))
         self.used += len(ids)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -228,12 +235,12 @@ class Codec:
             else:
                 chunks.append(None)
                 whole.append(i)
-        fresh = {c for x in chunks if x for c in x if c not in self.place}
-        self._keep(sorted(c for c in fresh if len(c) <= 64))
-        long = sorted(c for c in fresh if len(c) > 64)
+        fresh = set().union(*(x for x in chunks if x)).difference(self.place)
+        self._keep([c for c in fresh if len(c) <= 64])
+        long = [c for c in fresh if len(c) > 64]
         of_long = dict(zip(long, self._encode(long), strict=True))
         of_whole = dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
-        first, size, place = np.array(self.first, np.int64), np.array(self.size, np.int64), self.place
+        first, size, place = self.first, self.size, self.place
         parts, ends, total = [], [], 0
         for i, x in enumerate(chunks):
             if x is None:
