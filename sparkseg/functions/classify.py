@@ -7,6 +7,8 @@ from dataclasses import dataclass
 import numpy as np
 
 from .kernels import as_series, pick, segment, window_size_of
+from .ridge import Ridge
+from .window_classifiers import CompetingKernels, ConvolutionNet, DilatedShapelets, ProximityTrees, SummaryForest, SymbolicWords
 
 
 def windows_of(x: np.ndarray, labels: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,34 +44,7 @@ class Dummy:
         return self.rng.choice(self.classes, len(x))
 
 
-class _Ridge:
-    """One-against-all ridge regression on standardised features; the penalty with the least leave-one-out error."""
-
-    def fit(self, x, y):
-        f = self.features(x, True)
-        self.mean, self.scale = f.mean(0), np.where(f.std(0) < 1e-9, 1, f.std(0))
-        f = (f - self.mean) / self.scale
-        self.classes = np.unique(y)
-        target = np.where(y[:, None] == self.classes[None], 1.0, -1.0)
-        self.bias = target.mean(0)
-        u, s, v = np.linalg.svd(f, full_matrices=False)
-        best = None
-        for penalty in np.logspace(-3, 3, 10):
-            shrink = s**2 / (s**2 + penalty)
-            fitted = u @ (shrink[:, None] * (u.T @ (target - self.bias)))
-            lever = np.clip((u**2 @ shrink) + 1 / len(f), None, 1 - 1e-6)
-            error = (((target - self.bias - fitted) / (1 - lever[:, None])) ** 2).mean()
-            if best is None or error < best[0]:
-                best = error, v.T @ ((s / (s**2 + penalty))[:, None] * (u.T @ (target - self.bias)))
-        self.weights = best[1]
-        return self
-
-    def predict(self, x):
-        f = (self.features(x, False) - self.mean) / self.scale
-        return self.classes[(f @ self.weights + self.bias).argmax(1)]
-
-
-class RandomKernels(_Ridge):
+class RandomKernels(Ridge):
     """Random dilated convolutions; the share above zero and the maximum of each go to a ridge classifier."""
 
     def __init__(self, seed: int, kernels: int = 500):
@@ -99,7 +74,7 @@ class RandomKernels(_Ridge):
         return out
 
 
-class Quantiles(_Ridge):
+class Quantiles(Ridge):
     """Quantiles of halves, quarters and eighths of windows and of their steps, into a ridge classifier."""
 
     def __init__(self, seed: int):
@@ -115,15 +90,14 @@ class Quantiles(_Ridge):
         return np.concatenate(out, axis=1)
 
 
-CLASSIFIERS = {"dummy": Dummy, "rocket": RandomKernels, "quant": Quantiles}
-#: Of these the reference implementations are libraries that this environment lacks.
-NOT_AVAILABLE = ("mrhydra", "weasel", "rdst", "proximityforest", "freshprince", "inception")
+CLASSIFIERS = {
+    "dummy": Dummy, "rocket": RandomKernels, "quant": Quantiles, "mrhydra": CompetingKernels, "weasel": SymbolicWords, "rdst": DilatedShapelets,
+    "freshprince": SummaryForest, "proximityforest": ProximityTrees, "inception": ConvolutionNet,
+}
 
 
 def cross_validated(x: np.ndarray, y: np.ndarray, classifier: str, folds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Truth and out-of-fold predictions over shuffled folds; with fewer than two folds the truth itself."""
-    if classifier in NOT_AVAILABLE:
-        raise NotImplementedError(f"classifier {classifier!r} is not available here; available: {', '.join(CLASSIFIERS)}")
     make, folds = pick(CLASSIFIERS, classifier, "classifier"), min(len(x), folds)
     if folds < 2:
         return y.copy(), y.copy()

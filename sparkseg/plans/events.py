@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..operators import metrics, panel
 from ..operators import neighbours as nb
 from ..operators import series as se
@@ -214,10 +216,93 @@ def states_vectors(spark, sf_dir):
     return panel.states(p, cps, window_size=8, classifier="quant")
 
 
+def knn_complexity(spark, sf_dir):
+    return nb.self_join(_scaled_hourly(spark, sf_dir), W, K, "cinvariant_euclidean_distance").select("i", "rank", "j", F.round("dist", 3).alias("dist"))
+
+
+def knn_znormed(spark, sf_dir):
+    return nb.self_join(_scaled_hourly(spark, sf_dir), W, K).select("i", "rank", "j", F.round("dist", 6).alias("dist"))
+
+
+def knn_constrained(spark, sf_dir):
+    """Neighbours inside hours 100 to 400, counted from 100."""
+    return nb.constrain(nb.self_join(_scaled_hourly(spark, sf_dir), W, K, EUCLID, 100, 400), 100, 400, W).select("i", "rank", "j", "dist")
+
+
+def reverse_neighbours(spark, sf_dir):
+    found = nb.reverse_knn(nb.grouped_knn(_scaled_hourly(spark, sf_dir), W, K, EUCLID))
+    return found.select("j", F.array_join("of", ",").alias("of"))
+
+
+def profile_interpolated(spark, sf_dir):
+    """The AUC profile without gaps over all windows."""
+    th = _thresholds(spark, sf_dir)
+    lengths = th.groupBy("series_id").agg(F.count("*").alias("l"))
+    return nb.interpolated(nb.score_profile(th, W, M), lengths).select("s", F.round("score", 9).alias("score"))
+
+
+def profile_merged(spark, sf_dir):
+    """The larger of the AUC and F1 scores of each split."""
+    th = _thresholds(spark, sf_dir)
+    return nb.merged(nb.score_profile(th, W, M), nb.score_profile(th, W, M, "f1")).select(F.col("s").cast("long").alias("s"), F.round("score", 9).alias("score"))
+
+
+def online_profile(spark, sf_dir):
+    """The online score of each split: windows that start within W of it are left out."""
+
+    def run(key, frame):
+        offsets = frame.sort_values(["i", "rank"])["j"].to_numpy().reshape(-1, K)
+        p = kernels.stream_profile(offsets, W, M)
+        at = np.arange(len(p))[M : len(p) - M]
+        return pd.DataFrame({"s": at, "score": np.where(np.isfinite(p[at]), p[at], np.nan)})
+
+    found = nb.grouped_knn(_scaled_hourly(spark, sf_dir), W, K, EUCLID).groupBy("series_id").applyInPandas(run, "s long, score double")
+    return found.select("s", F.when(~F.isnan("score"), F.round("score", 9)).alias("score"))
+
+
+def segment_values(spark, sf_dir):
+    """The points of each segment as one array: what a segmentation returns when it isn't asked for change points alone."""
+    cuts = users(spark, sf_dir).select("series_id").distinct().select("series_id", F.explode(F.array(F.lit(10).cast("long"), F.lit(25).cast("long"))).alias("cp"))
+    p = users(spark, sf_dir)
+    bounds = se.segments_of(cuts, p.groupBy("series_id").agg(F.count("*").alias("n"))).where("end > start")
+    held = p.join(bounds, "series_id").where("t >= start and t < end").groupBy("series_id", "seg_id").agg(F.array_sort(F.collect_list(F.struct("t", F.round("value", 6).alias("value")))).alias("v"))
+    return held.select("series_id", F.col("seg_id").cast("int").alias("seg_id"), F.size("v").cast("long").alias("n"), F.element_at("v", 1)["value"].alias("first"), F.element_at("v", -1)["value"].alias("last"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["value"]), 4).alias("total"))
+
+
+def labelled_windows(spark, sf_dir):
+    """Half-overlapping windows of user series with the state at their start; starts just before a change are left out."""
+    cut = F.lit(25)
+    w = se.windows(users(spark, sf_dir), 10).where((F.col("i") % 5 == 0) & ~((F.col("i") >= cut - 4) & (F.col("i") < cut)))
+    return w.select("series_id", F.col("i").cast("long").alias("i"), (F.col("i") >= cut).cast("int").alias("state"), F.round(F.aggregate("window", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+def state_confusion(spark, sf_dir):
+    s = _event_states(spark, sf_dir).select(F.col("state").alias("y_true"), F.when(F.col("t") % 4 == 0, F.lit(112)).otherwise(F.col("state")).alias("y_pred"))
+    return panel.confusion(s)
+
+
+def state_scores(spark, sf_dir):
+    """Confusion of the cross-validated window classifier on embeddings cut in two."""
+    p = vectors(spark, sf_dir)
+    return panel.state_scores(p, p.where("t = 32").select("series_id", F.col("t").alias("cp")), "freshprince", 8)
+
+
+def f_measure(spark, sf_dir):
+    truth, found, _ = _truth_found(spark, sf_dir)
+    return metrics.f_measure(truth.withColumn("annotator", (F.col("cp") % 2).cast("int")), found, 1).select("series_id", *(F.round(c, 9).alias(c) for c in ("f", "precision", "recall")))
+
+
+def mutual_information(spark, sf_dir):
+    s = _event_states(spark, sf_dir).select("series_id", F.col("state").alias("truth"), F.when(F.col("t") % 4 == 0, F.lit(112)).otherwise(F.col("state")).alias("state"))
+    return metrics.ami(s).select("series_id", F.round("ami", 9).alias("ami"))
+
+
 QUERIES = {
     "knn_self_join": knn_hourly, "profile_roc_auc": profile_auc, "profile_f1": profile_f1, "split_validated": split_hourly, "rolling_stats": rolling_users, "min_max_scaled": scaled_users, "rolled_slice": rolled_users, "suss_scores": suss_scores,
     "window_sizes": window_sizes, "covering": covering, "cp_distance": cp_distance, "nearest_cp": nearest_cp, "score_summary": score_summary, "event_segments": event_segments, "state_transitions": event_transitions, "dense_states": dense_labels, "macro_f1": state_f1,
     "segment_panel": segment_users, "segment_long": segment_shipped, "multichannel_profile": multichannel_profile, "detect_states": states_vectors, "stream_replay": stream_replay,
+    "knn_complexity": knn_complexity, "knn_znormed": knn_znormed, "knn_constrained": knn_constrained, "reverse_knn": reverse_neighbours, "profile_interpolated": profile_interpolated, "profile_merged": profile_merged, "online_profile": online_profile,
+    "segment_values": segment_values, "labelled_windows": labelled_windows, "state_confusion": state_confusion, "state_scores": state_scores, "f_measure": f_measure, "mutual_information": mutual_information,
 }
 
 ORACLE_SQL = {
@@ -247,4 +332,26 @@ SELECT *, round(n / sum(n) OVER (PARTITION BY series_id, from_state), 9) AS prob
     "dense_states": f"WITH {_ES_SQL} SELECT series_id, t, state FROM e",
     "macro_f1": f"""WITH {_ES_SQL}, y AS (SELECT state AS a, CASE WHEN t % 4 = 0 THEN 112 ELSE state END AS b FROM e), k AS (SELECT a AS c FROM y UNION SELECT b FROM y)
 SELECT round(avg(f), 9) AS f1 FROM (SELECT c, 2.0::DOUBLE * count(*) FILTER (a = c AND b = c) / (count(*) FILTER (a = c) + count(*) FILTER (b = c)) AS f FROM k, y GROUP BY c)""",
+    "knn_complexity": f"""WITH {H_SQL}, g AS (SELECT *, coalesce(power(v - lag(v) OVER (ORDER BY t), 2), 0) AS step FROM x),
+w AS MATERIALIZED (SELECT a.t AS i, list(b.v ORDER BY b.t) AS win, sum(b.step) + 1e-5 AS ce FROM g a JOIN g b ON b.t BETWEEN a.t AND a.t + {W - 1} GROUP BY a.t HAVING count(*) = {W}),
+d AS (SELECT a.i, b.i AS j, list_sum(list_transform(list_zip(a.win, b.win), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) * greatest(a.ce, b.ce) / least(a.ce, b.ce) AS dist FROM w a JOIN w b ON abs(a.i - b.i) > {W // 2})
+SELECT i, CAST(row_number() OVER (PARTITION BY i ORDER BY dist, j) AS INT) AS rank, j, round(dist, 3) AS dist FROM d QUALIFY rank <= {K}""",
+    "knn_znormed": f"""WITH {H_SQL}, w AS MATERIALIZED (SELECT a.t AS i, list(b.v ORDER BY b.t) AS win, avg(b.v) AS m, CASE WHEN stddev_pop(b.v) < 0.001 THEN 1 ELSE stddev_pop(b.v) END AS s FROM x a JOIN x b ON b.t BETWEEN a.t AND a.t + {W - 1} GROUP BY a.t HAVING count(*) = {W}),
+d AS (SELECT a.i, b.i AS j, 2.0::DOUBLE * {W} * (1 - (list_dot_product(a.win, b.win) - {W} * a.m * b.m) / ({W} * a.s * b.s)) AS dist FROM w a JOIN w b ON abs(a.i - b.i) > {W // 2})
+SELECT i, CAST(row_number() OVER (PARTITION BY i ORDER BY dist, j) AS INT) AS rank, j, round(dist, 6) AS dist FROM d QUALIFY rank <= {K}""",
+    "knn_constrained": f"WITH {KNN_SQL}, q AS (SELECT i, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank, j, dist FROM d WHERE i BETWEEN 100 AND {400 - W} AND j BETWEEN 100 AND {400 - W} QUALIFY rank <= {K}) SELECT i - 100 AS i, CAST(rank AS INT) AS rank, j - 100 AS j, dist FROM q",
+    "reverse_knn": f"WITH {KNN_SQL} SELECT j, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS \"of\" FROM knn GROUP BY j",
+    "profile_interpolated": f"""WITH {PROFILE_SQL}, a AS (SELECT s, CASE WHEN tn + fn > 0 AND fp + tp > 0 THEN (1 + tn / (tn + fn) - fp / (fp + tp)) / 2 END AS y FROM c), k AS (SELECT s, y FROM a WHERE y IS NOT NULL),
+b AS (SELECT i AS s, (SELECT max(s) FROM k WHERE k.s <= w.i) AS lo, (SELECT min(s) FROM k WHERE k.s >= w.i) AS hi FROM w)
+SELECT b.s, round(CASE WHEN lo IS NULL THEN h.y WHEN hi IS NULL OR lo = hi THEN l.y ELSE l.y + (h.y - l.y) * (b.s - lo) / (hi - lo) END, 9) AS score FROM b LEFT JOIN k l ON l.s = lo LEFT JOIN k h ON h.s = hi""",
+    "profile_merged": f"WITH {PROFILE_SQL} SELECT s, round(greatest(CASE WHEN tn + fn > 0 AND fp + tp > 0 THEN (1 + tn / (tn + fn) - fp / (fp + tp)) / 2 END, CASE WHEN tp > 0 AND tn > 0 THEN (2.0::DOUBLE * tp / (2 * tp + fp + fn) + 2.0::DOUBLE * tn / (2 * tn + fp + fn)) / 2 END), 9) AS score FROM c",
+    "online_profile": f"""WITH {KNN_SQL}, l AS (SELECT max(i) + 1 AS l FROM w), s AS (SELECT unnest(range({M}, (SELECT l FROM l) - {M})) AS s),
+v AS (SELECT s, i, 2 * count(*) FILTER (j >= s) > {K} AS p, i >= s AS y FROM s, knn WHERE i < s OR i >= s + {W} GROUP BY s, i),
+c AS (SELECT s, count(*) FILTER (p AND y) AS tn, count(*) FILTER (p AND NOT y) AS fn, count(*) FILTER (NOT p AND y) AS fp, count(*) FILTER (NOT p AND NOT y) AS tp FROM v GROUP BY s)
+SELECT s, CASE WHEN tp > 0 AND tn > 0 THEN round((2.0::DOUBLE * tp / (2 * tp + fp + fn) + 2.0::DOUBLE * tn / (2 * tn + fp + fn)) / 2, 9) END AS score FROM c""",
+    "segment_values": f"""WITH {_U_SQL}, g AS (SELECT series_id, t, round(v, 6) AS v, CAST(CASE WHEN t < 10 THEN 0 WHEN t < 25 THEN 1 ELSE 2 END AS INT) AS seg_id FROM u)
+SELECT series_id, seg_id, count(*) AS n, arg_min(v, t) AS first, arg_max(v, t) AS last, round(sum(v), 4) AS total FROM g GROUP BY series_id, seg_id""",
+    "labelled_windows": f"""WITH {_U_SQL} SELECT a.series_id, a.t AS i, CAST(a.t >= 25 AS INT) AS state, round(sum(b.v), 6) AS total FROM u a JOIN u b ON a.series_id = b.series_id AND b.t BETWEEN a.t AND a.t + 9
+WHERE a.t % 5 = 0 AND NOT a.t BETWEEN 21 AND 24 GROUP BY a.series_id, a.t HAVING count(*) = 10""",
+    "state_confusion": f"WITH {_ES_SQL} SELECT state AS y_true, CASE WHEN t % 4 = 0 THEN 112 ELSE state END AS y_pred, count(*) AS n FROM e GROUP BY ALL",
 }

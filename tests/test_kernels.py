@@ -120,11 +120,24 @@ def test_states(classifier):
     x = np.concatenate([np.sin(t * 2 * np.pi / 25), np.sign(np.sin(t * 2 * np.pi / 40)), np.sin(t * 2 * np.pi / 25)]) + np.random.default_rng(0).normal(0, 0.05, 1800)
     found = classify.detect_states(x, [600, 1200], classifier=classifier, sample_size=200)
     assert found.segment_states in ([2, 1, 2], [1, 2, 1]) and found.change_points == [600, 1200] and found.score > 0.9
-    with pytest.raises(NotImplementedError):
-        classify.detect_states(x, [600], classifier="weasel")
+    with pytest.raises(ValueError):
+        classify.detect_states(x, [600], classifier="x")
     assert classify.detect_states(x, []).segment_states == [1]
 
 
+@pytest.mark.parametrize("classifier", sorted(set(classify.CLASSIFIERS) - {"dummy"}))
+def test_window_classifiers(classifier):
+    t, rng = np.arange(600), np.random.default_rng(1)
+    x = np.concatenate([np.sin(t / 4), np.sign(np.sin(t / 7)), np.sin(t / 4) + 0.5 * np.sin(t / 1.7)]) + rng.normal(0, 0.1, 1800)
+    windows, labels = classify.windows_of(kernels.as_series(x), np.repeat([0, 1, 2], 600), 30)
+    truth, found = classify.cross_validated(windows, labels, classifier, 3, 1)
+    assert classify.macro_f1(truth, found) > 0.9
+    assert (classify.cross_validated(windows, labels, classifier, 3, 1)[1] == found).all()
+    two = np.concatenate([windows, rng.normal(size=windows.shape)], axis=1)[::4]
+    for odd in (two, two[:, :, :1], two[:, :, :2], two[:, :, :5], two * 0):  # two channels, windows below a kernel's length, constant ones
+        assert set(classify.cross_validated(odd, labels[::4], classifier, 2, 1)[1]) <= {0, 1, 2}
+
+
 def test_metric_examples():
     assert metrics.true_positives({1, 10, 20, 23}, {3, 8, 20}) == [1, 10, 20]
     assert metrics.true_positives({1, 10, 20, 23}, {1, 3, 5, 8, 20}) == [1, 10, 20]
