@@ -96,11 +96,18 @@ class Items:
 
 def _block_hits(words: np.ndarray, offsets: np.ndarray, items: Items) -> dict[int, list[tuple[int, int, int, int]]]:
     """Row of the block to (item, first word, words, edits): the nearest window of each run of windows within reach."""
-    found: list[tuple[int, int, int, int]] = []
+    out: dict[int, list[tuple[int, int, int, int]]] = {}
+
+    def add(r: int, item: int, p: int, n: int, e: int) -> None:
+        out.setdefault(r, []).append((item, p - int(offsets[r]), n, e))
+
     for n, wanted in items.short.items():
         grams = gram_hashes(words, n).view(np.int64)
         for key, item in wanted:
-            found += [(item, int(p), n, 0) for p in np.flatnonzero(grams == key)]
+            for p in np.flatnonzero(grams == key):
+                r = int(np.searchsorted(offsets, p, side="right") - 1)
+                if p + n <= offsets[r + 1]:
+                    add(r, item, int(p), n, 0)
     grams = gram_hashes(words, 3)
     at = np.flatnonzero(items.maybe[grams >> U64(44)]) if len(items.gram) and len(grams) else np.zeros(0, np.int64)
     hash_at = grams[at].view(np.int64)
@@ -139,12 +146,7 @@ def _block_hits(words: np.ndarray, offsets: np.ndarray, items: Items) -> dict[in
         for run in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts) > n // 2) + 1):
             if len(run):
                 best = run[edits[run].argmin()]
-                found.append((int(item[a]), int(starts[best]), n, int(edits[best])))
-    out: dict[int, list[tuple[int, int, int, int]]] = {}
-    for i, p, n, e in found:
-        r = int(np.searchsorted(offsets, max(p, 0), side="right") - 1)
-        if e or p + n <= offsets[r + 1]:
-            out.setdefault(r, []).append((i, p - int(offsets[r]), n, e))
+                add(int(row[a]), int(item[a]), int(starts[best]), n, int(edits[best]))
     return out
 
 

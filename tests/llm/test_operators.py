@@ -307,3 +307,13 @@ def test_zip64_and_damage():
         assert {k: archive[o : o + n] for k, (o, n) in found.items()} == {"a": b"first", "b": b"second"}
     with pytest.raises(ValueError):
         warc_zip.members(lambda at, n: data[: end - 5][at : at + n], end - 5)
+
+
+def test_decontamination_of_a_head_truncated_item_in_a_later_text():
+    item = [f"i{i}" for i in range(40)]
+    items = decontamination.Items.of([7], [" ".join(item)])
+    for cut in range(1, 4):
+        texts = ["an innocent text of some words", " ".join(item[cut:] + ["and", "more"]), "another one"]
+        block = next(decontamination.blocks(pa.array(texts), lower=True))
+        found = decontamination._block_hits(block.words, block.offsets, items)
+        assert {r: [(h[0], h[3]) for h in hits] for r, hits in found.items()} == {1: [(0, cut)]}
