@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .frames import cut, partitions, row_key
-from .textkernel import U64, blocks, gram_hashes, mix, span_hashes
+from .textkernel import U64, blocks, gram_hashes, mix, span_hashes, text_bytes
 
 TREES, LEAF, BYTES, DEPTH = 10, 1000, 128, 12
 CLUSTER_SHINGLES = 4_000_000
+#: Rows that are compared with one at once.
+_ROWS = 1 << 14
 _SEED = np.random.Generator(np.random.PCG64(71)).integers(1, 2**63, 64 + 2 * BYTES, dtype=np.int64).astype(U64)
 
 
@@ -78,23 +80,20 @@ def _signatures(k: int, trees: int):
     return run
 
 
-def _forest(node: np.ndarray, sketch: np.ndarray, least: int) -> tuple[list, list, np.ndarray]:
-    """Edges of a spanning forest of what agrees in at least `least` bytes, and the roots' rows."""
-    left, a, b, roots, todo = np.arange(len(node)), [], [], [], []
-    while len(left) or todo:
+def _forest(node: np.ndarray, sketch: np.ndarray, least: int) -> tuple[list, list]:
+    """Edges of a spanning forest of what agrees in at least `least` bytes."""
+    left, a, b, todo = np.arange(len(node)), [], [], []
+    while len(left):
         if not todo:
-            roots.append(left[0])
             todo, left = [left[0]], left[1:]
         p = todo.pop()
-        if not len(left):
-            continue
-        near = (sketch[left] == sketch[p]).sum(1) >= least
+        near = np.concatenate([(sketch[left[i : i + _ROWS]] == sketch[p]).sum(1) >= least for i in range(0, max(1, len(left)), _ROWS)])
         found = left[near]
         a += [node[p]] * len(found)
         b += node[found].tolist()
         todo += found.tolist()
         left = left[~near]
-    return a, b, np.array(roots, dtype=np.int64)
+    return a, b
 
 
 def _children(key: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -113,10 +112,10 @@ _STEP = "key long, node long, sketch binary, other long"
 
 
 def _compare(leaf: int, least: int, similarity: float, last: bool):
-    """Rows in the order of keys.  Nodes of up to leaf rows give edges (other is set); larger ones give rows of their children."""
+    """Rows in the order of keys.  Nodes of up to leaf rows, and all at the last depth, give edges (other is set); larger ones give rows of their children."""
 
     def matrix(table: pa.Table) -> np.ndarray:
-        return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BYTES)
+        return np.concatenate([text_bytes(x)[0].reshape(-1, BYTES) for x in table.column("sketch").chunks])
 
     def edges(a: list, b: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.nulls(len(a), pa.binary()), pa.array(b, pa.int64())], names=["key", "node", "sketch", "other"])
@@ -124,20 +123,15 @@ def _compare(leaf: int, least: int, similarity: float, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         have, last_key, large = 0, None, False
-        roots_node, roots_sketch = np.zeros(0, np.int64), np.zeros((0, BYTES), np.uint8)
 
         def settle(a_out: list, b_out: list) -> None:
-            """Compares the rows that are held: one node, or at the last depth a part of one with the roots so far."""
-            nonlocal held, have, roots_node, roots_sketch
-            if have and (have > 1 or len(roots_node)):
+            """Compares the rows that are held: one node, whole."""
+            nonlocal held, have
+            if have > 1:
                 table = pa.concat_tables(held)
-                node, sketch = table.column("node").to_numpy(), matrix(table)
-                if len(roots_node):
-                    node, sketch = np.concatenate([roots_node, node]), np.concatenate([roots_sketch, sketch])
-                a, b, roots = _forest(node, sketch, least)
+                a, b = _forest(table.column("node").to_numpy(), matrix(table), least)
                 a_out += a
                 b_out += b
-                roots_node, roots_sketch = (node[roots], sketch[roots]) if large else (roots_node[:0], roots_sketch[:0])
             held, have = [], 0
 
         def branch() -> pa.RecordBatch:
@@ -159,22 +153,15 @@ def _compare(leaf: int, least: int, similarity: float, last: bool):
                     if large and not last and have:
                         yield branch()
                     settle(a, b)
-                    last_key, large, roots_node = key[at], False, roots_node[:0]
-                    roots_sketch = roots_sketch[:0]
+                    last_key, large = key[at], False
                     if to - at == 1 and to < len(key):  # most nodes hold one class
                         last_key = None
                         continue
-                while at < to:
-                    step = min(to - at, max(1, leaf + 1 - have)) if last else to - at
-                    held.append(table.slice(at, step))
-                    have += step
-                    at += step
-                    large = large or have > leaf
-                    if large:
-                        if last:
-                            settle(a, b)
-                        else:
-                            yield branch()
+                held.append(table.slice(at, to - at))
+                have += to - at
+                large = large or have > leaf
+                if large and not last:
+                    yield branch()
             if a:
                 yield edges(a, b)
         a, b = [], []

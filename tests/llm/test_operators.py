@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sparkseg.llm import decontamination, language_id, pii, quality_rules, sentencepiece_codec, sharding, url_filters, warc_zip
 from sparkseg.llm.components import connected_components
 from sparkseg.llm.fmindex import FMIndex
-from sparkseg.llm.minhash_dedup import minhash_dedup
+from sparkseg.llm.minhash_dedup import BYTES, _compare, minhash_dedup
 from sparkseg.llm.minhash_dedup import ORACLE_SQL as NEAR_SQL
 from sparkseg.llm.queries import ORACLE_SQL, QUERIES
 from sparkseg.llm.substring_dedup import ORACLE_SQL as SUBSTRING_SQL
@@ -317,3 +317,16 @@ def test_decontamination_of_a_head_truncated_item_in_a_later_text():
         block = next(decontamination.blocks(pa.array(texts), lower=True))
         found = decontamination._block_hits(block.words, block.offsets, items)
         assert {r: [(h[0], h[3]) for h in hits] for r, hits in found.items()} == {1: [(0, cut)]}
+
+
+def test_near_dedup_compares_whole_nodes_at_the_last_depth():
+    """A chain whose neighbours alone are similar, in a node larger than leaf and in any order, hangs together."""
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(0, 256, BYTES).astype(np.uint8)]
+    for i in range(199):
+        rows.append(rows[-1].copy())
+        rows[-1][[i * 16 % BYTES + j for j in range(16)]] += 1
+    order = rng.permutation(200)
+    table = pa.table({"key": pa.array([3] * 200, pa.int64()), "node": pa.array(order, pa.int64()), "sketch": pa.array([rows[i].tobytes() for i in order], pa.binary()), "other": pa.nulls(200, pa.int64())})
+    edges = [(a, b) for out in _compare(20, BYTES - 20, 0.85, True)(table.to_batches(max_chunksize=33)) for a, b in zip(out["node"].to_pylist(), out["other"].to_pylist(), strict=True)]
+    assert len(edges) == 199 and {tuple(sorted(e)) for e in edges} == {(i, i + 1) for i in range(199)}
