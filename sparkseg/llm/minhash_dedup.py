@@ -2,20 +2,24 @@
 
 Texts become sets of word shingles; texts with equal sets are one class from then on.  In each of
 `trees` independent trees a class goes to the child of its least shingle under the tree's own order.
-A node of at most `leaf` classes is compared exhaustively by 128 minwise bytes; a larger one branches
-again by a minwise token that its path selects, and by a second one often enough that similar sets
-stay together in 1 / similarity children on average.  A node only names a spanning forest of what it
-finds similar: joined over nodes, forests connect just what all the pairs would.  The clusters that
+A node of at most `leaf` classes is compared exhaustively by 128 minwise bytes, and so is a larger one
+if that takes no more comparisons a class (as in a group of near copies); else it branches again by a
+minwise token that its path selects, and by a second one often enough that similar sets stay together
+in 1 / similarity children on average.  At some depths (COPIES) it branches several times,
+independently, so that losses do not add up with the depth.  A node only names a spanning forest of
+what it finds similar: joined over nodes, forests connect just what all the pairs would.  The clusters that
 result are supersets of the wanted ones, and each is then settled on full shingle sets.
 
 At a similarity s of s0 or more, a pair misses all the trees' first nodes with (1 - s0) ** trees
-(6e-9 at 0.85 and 10), and fails the byte comparison at five standard deviations (3e-7).
+(6e-9 at 0.85 and 10, 1e-7 at 0.8), and fails the byte comparison at five standard deviations (3e-7).
+With up to 12 branchings above leaf it meets in no node with 1e-8 at 0.85 and 3e-7 at 0.8 (`missed`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +31,11 @@ from .frames import cut, partitions, row_key
 from .textkernel import U64, blocks, gram_hashes, mix, span_hashes, text_bytes
 
 TREES, LEAF, BYTES, DEPTH = 10, 1000, 128, 12
+#: How many times a node above leaf branches, by its depth; once beyond.
+COPIES = (4, 2, 1, 2, 1, 1, 2)
 CLUSTER_SHINGLES = 4_000_000
-#: Rows that are compared with one at once.
-_ROWS = 1 << 14
+#: Rows that are compared with one, or branch, at once; rows of a node that are held before it branches untried.
+_ROWS, _HELD = 1 << 14, 1 << 17
 _SEED = np.random.Generator(np.random.PCG64(71)).integers(1, 2**63, 64 + 2 * BYTES, dtype=np.int64).astype(U64)
 
 
@@ -80,13 +86,16 @@ def _signatures(k: int, trees: int):
     return run
 
 
-def _forest(node: np.ndarray, sketch: np.ndarray, least: int) -> tuple[list, list]:
-    """Edges of a spanning forest of what agrees in at least `least` bytes."""
+def _forest(node: np.ndarray, sketch: np.ndarray, least: int, work: float = np.inf) -> tuple[list, list] | None:
+    """Edges of a spanning forest of what agrees in at least `least` bytes; None if that takes more than `work` comparisons."""
     left, a, b, todo = np.arange(len(node)), [], [], []
     while len(left):
         if not todo:
             todo, left = [left[0]], left[1:]
         p = todo.pop()
+        work -= len(left)
+        if work < 0:
+            return None
         near = np.concatenate([(sketch[left[i : i + _ROWS]] == sketch[p]).sum(1) >= least for i in range(0, max(1, len(left)), _ROWS)])
         found = left[near]
         a += [node[p]] * len(found)
@@ -96,9 +105,29 @@ def _forest(node: np.ndarray, sketch: np.ndarray, least: int) -> tuple[list, lis
     return a, b
 
 
-def _children(key: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Child keys, and the row of each: one selected token, and a second in 1 / similarity - 1 of the nodes."""
-    key = key.view(U64)
+def missed(similarity: float, trees: int, depth: int) -> float:
+    """How likely a pair of that similarity, which passes the byte comparison, meets in no tree after `depth` branchings."""
+    least, total = _least(similarity), 0.0
+    for same in range(least, BYTES + 1):
+        p, lost = same / BYTES, 0.0
+        for level in reversed(range(depth)):
+            lost = ((1 - p * (1 - lost)) * (1 - (1 / similarity - 1) * p * (1 - lost))) ** _copies(level)
+        total += comb(BYTES, same) * similarity**same * (1 - similarity) ** (BYTES - same) * (1 - similarity * (1 - lost)) ** trees
+    return total
+
+
+def _copies(level: int) -> int:
+    return COPIES[level] if level < len(COPIES) else 1
+
+
+def _least(similarity: float) -> int:
+    """Bytes that must agree: five standard deviations below the mean."""
+    return int(BYTES * similarity - 5 * np.sqrt(BYTES * similarity * (1 - similarity)))
+
+
+def _children(key: np.ndarray, sketch: np.ndarray, similarity: float, copy: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Child keys, and the row of each: one selected token, and a second in 1 / similarity - 1 of the nodes; others for each copy."""
+    key = mix(key.view(U64) + U64(copy) * _SEED[62]) if copy else key.view(U64)
     rows, keys = [], []
     second = mix(key ^ _SEED[60]) >> U64(11)
     for j, chosen in enumerate((np.arange(len(key)), np.flatnonzero(second < U64(int((1 / similarity - 1) * 2**53))))):
@@ -111,8 +140,8 @@ def _children(key: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[n
 _STEP = "key long, node long, sketch binary, other long"
 
 
-def _compare(leaf: int, least: int, similarity: float, last: bool):
-    """Rows in the order of keys.  Nodes of up to leaf rows, and all at the last depth, give edges (other is set); larger ones give rows of their children."""
+def _compare(leaf: int, least: int, similarity: float, last: bool, copies: int = 1):
+    """Rows in the order of keys.  Nodes of up to leaf rows, all at the last depth, and those whose forest takes at most leaf comparisons a row give edges (other is set); others give rows of their children."""
 
     def matrix(table: pa.Table) -> np.ndarray:
         return np.concatenate([text_bytes(x)[0].reshape(-1, BYTES) for x in table.column("sketch").chunks])
@@ -122,23 +151,32 @@ def _compare(leaf: int, least: int, similarity: float, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        have, last_key, large = 0, None, False
+        have, last_key, branched = 0, None, False
 
-        def settle(a_out: list, b_out: list) -> None:
-            """Compares the rows that are held: one node, whole."""
+        def settle(a_out: list, b_out: list) -> Iterator[pa.RecordBatch]:
+            """Compares the rows that are held, one node, or branches if that were dearer than in leaves."""
             nonlocal held, have
-            if have > 1:
+            found = None
+            if have > 1 and not branched:
                 table = pa.concat_tables(held)
-                a, b = _forest(table.column("node").to_numpy(), matrix(table), least)
-                a_out += a
-                b_out += b
+                found = _forest(table.column("node").to_numpy(), matrix(table), least, np.inf if last or have <= leaf else leaf * have)
+            if found:
+                a_out += found[0]
+                b_out += found[1]
+            elif have and (branched or have > leaf):
+                yield from branch()
             held, have = [], 0
 
-        def branch() -> pa.RecordBatch:
+        def branch() -> Iterator[pa.RecordBatch]:
             nonlocal held, have
             table = pa.concat_tables(held)
-            keys, rows = _children(table.column("key").to_numpy(), matrix(table), similarity)
             held, have = [], 0
+            for at in range(0, table.num_rows, _ROWS):
+                part = table.slice(at, _ROWS)
+                for copy in range(copies):
+                    yield children(part, *_children(part.column("key").to_numpy(), matrix(part), similarity, copy))
+
+        def children(table: pa.Table, keys: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
             out = table.take(pa.array(rows))
             return pa.RecordBatch.from_arrays([pa.array(keys), out.column("node").combine_chunks(), out.column("sketch").combine_chunks(), pa.nulls(len(rows), pa.int64())], names=["key", "node", "sketch", "other"])
 
@@ -150,24 +188,20 @@ def _compare(leaf: int, least: int, similarity: float, last: bool):
             a, b = [], []
             for at, to in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if key[at] != last_key:
-                    if large and not last and have:
-                        yield branch()
-                    settle(a, b)
-                    last_key, large = key[at], False
+                    yield from settle(a, b)
+                    last_key, branched = key[at], False
                     if to - at == 1 and to < len(key):  # most nodes hold one class
                         last_key = None
                         continue
                 held.append(table.slice(at, to - at))
                 have += to - at
-                large = large or have > leaf
-                if large and not last:
-                    yield branch()
+                if have > max(leaf, _HELD) and not last:
+                    branched = True
+                    yield from branch()
             if a:
                 yield edges(a, b)
         a, b = [], []
-        if large and not last and have:
-            yield branch()
-        settle(a, b)
+        yield from settle(a, b)
         if a:
             yield edges(a, b)
 
@@ -304,7 +338,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Other columns are not read.
     """
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    least = int(BYTES * float(similarity) - 5 * np.sqrt(BYTES * float(similarity) * (1 - float(similarity))))
+    least = _least(float(similarity))
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
     keyed = base.select("id", "body", *row_key("id", "body"))
     signed = cut(keyed.mapInArrow(_signatures(k, trees), _SIGNATURE.format(base.schema["id"].dataType.simpleString())))
@@ -312,7 +346,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = classes.select(F.explode("keys").alias("key"), "node", "sketch")
     edges = None
     for level in range(depth + 1):
-        out = cut(rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(leaf, least, float(similarity), level == depth), _STEP))
+        out = cut(rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(leaf, least, float(similarity), level == depth, _copies(level)), _STEP))
         found = out.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
         edges = found if edges is None else edges.unionAll(found)
         rows = out.where("other is null").select("key", "node", "sketch")

@@ -330,3 +330,15 @@ def test_near_dedup_compares_whole_nodes_at_the_last_depth():
     table = pa.table({"key": pa.array([3] * 200, pa.int64()), "node": pa.array(order, pa.int64()), "sketch": pa.array([rows[i].tobytes() for i in order], pa.binary()), "other": pa.nulls(200, pa.int64())})
     edges = [(a, b) for out in _compare(20, BYTES - 20, 0.85, True)(table.to_batches(max_chunksize=33)) for a, b in zip(out["node"].to_pylist(), out["other"].to_pylist(), strict=True)]
     assert len(edges) == 199 and {tuple(sorted(e)) for e in edges} == {(i, i + 1) for i in range(199)}
+
+
+def test_near_dedup_finds_pairs_in_a_large_family(spark):
+    """Pages take two thirds of a template's words, so all words are common and nodes branch many times; each page has one near copy."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(2000):
+        order = rng.permutation(156)
+        rows += [(2 * i, " ".join(f"t{j}" for j in order[:100])), (2 * i + 1, " ".join(f"t{j}" for j in order[8:108]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {r.doc_id: r.component_id for r in minhash_dedup(docs, similarity=Fraction(85, 100), k=1, leaf=8).collect()}
+    assert [d for d in found if found[d] != d // 2 * 2] == []
