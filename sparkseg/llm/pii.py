@@ -30,12 +30,26 @@ class Kind:
     mask: str
 
 
+#: Characters of an account number by country, as the register of account numbers has them.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO EG GT HN HU LB NI PL SV", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """An account number of its country's length that no capital or digit follows; else of any length, greedily."""
+    tail = lambda n: rf"\x20?[A-Z0-9]{{{n}}}" if n else ""
+    known = (rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}{tail(n % 4)}(?![A-Z0-9])" for n, countries in IBAN_LENGTHS.items())
+    return "|".join((*known, r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"))
+
+
 KINDS = (
     Kind("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, "mail|contact|write|reach", "[EMAIL]"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.7, "ip|host|server|address", "[IP]"),
     Kind("card", r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++", "", 0.8, "card|visa|pay|credit", "[CARD]"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, "phone|call|tel|mobile", "[PHONE]"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", "", 0.8, "iban|account|bank|konto", "[IBAN]"),
+    Kind("iban", _iban(), "", 0.8, "iban|account|bank|konto", "[IBAN]"),
 )
 _SPANS = "array<struct<s:bigint,kind:int,e:bigint,score:double>>"
 

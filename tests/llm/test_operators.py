@@ -342,3 +342,11 @@ def test_near_dedup_finds_pairs_in_a_large_family(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     found = {r.doc_id: r.component_id for r in minhash_dedup(docs, similarity=Fraction(85, 100), k=1, leaf=8).collect()}
     assert [d for d in found if found[d] != d // 2 * 2] == []
+
+
+def test_account_numbers_before_capital_words(spark):
+    valid = ["ES9121000418450200051332", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00", "AT61 1904 3002 3457 3201"]
+    texts = [f"{v} {w}" for v in valid for w in ("EUR", "BANK OF", "and", "DE89370400440532013000")] + ["BE68 5390 0754 7035 EUR"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [r.text[x.s : x.e] for x in r.pii if pii.KINDS[x.kind].name == "iban"] for r in pii.find_pii(docs).collect()}
+    assert found == {i: [v] + [w] * w.startswith("DE") for i, (v, w) in enumerate((v, w) for v in valid for w in ("EUR", "BANK OF", "and", "DE89370400440532013000"))} | {16: []}
