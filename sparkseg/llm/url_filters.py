@@ -2,7 +2,7 @@
 
 Pages that link to one another by redirect or canonical link, or that name one target, are aliases:
 connected components over all such edges.  A page takes the verdict of the longest rule that fits its
-own URL; one without a rule is blocked if a page among its aliases is blocked by a rule.  A rule of
+own URL; one without a rule is blocked if a rule blocks any of its aliases, crawled or not.  A rule of
 its own always goes first, so an explicit allow holds inside a blocked group.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .frames import cut
 
 
 @dataclass(frozen=True)
@@ -59,34 +60,58 @@ def page_key(url: Column) -> Column:
     return F.concat(lower_ascii(F.regexp_extract(url, r"(?s)://([^/?#]*)", 1)), F.regexp_extract(url, r"(?s)://[^/?#]*([^#]*)", 1))
 
 
-def page_targets(html: Column) -> Column:
-    """Absolute redirect and canonical targets that a page names."""
+def resolved(url: Column, target: Column) -> Column:
+    """A target as an absolute URL, seen from the page's URL; null for other schemes than those with //, and without a base."""
+    origin = F.regexp_extract(url, r"(?s)^([^:/?#]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"(?s)^[^:/?#]*://[^/?#]*([^?#]*)", 1)
+    named, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    joined = F.when(F.startswith(target, F.lit("/")), named).otherwise(F.concat(F.regexp_extract(path, r"(?s)^(.*/)", 1), named))
+    parts = F.split(F.regexp_replace(joined, "^/", ""), "/")
+
+    def step(a: Column, x: Column) -> Column:
+        return F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    plain = F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(parts, F.array().cast("array<string>"), step), ends), "/"))
+    relative = F.when(named == "", F.concat(origin, path, F.when(F.startswith(rest, F.lit("?")), rest).otherwise(F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)))).otherwise(F.concat(origin, plain, rest))
+    return (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when((origin == "") | target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(F.startswith(target, F.lit("//")), F.concat(F.regexp_extract(url, "(?s)^([^:/?#]*:)", 1), target))
+        .otherwise(relative)
+    )
+
+
+def page_targets(html: Column, url: Column) -> Column:
+    """Redirect and canonical targets that a page names, as absolute URLs."""
     found = F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))
-    return F.filter(found, lambda x: F.contains(x, F.lit("://")))
+    return F.filter(F.transform(F.filter(found, lambda x: x != ""), lambda x: resolved(url, x)), lambda x: x.isNotNull())
 
 
 def filter_urls(pages: DataFrame, edges: DataFrame | None = None, rules: tuple[UrlRule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """Returns the id, host, path, rule (or null) and verdict (allow or block) of each page.
 
     edges (source, target: URLs) adds redirects that a crawl has logged; chains through URLs that aren't
-    pages count.  Without aliases and rule a page is allowed.  A null URL has an empty host and path, fits
+    pages count, and rules judge these URLs too.  Targets are resolved against the page's URL.  Without aliases and rule a page is allowed.  A null URL has an empty host and path, fits
     no rule and has no aliases; a null page id is judged like any other, and repeated rows alike.  Scheme
     and fragment don't tell URLs apart.
     """
     base = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), (F.col(f"`{html_col}`").cast("string") if html_col else F.lit(None).cast("string")).alias("html"))
     host, path = host_path(F.col("url"))
     judged = base.select("id", "url", "html", host.alias("host"), path.alias("path")).select("*", longest_rule(F.col("host"), F.col("path"), rules).alias("own"))
-    links = judged.where("url is not null and html is not null and (contains(lower(html), 'canonical') or contains(lower(html), 'refresh'))").select(F.col("url").alias("source"), F.explode(page_targets(F.col("html"))).alias("target"))
+    links = judged.where("url is not null and html is not null and (contains(lower(html), 'canonical') or contains(lower(html), 'refresh'))").select(F.col("url").alias("source"), F.explode(page_targets(F.col("html"), F.col("url"))).alias("target"))
     if edges is not None:
         links = links.unionAll(edges.select("source", "target"))
     node = lambda c: F.xxhash64(page_key(F.col(c)))
-    links = links.where("source is not null and target is not null").select(node("source").alias("a"), node("target").alias("b")).where("a <> b")
+    bad = lambda c: F.coalesce(longest_rule(*host_path(F.col(c)), rules)["verdict"] == "block", F.lit(False))
+    links = cut(links.where("source is not null and target is not null").select(node("source").alias("a"), node("target").alias("b"), bad("source").alias("bad_a"), bad("target").alias("bad_b")).where("a <> b"))
     if links.isEmpty():
         out = judged.select("id", "host", "path", "own", F.lit(None).cast("boolean").alias("blocked"))
     else:
-        groups = connected_components(links)
+        groups = connected_components(links.select("a", "b"))
         mine = judged.select("id", "host", "path", "own", F.when(F.contains("url", F.lit("://")), node("url")).alias("node"))
-        blocked = mine.where("own.verdict = 'block'").join(groups, "node").select("component").distinct().join(groups, "component").select("node", F.lit(True).alias("blocked"))
+        bad_ends = links.where("bad_a").select(F.col("a").alias("node")).unionAll(links.where("bad_b").select(F.col("b").alias("node"))).distinct()
+        blocked = bad_ends.join(groups, "node").select("component").distinct().join(groups, "component").select("node", F.lit(True).alias("blocked"))
         out = mine.join(blocked, "node", "left").select("id", "host", "path", "own", "blocked")
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("blocked"), F.lit("block")), F.lit("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"))

@@ -350,3 +350,16 @@ def test_account_numbers_before_capital_words(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: [r.text[x.s : x.e] for x in r.pii if pii.KINDS[x.kind].name == "iban"] for r in pii.find_pii(docs).collect()}
     assert found == {i: [v] + [w] * w.startswith("DE") for i, (v, w) in enumerate((v, w) for v in valid for w in ("EUR", "BANK OF", "and", "DE89370400440532013000"))} | {16: []}
+
+
+def test_urls_that_are_only_targets_are_judged(spark):
+    link = '<link rel=canonical href="{}">'
+    rows = [(1, "http://a.org/x", link.format("http://x.net/es/y")), (2, "http://b.org/p/q", link.format("/r?s#t")), (3, "http://b.org/r?s", '<meta http-equiv="refresh" content="0; url=//m.net/fr/1">'), (4, "http://c.org/d/e/f", link.format("../g")), (5, "http://c.org/d/g", link.format("http://n.net/fr/")), (6, "http://d.org/", link.format("mailto:x@x.net")), (7, "http://e.org/", link.format("/r?u=http://x.net/es/")), (8, "http://f.org/z", link.format("http://ok.net/en/"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    verdict = {r.page_id: r.verdict for r in url_filters.filter_urls(pages).collect()}
+    assert verdict == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "allow"}
+    logged = spark.createDataFrame([("http://f.org/z", "http://l.net/es/")], "source string, target string")
+    assert {r.page_id: r.verdict for r in url_filters.filter_urls(pages, logged).collect()}[8] == "block"
+    cases = {"/a": "http://h.o/a", "b": "http://h.o/p/b", "./b/../c/": "http://h.o/p/c/", "..": "http://h.o/", "../../../x": "http://h.o/x", "?k": "http://h.o/p/q?k", "#f": "http://h.o/p/q?z", "//o.p/c": "http://o.p/c", "x://y/z": "x://y/z", "mailto:a": None}
+    found = spark.createDataFrame([("http://h.o/p/q?z#y", t) for t in cases], "url string, t string").select("t", url_filters.resolved(F.col("url"), F.col("t")).alias("r")).collect()
+    assert {r.t: r.r for r in found} == cases
