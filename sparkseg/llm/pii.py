@@ -41,7 +41,8 @@ def _iban() -> str:
     """An account number of its country's length that no capital or digit follows; else of any length, greedily."""
     tail = lambda n: rf"\x20?[A-Z0-9]{{{n}}}" if n else ""
     known = (rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}{tail(n % 4)}(?![A-Z0-9])" for n, countries in IBAN_LENGTHS.items())
-    return "|".join((*known, r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"))
+    other = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
+    return rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join((*known, other))})"
 
 
 KINDS = (
