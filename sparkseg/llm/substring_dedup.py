@@ -1,12 +1,16 @@
 """Substring dedup: windows of words that start at a second place anywhere are cut out of every text.
 
 A window's anchor is its rarest-hashing run of ANCHOR words (leftmost of equals), so equal windows
-have equal anchors and meet in one shard.  Consecutive windows with one anchor form a segment.
-Segments whose anchor occurs once cannot repeat and end there.  Of the others, equal segments are
-counted before they are dealt out; one that occurs twice is repeated throughout.  The rest are
-streamed against the FM-index of their shard, whose matching statistics of window length or more
-are the repeated windows.  An anchor with more than `hot` different segments isn't indexed: its
-windows are counted one by one by their hashes, which gives the same result with no group in one task.
+have equal anchors and meet in one shard.  Consecutive windows with one anchor form a segment; equal
+segments of a text are one row with all their places.  Segments whose anchor occurs once cannot repeat
+and end there.  Of the others, equal segments are counted before they are dealt out; one that occurs
+twice is repeated throughout.  The rest are streamed against the FM-index of their shard, whose matching
+statistics of window length or more are the repeated windows.
+
+No shorter anchor splits the segments around a passage that very many texts hold, each with words of its
+own beside it.  For an anchor with more than `hot` different segments the whole window is the anchor
+instead: a shard would then hold one window only, so it is enough to count it, by 128 bits of hash.
+Segments with more copies than 1 / HOT_SHARE of all are recognised where they lie, so no task gathers them.
 """
 
 from __future__ import annotations
@@ -21,11 +25,13 @@ from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
 from .frames import cut, partitions, row_key
-from .textkernel import U64, blocks, gram_hashes, span_hashes
+from .textkernel import U64, blocks, gram_hashes, mix, span_hashes
 
 WINDOW = 35
 ANCHOR = 8
-HOT = 20_000
+HOT = 2_000
+#: At most so many segments can each have more than 1 / HOT_SHARE of all segments: 20,000 pairs of hashes are broadcast at most.
+HOT_SHARE = 20_000
 SHARD_WORDS = 400_000
 _PLACE = U64((1 << 28) - 1)
 
@@ -67,17 +73,32 @@ def _segments(window: int, anchor: int):
                 if len(first):
                     row = np.searchsorted(block.offsets, first, side="right") - 1
                     content = span_hashes(block.words, first, first + n + window - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor_hash.view(np.int64), content.view(np.int64), k1[row + block.first], k2[row + block.first], (first - block.offsets[row]) << 8 | n)], names=["anchor", "content", "k1", "k2", "place"])
+                    order = np.lexsort((first, content, anchor_hash, row))
+                    row, content, anchor_hash = row[order], content[order], anchor_hash[order]
+                    new = np.ones(len(row), dtype=bool)
+                    new[1:] = (row[1:] != row[:-1]) | (content[1:] != content[:-1]) | (anchor_hash[1:] != anchor_hash[:-1])
+                    at, place = np.flatnonzero(new), (first[order] - block.offsets[row]) << 8 | n[order]
+                    places = pa.ListArray.from_arrays(pa.array(np.append(at, len(row)).astype(np.int32)), pa.array(place))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor_hash[at].view(np.int64), content[at].view(np.int64), k1[row[at] + block.first], k2[row[at] + block.first])] + [places], names=["anchor", "content", "k1", "k2", "places"])
 
     return run
 
 
 def _contents(window: int):
-    """Texts of the wanted segments, as bytes of their words."""
+    """Texts of the wanted segments, as bytes of their words, and of hot anchors' their windows' hashes; of neighbouring rows with one key the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             k1, k2 = (batch.column(x).to_numpy() for x in ("k1", "k2"))
+            if not len(k1):
+                continue
+            fresh = np.ones(len(k1), dtype=bool)
+            fresh[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            fresh[0], last = (k1[0], k2[0]) != last, (k1[-1], k2[-1])
+            if not fresh.all():
+                batch = batch.filter(pa.array(fresh))
+                k1, k2 = k1[fresh], k2[fresh]
             wanted = batch.column("wanted")
             flat, ends = wanted.flatten(), wanted.offsets.to_numpy()
             place, anchor, content, copies, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
@@ -89,8 +110,9 @@ def _contents(window: int):
                 data = block.data.tobytes()
                 texts = [data[a:b] for a, b in zip(block.starts[start], block.ends[stop - 1], strict=True)]
                 hashes = [block.words[a:b] for a, b in zip(start, stop, strict=True)]
-                each = [span_hashes(h, np.arange(len(h) - window + 1), np.arange(len(h) - window + 1) + window).view(np.int64) if x else [] for h, x in zip(hashes, hot[at], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(content[at]), pa.array(copies[at]), pa.array(k1[block.first + row]), pa.array(k2[block.first + row]), pa.array(place[at]), pa.array(texts, pa.binary()), pa.array(each, pa.list_(pa.int64()))], names=["anchor", "content", "copies", "k1", "k2", "place", "body", "windows"])
+                each = [gram_hashes(h, window).view(np.int64) if x else [] for h, x in zip(hashes, hot[at], strict=True)]
+                more = [gram_hashes(mix(h), window).view(np.int64) if x else [] for h, x in zip(hashes, hot[at], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(content[at]), pa.array(copies[at]), pa.array(k1[block.first + row]), pa.array(k2[block.first + row]), pa.array(place[at]), pa.array(texts, pa.binary())] + [pa.array(x, pa.list_(pa.int64())) for x in (each, more)], names=["anchor", "content", "copies", "k1", "k2", "place", "body", "windows", "checks"])
 
     return run
 
@@ -146,21 +168,30 @@ def _search(window: int, shard_words: int):
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(k1, k2, body) in; (k1, k2, place, mask) out: place is first window << 8 | windows, mask has a bit for each repeated one."""
     n = partitions(docs.sparkSession)
-    segments = docs.mapInArrow(_segments(window, anchor), "anchor long, content long, k1 long, k2 long, place long")
-    again = cut(segments.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))  # read back, so that the join below may split a hot anchor's rows
+    segments = docs.mapInArrow(_segments(window, anchor), "anchor long, content long, k1 long, k2 long, places array<long>")
+    again = cut(segments.groupBy("anchor").agg(F.sum(F.size("places")).alias("times")).where("times > 1").select("anchor"))  # read back, so that the join below may split a hot anchor's rows
     segments = cut(segments.join(again, "anchor", "left_semi"))
-    kinds = cut(segments.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "place")).alias("one")))
+    kinds = cut(segments.groupBy("anchor", "content").agg(F.sum(F.size("places")).alias("copies"), F.min(F.struct("k1", "k2", F.col("places")[0].alias("place"))).alias("one")))
     open_anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1")
     wanted = kinds.join(open_anchors, "anchor").select("one.k1", "one.k2", F.struct("one.place", "anchor", "content", "copies", (F.col("kinds") > hot).alias("hot")).alias("w"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
-    contents = docs.join(wanted, ["k1", "k2"]).mapInArrow(_contents(window), "anchor long, content long, copies long, k1 long, k2 long, place long, body binary, windows array<long>")
+    contents = docs.join(wanted, ["k1", "k2"]).mapInArrow(_contents(window), "anchor long, content long, copies long, k1 long, k2 long, place long, body binary, windows array<long>, checks array<long>")
     contents = cut(contents)
-    found = contents.where(F.size("windows") == 0).drop("windows").repartition(n, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(_search(window, shard_words), _FOUND)
-    single = contents.where(F.size("windows") > 0).dropDuplicates(["anchor", "content"]).select("k1", "k2", "place", "copies", F.posexplode("windows").alias("bit", "hash"))
-    twice = single.groupBy("hash").agg(F.sum("copies").alias("times")).where("times > 1").select("hash")
-    rest = single.where("copies = 1").join(twice, "hash", "left_semi").groupBy("k1", "k2", "place").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
-    copied = segments.join(kinds.where("copies > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
-    return found.unionAll(rest).unionAll(copied.select("k1", "k2", "place", F.expr("shiftleft(1L, cast(place & 255 as int)) - 1").alias("mask")))
+    found = contents.where(F.size("windows") == 0).drop("windows", "checks").repartition(n, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(_search(window, shard_words), _FOUND)
+    single = contents.where(F.size("windows") > 0).dropDuplicates(["anchor", "content"]).select("k1", "k2", "place", "copies", F.posexplode(F.arrays_zip("windows", "checks")).alias("bit", "w")).select("k1", "k2", "place", "copies", "bit", "w.windows", "w.checks")
+    twice = single.groupBy("windows", "checks").agg(F.sum("copies").alias("times")).where("times > 1").select("windows", "checks")
+    rest = single.where("copies = 1").join(twice, ["windows", "checks"], "left_semi").groupBy("k1", "k2", "place").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
+    return found.unionAll(rest).unionAll(_copied(segments, kinds.where("copies > 1").select("anchor", "content", "copies")))
+
+
+def _copied(segments: DataFrame, kinds: DataFrame) -> DataFrame:
+    """All windows of segments that occur more than once.  The commonest, at most HOT_SHARE of them, are broadcast, so their rows stay where they are."""
+    most = (kinds.agg(F.sum("copies")).first()[0] or 0) // HOT_SHARE + 1
+    common = F.broadcast(kinds.where(F.col("copies") > most).select("anchor", "content"))
+    rest = kinds.where(F.col("copies") <= most).select("anchor", "content")
+    keys = ["anchor", "content"]
+    rows = segments.join(common, keys, "left_semi").unionAll(segments.join(common, keys, "left_anti").join(rest, keys, "left_semi"))
+    return rows.select("k1", "k2", F.explode("places").alias("place")).select("k1", "k2", "place", F.expr("shiftleft(1L, cast(place & 255 as int)) - 1").alias("mask"))
 
 
 def _clean(window: int, keep_text: bool):
@@ -213,7 +244,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
     keyed = base.select("id", "body", *row_key("id", "body"))
     spans = repeated_windows(keyed.where("body is not null").select("k1", "k2", "body"), window, hot=hot, shard_words=shard_words)
-    spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "mask")).alias("cuts"))
+    spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "mask")).alias("cuts"))  # a set: rows that the input repeats share their key
     kind = base.schema["id"].dataType.simpleString()
     out = keyed.join(spans, ["k1", "k2"], "left").select("id", "body", "cuts").mapInArrow(_clean(window, keep_text), f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
     return out.withColumnRenamed("id", id_col)

@@ -1,12 +1,13 @@
 """Vectorised word tokenising and hashing over Arrow string arrays.
 
-A word is a maximal run of bytes outside 0x20 and 0x09-0x0D.  Words are hashed to 64 bits with a
-polynomial over randomised bytes and a final mix; texts are walked in blocks of about half a
-megabyte so that memory follows the words of a block, not the length of a batch.
+A word is a maximal run of bytes outside 0x20 and 0x09-0x0D.  Words are hashed to 64 bits by a
+non-linear chain over their bytes, and runs of words by a tree of such steps; texts are walked in
+blocks of about half a megabyte so that memory follows the words of a block, not the length of a batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,22 +20,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = np.random.Generator(np.random.PCG64(20240501)).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_BASE = U64(0x9E3779B97F4A7C15)
-_INVERSE = U64(pow(int(_BASE), -1, 2**64))
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, dtype=U64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if n <= 1 << 22:
-            _powers[int(base)] = have
-    return have[:n]
+_K1, _K2, _K3 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,21 +30,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One value of two, in order.  The shifts make it non-linear, so that no sum over places can cancel out."""
+    x = a * _K1 + (b ^ (b >> U64(32))) * _K2
+    return x ^ (x >> U64(29))
+
+
+def _levels(symbols: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Values of all runs of 1, 2, 4, ... symbols up to longest, at the place of their first symbol."""
+    out = [symbols]
+    while 2 << len(out) - 1 <= longest and len(out[-1]) > 1 << len(out) - 1:
+        half = 1 << len(out) - 1
+        out.append(_pair(out[-1][:-half], out[-1][half:]))
+    return out
+
+
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of symbols[start:end] that do not depend on where a span lies."""
-    total = np.zeros(len(symbols) + 1, dtype=U64)
-    np.cumsum(symbols * powers(_BASE, len(symbols)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_INVERSE, len(symbols) + 1)[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """Hashes of symbols[start:end] that do not depend on where a span lies: of the two runs of a power of two that cover it, and its length."""
+    sizes = np.asarray(ends) - np.asarray(starts)
+    out = np.full(len(sizes), _K2, dtype=U64)
+    if not len(sizes) or not sizes.max():
+        return mix(out)
+    for level, value in enumerate(_levels(symbols, int(sizes.max()))):
+        at = np.flatnonzero(sizes >> level == 1)
+        if len(at):
+            out[at] = _pair(value[starts[at]], value[ends[at] - (1 << level)])
+    return mix(out + sizes.astype(U64) * _K3)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k words, at the position of its first word."""
-    if len(words) < k:
+    n = len(words) - k + 1
+    if n <= 0:
         return np.zeros(0, dtype=U64)
-    out = words[: len(words) - k + 1] * powers(_BASE, k)[0]
-    for j in range(1, k):
-        out = out + words[j : len(words) - k + 1 + j] * powers(_BASE, k)[j]
-    return mix(out + U64(k))
+    level = k.bit_length() - 1
+    value = _levels(words, k)[level]
+    return mix(_pair(value[:n], value[k - (1 << level) : k - (1 << level) + n]) + U64(k * int(_K3) % 2**64))
 
 
 class Block:
@@ -95,9 +102,26 @@ def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     after[:-1] = inside[1:]
     after[cuts - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    total = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=total[1:])
-    return starts, ends, mix((total[ends] - total[starts]) * powers(_INVERSE, len(data) + 1)[starts])
+    return starts, ends, _word_hashes(data, starts, ends)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A chain of mixes over the eights of each word's bytes; of words beyond 1,024 bytes, 64 bits of a digest."""
+    sizes = ends - starts
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    masks = np.concatenate([(U64(1) << np.arange(0, 64, 8, dtype=U64)) - U64(1), [~U64(0)]])
+    out = (eights[starts] & masks[np.minimum(sizes, 8)]) * _K1 + sizes.astype(U64) * _K3
+    out = (out ^ (out >> U64(32))) * _K2
+    more, at = np.flatnonzero((sizes > 8) & (sizes <= 1024)), 8
+    while len(more):
+        left = sizes[more] - at
+        out[more] = _pair(out[more], eights[starts[more] + at] & masks[np.minimum(left, 8)])
+        more, at = more[left > 8], at + 8
+    for i in np.flatnonzero(sizes > 1024):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(out)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

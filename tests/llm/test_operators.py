@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkseg.llm import decontamination, language_id, pii, quality_rules, sentencepiece_codec, sharding, url_filters, warc_zip
+from sparkseg.llm import decontamination, language_id, pii, quality_rules, sentencepiece_codec, sharding, textkernel, url_filters, warc_zip
 from sparkseg.llm.components import connected_components
 from sparkseg.llm.fmindex import FMIndex
 from sparkseg.llm.minhash_dedup import BYTES, _compare, minhash_dedup
@@ -363,3 +363,45 @@ def test_urls_that_are_only_targets_are_judged(spark):
     cases = {"/a": "http://h.o/a", "b": "http://h.o/p/b", "./b/../c/": "http://h.o/p/c/", "..": "http://h.o/", "../../../x": "http://h.o/x", "?k": "http://h.o/p/q?k", "#f": "http://h.o/p/q?z", "//o.p/c": "http://o.p/c", "x://y/z": "x://y/z", "mailto:a": None}
     found = spark.createDataFrame([("http://h.o/p/q?z#y", t) for t in cases], "url string, t string").select("t", url_filters.resolved(F.col("url"), F.col("t")).alias("r")).collect()
     assert {r.t: r.r for r in found} == cases
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out[:n], out[:n].translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_different_words_have_different_hashes(n):
+    """Patterns on which sums of powers modulo 2**64 meet, as words and as words' sequences."""
+    a, b = thue_morse(n)
+    block = next(textkernel.blocks(pa.array([f"{a} {b}", " ".join(a), " ".join(b)])))
+    assert block.words[0] != block.words[1]
+    spans = textkernel.span_hashes(block.words, block.offsets[1:3], block.offsets[2:4])
+    assert spans[0] != spans[1] and textkernel.gram_hashes(block.words[block.offsets[1] : block.offsets[2]], n)[0] != textkernel.gram_hashes(block.words[block.offsets[2] : block.offsets[3]], n)[0]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.integers(1, 9), st.data())
+def test_hashes_of_runs_tell_runs_apart(symbols, k, data):
+    x = np.array(symbols, dtype=np.uint64)
+    grams = textkernel.gram_hashes(x, k)
+    assert len(grams) == max(0, len(x) - k + 1) and all((grams[i] == grams[j]) == (symbols[i : i + k] == symbols[j : j + k]) for i in range(len(grams)) for j in range(i))
+    spans = [sorted(data.draw(st.tuples(st.integers(0, len(x)), st.integers(0, len(x))))) for _ in range(8)]
+    found = textkernel.span_hashes(x, np.array([a for a, _ in spans]), np.array([b for _, b in spans]))
+    assert all((found[i] == found[j]) == (symbols[slice(*spans[i])] == symbols[slice(*spans[j])]) for i in range(8) for j in range(i))
+
+
+def test_windows_that_differ_in_one_long_word_stay(spark):
+    a, b = thue_morse(2048)
+    head = " ".join(f"q{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{head} {a}"), (2, f"{head} {b}")], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup(docs).collect()} == {0}
+
+
+def test_substring_dedup_of_many_equal_rows(spark):
+    """Rows that are equal in id and text, or repeat one passage within a text, stay linear."""
+    rows = spark.range(20_000).selectExpr("cast(null as long) as doc_id", f"'{PASSAGE}' as text").unionAll(spark.range(1).selectExpr("id as doc_id", f"repeat('{PASSAGE} ', 3000) as text"))
+    found = substring_dedup(rows, keep_text=False).groupBy("n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in found} == {(60, 60, 20_000), (180_000, 180_000, 1)}
