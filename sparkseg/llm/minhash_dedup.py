@@ -10,6 +10,10 @@ independently, so that losses do not add up with the depth.  A node only names a
 what it finds similar: joined over nodes, forests connect just what all the pairs would.  The clusters that
 result are supersets of the wanted ones, and each is then settled on full shingle sets.
 
+A node with more than 1 / HOT_SHARE of all rows is never gathered (`_hot`): its rows are compared with
+one of them, its pivot, and branch where they lie.  A row so near the pivot that whatever is similar to
+it must be similar to the pivot too (by the triangle inequality of byte distances) ends there.
+
 At a similarity s of s0 or more, a pair misses all the trees' first nodes with (1 - s0) ** trees
 (6e-9 at 0.85 and 10, 1e-7 at 0.8), and fails the byte comparison at five standard deviations (3e-7).
 With up to 12 branchings above leaf it meets in no node with 1e-8 at 0.85 and 3e-7 at 0.8 (`missed`).
@@ -34,9 +38,11 @@ TREES, LEAF, BYTES, DEPTH = 10, 1000, 128, 12
 #: How many times a node above leaf branches, by its depth; once beyond.
 COPIES = (4, 2, 1, 2, 1, 1, 2)
 CLUSTER_SHINGLES = 4_000_000
+#: At most so many nodes can each have more than 1 / HOT_SHARE of a level's rows: 20,000 keys and pivots, 3 MB, are broadcast at most.
+HOT_SHARE = 20_000
 #: Rows that are compared with one, or branch, at once; rows of a node that are held before it branches untried.
 _ROWS, _HELD = 1 << 14, 1 << 17
-_SEED = np.random.Generator(np.random.PCG64(71)).integers(1, 2**63, 64 + 2 * BYTES, dtype=np.int64).astype(U64)
+_SEED = np.random.Generator(np.random.PCG64(71)).integers(1, 2**63, 65 + 2 * BYTES, dtype=np.int64).astype(U64)
 
 
 def shingles(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +60,7 @@ def shingles(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray
     return value[new], np.searchsorted(row[new], np.arange(len(sizes) + 1))
 
 
-_SIGNATURE = "id {}, k1 long, k2 long, n long, node long, keys array<long>, sketch binary"
+_SIGNATURE = "id {}, k1 long, k2 long, n long, set1 long, set2 long, keys array<long>, sketch binary"
 
 
 def _signatures(k: int, trees: int):
@@ -65,12 +71,13 @@ def _signatures(k: int, trees: int):
                 value, offsets = shingles(block.words, block.offsets, k)
                 n = np.diff(offsets)
                 full = np.flatnonzero(n)
-                node = np.zeros(len(block), dtype=U64)
+                set1, set2 = np.zeros((2, len(block)), dtype=U64)
                 keys = np.zeros((len(block), trees), dtype=U64)
                 sketch = np.zeros((len(block), BYTES), dtype=np.uint8)
                 if len(full):
                     at = offsets[full]
-                    node[full] = mix(np.add.reduceat(mix(value ^ _SEED[63]), at) + n[full].astype(U64))
+                    set1[full] = mix(np.add.reduceat(mix(value ^ _SEED[63]), at) + n[full].astype(U64))
+                    set2[full] = mix(np.add.reduceat(mix(value ^ _SEED[64 + 2 * BYTES]), at))
                     for t in range(trees):
                         keys[full, t] = mix(np.minimum.reduceat((value ^ _SEED[t]) * (_SEED[t + 31] | U64(1)), at) + U64(t))
                     small = (value >> U64(32)).astype(np.uint32)
@@ -79,8 +86,8 @@ def _signatures(k: int, trees: int):
                         least = np.minimum.reduceat((small ^ a) * b, at)
                         sketch[full, c] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(block.first, len(block)), pa.array(k1[block.first : block.first + len(block)]), pa.array(k2[block.first : block.first + len(block)]), pa.array(n), pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1, dtype=np.int32) * trees), pa.array(keys.reshape(-1).view(np.int64))), pa.array([x.tobytes() for x in sketch], pa.binary())],
-                    names=["id", "k1", "k2", "n", "node", "keys", "sketch"],
+                    [batch.column("id").slice(block.first, len(block)), pa.array(k1[block.first : block.first + len(block)]), pa.array(k2[block.first : block.first + len(block)]), pa.array(n), pa.array(set1.view(np.int64)), pa.array(set2.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1, dtype=np.int32) * trees), pa.array(keys.reshape(-1).view(np.int64))), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                    names=["id", "k1", "k2", "n", "set1", "set2", "keys", "sketch"],
                 )
 
     return run
@@ -140,12 +147,58 @@ def _children(key: np.ndarray, sketch: np.ndarray, similarity: float, copy: int
 _STEP = "key long, node long, sketch binary, other long"
 
 
+def _matrix(sketches: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    chunks = sketches.chunks if isinstance(sketches, pa.ChunkedArray) else [sketches]
+    return np.concatenate([text_bytes(x)[0].reshape(-1, BYTES) for x in chunks])
+
+
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many bytes each row agrees with its node's pivot."""
+    for batch in batches:
+        same = (_matrix(batch.column("sketch")) == _matrix(batch.column("pivot_sketch"))).sum(1)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), batch.column("sketch"), batch.column("pivot"), pa.array(same.astype(np.int32))], names=["key", "node", "sketch", "pivot", "same"])
+
+
+def _branched(similarity: float, copies: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                for copy in range(copies):
+                    keys, rows = _children(part.column("key").to_numpy(), _matrix(part.column("sketch")), similarity, copy)
+                    out = part.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), out.column("node"), out.column("sketch")], names=["key", "node", "sketch"])
+
+    return run
+
+
+def _hot(rows: DataFrame, leaf: int, least: int, similarity: float, copies: int, share: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """The rows of nodes that aren't hot, the edges that hot nodes give, and the rows of their children; None if no node is hot.
+
+    Only keys are counted.  A row that agrees with the pivot in `least` bytes has an edge to it.  It is done
+    with this node if 128 - same < least - most, `most` being the best agreement among rows without an
+    edge: anything at most 128 - least bytes from it is then less than that from the pivot.
+    """
+    counts = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > leaf))
+    if counts.isEmpty():
+        return None
+    hot = counts.where(F.col("n") > rows.count() // share).select("key")
+    if hot.isEmpty():
+        return None
+    hot = F.broadcast(hot)
+    mine = rows.join(hot, "key", "left_semi")
+    pivots = cut(mine.groupBy("key").agg(F.min("node").alias("pivot")))
+    pivots = cut(mine.join(F.broadcast(pivots), "key").where("node = pivot").groupBy("key", "pivot").agg(F.first("sketch").alias("pivot_sketch")))
+    near = cut(mine.join(F.broadcast(pivots), "key").select("key", "node", "sketch", "pivot", "pivot_sketch").mapInArrow(_agreement, "key long, node long, sketch binary, pivot long, same int"))
+    most = near.where(F.col("same") < least).groupBy("key").agg(F.max("same").alias("most"))
+    going = near.join(F.broadcast(most), "key").where(F.col("same") <= BYTES - least + F.col("most")).select("key", "node", "sketch")
+    edges = near.where((F.col("same") >= least) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    return rows.join(hot, "key", "left_anti"), edges, going.mapInArrow(_branched(similarity, copies), "key long, node long, sketch binary")
+
+
 def _compare(leaf: int, least: int, similarity: float, last: bool, copies: int = 1):
     """Rows in the order of keys.  Nodes of up to leaf rows, all at the last depth, and those whose forest takes at most leaf comparisons a row give edges (other is set); others give rows of their children."""
 
-    def matrix(table: pa.Table) -> np.ndarray:
-        return np.concatenate([text_bytes(x)[0].reshape(-1, BYTES) for x in table.column("sketch").chunks])
-
     def edges(a: list, b: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.nulls(len(a), pa.binary()), pa.array(b, pa.int64())], names=["key", "node", "sketch", "other"])
 
@@ -159,7 +212,7 @@ def _compare(leaf: int, least: int, similarity: float, last: bool, copies: int =
             found = None
             if have > 1 and not branched:
                 table = pa.concat_tables(held)
-                found = _forest(table.column("node").to_numpy(), matrix(table), least, np.inf if last or have <= leaf else leaf * have)
+                found = _forest(table.column("node").to_numpy(), _matrix(table.column("sketch")), least, np.inf if last or have <= leaf else leaf * have)
             if found:
                 a_out += found[0]
                 b_out += found[1]
@@ -174,7 +227,7 @@ def _compare(leaf: int, least: int, similarity: float, last: bool, copies: int =
             for at in range(0, table.num_rows, _ROWS):
                 part = table.slice(at, _ROWS)
                 for copy in range(copies):
-                    yield children(part, *_children(part.column("key").to_numpy(), matrix(part), similarity, copy))
+                    yield children(part, *_children(part.column("key").to_numpy(), _matrix(part.column("sketch")), similarity, copy))
 
         def children(table: pa.Table, keys: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
             out = table.take(pa.array(rows))
@@ -216,10 +269,15 @@ def _sets(table: pa.Table, k: int) -> list[np.ndarray]:
     return out
 
 
+def shared(one: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many members each set has in common with one."""
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    return np.add.reduceat(one[at] == flat, starts, dtype=np.int64)
+
+
 def linked(one: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ratio: Fraction) -> np.ndarray:
     """Which sets have ratio or more of intersection size to union size with one."""
-    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
-    both = np.add.reduceat(one[at] == flat, starts, dtype=np.int64)
+    both = shared(one, flat, starts)
     return ratio.denominator * both >= ratio.numerator * (sizes + len(one) - both)
 
 
@@ -248,7 +306,7 @@ def exact_forest(sets: list[np.ndarray], ratio: Fraction, todo: list[int] | None
 
 
 def _settle(k: int, ratio: Fraction):
-    """Rows in the order of group, node: one cluster (or block of one) after another; (group, node, root) out."""
+    """Rows in the order of cluster, block, node: one cluster (or block of one) after another; (cluster, node, root, apart) out, apart being the distance from the lead."""
 
     def group(rows: list[pa.Table]) -> pa.RecordBatch:
         table = pa.concat_tables(rows)
@@ -256,8 +314,14 @@ def _settle(k: int, ratio: Fraction):
         once = np.concatenate([[True], node[1:] != node[:-1]])  # equal rows of the input share a key
         table, node = table.filter(pa.array(once)), node[once]
         lead = np.flatnonzero(table.column("lead").to_numpy(zero_copy_only=False)).tolist()
-        root = exact_forest(_sets(table, k), ratio, lead)
-        return pa.RecordBatch.from_arrays([table.column("cluster").combine_chunks(), pa.array(node), pa.array(node[root])], names=["cluster", "node", "root"])
+        sets = _sets(table, k)
+        apart = np.zeros(len(sets))
+        if lead and table.column("parts")[0].as_py() > 1:
+            sizes, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
+            both = shared(sets[lead[0]], flat, np.cumsum(sizes) - sizes)
+            apart = 1 - both / (sizes + len(sets[lead[0]]) - both)
+        root = exact_forest(sets, ratio, lead)
+        return pa.RecordBatch.from_arrays([table.column("cluster").combine_chunks(), pa.array(node), pa.array(node[root]), pa.array(apart)], names=["cluster", "node", "root", "apart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -302,37 +366,42 @@ def _cross(k: int, ratio: Fraction):
 def _settled(members: DataFrame, k: int, ratio: Fraction, most: int) -> DataFrame:
     """(cluster, node, n, body) in; (node, root) out.
 
-    A cluster of more than `most` shingles is dealt into blocks that all hold its lead, the least node.
-    What a block doesn't connect to the lead is compared with every other block, and the edges are joined up.
+    A cluster of more than `most` shingles is dealt into blocks that all hold its lead, the least node.  What
+    a block doesn't connect to the lead is compared with every block, in as many shares as its shingles fill,
+    but only with what isn't so near the lead that a link is impossible: Jaccard distances obey the triangle
+    inequality.  The edges are joined up.
     """
     spark, n = members.sparkSession, partitions(members.sparkSession)
     sizes = members.select("cluster", "node", "n").groupBy("cluster").agg(F.sum("n").alias("total"), F.min("node").alias("first"))
     dealt = members.join(sizes.select("cluster", "first", F.ceil(F.col("total") / most).alias("parts")), "cluster")
-    dealt = dealt.select("cluster", "node", "body", "parts", (F.col("node") == F.col("first")).alias("lead"))
-    own = dealt.select("cluster", F.when(F.col("lead"), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), "parts")).alias("block"), "node", "lead", "body", "parts")
-    more = dealt.where("lead and parts > 1").select("cluster", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("block"), "node", "lead", "body", "parts")
-    deal = lambda df: df.repartition(n, "cluster", "block").sortWithinPartitions("cluster", "block", "node").select("cluster", F.col("block").cast("long").alias("block"), "node", "lead", "body")
-    found = cut(deal(own.unionAll(more)).mapInArrow(_settle(k, ratio), "cluster long, node long, root long"))
+    dealt = dealt.select("cluster", "node", "n", "body", "parts", (F.col("node") == F.col("first")).alias("lead"))
+    own = dealt.select("cluster", F.when(F.col("lead"), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), "parts")).alias("block"), "node", "lead", "body", "parts", "n")
+    more = dealt.where("lead and parts > 1").select("cluster", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("block"), "node", "lead", "body", "parts", "n")
+    deal = lambda df: df.repartition(n, "cluster", "block").sortWithinPartitions("cluster", "block", "node").select("cluster", F.col("block").cast("long").alias("block"), "node", "lead", "body", "parts")
+    found = cut(deal(own.unionAll(more)).mapInArrow(_settle(k, ratio), "cluster long, node long, root long, apart double"))
     big = sizes.where(F.col("total") > most).select("cluster", "first")
     if big.isEmpty():
         return found.select("node", "root")
     own = own.where("parts > 1")
-    odd = found.join(big, "cluster").where("root <> first").select("cluster", "node").distinct()
-    asked = own.join(odd, ["cluster", "node"]).select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("block"), F.pmod(F.xxhash64("node"), F.lit(64)).alias("share"), "node", F.lit(True).alias("query"), "body")
-    shares = asked.select("cluster", "share").distinct()
-    rows = own.join(shares, "cluster").select("cluster", F.col("block").cast("int").alias("block"), "share", "node", F.lit(False).alias("query"), "body")
-    pairs = asked.unionAll(rows).groupBy("cluster", "block", "share").applyInArrow(_cross(k, ratio), "a long, b long")
     inside = found.join(big, "cluster")
+    apart = inside.groupBy("cluster", "node").agg(F.max(F.col("root") != F.col("first")).alias("odd"), F.max("apart").alias("apart"))
+    own = own.join(apart, ["cluster", "node"])
+    need = own.where("odd").groupBy("cluster").agg(F.min("apart").alias("odd_apart"), F.ceil(F.sum("n") / most).cast("int").alias("shares"))
+    own = own.join(need, "cluster")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1))
+    asked = own.where("odd").select("cluster", every("parts").alias("block"), F.pmod(F.xxhash64("node"), "shares").cast("int").alias("share"), "node", F.lit(True).alias("query"), "body")
+    rows = own.where(F.col("apart") >= F.col("odd_apart") - (1 - float(ratio)) - 1e-9).select("cluster", F.col("block").cast("int").alias("block"), every("shares").alias("share"), "node", F.lit(False).alias("query"), "body")
+    pairs = asked.unionAll(rows).groupBy("cluster", "block", "share").applyInArrow(_cross(k, ratio), "a long, b long")
     whole = connected_components(pairs.unionAll(inside.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return found.join(big, "cluster", "left_anti").select("node", "root").unionAll(whole.select("node", F.col("component").alias("root")))
 
 
-def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: Fraction = Fraction(4, 5), k: int = 5, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
+def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: Fraction = Fraction(4, 5), k: int = 5, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH, cluster_shingles: int = CLUSTER_SHINGLES, hot_share: int = HOT_SHARE) -> DataFrame:
     """Links texts whose sets of k-word shingles (A-Z lower-cased) have the similarity or more, and names their components.
 
     Returns the id, n_shingles, component_id (the least id that links reach, itself included) and kept.
     With fewer than k words the whole sequence is the one shingle; without words, or with a null text, the
-    set is empty and linked with nothing.  Rows with equal sets are one class, so repeated rows share a
+    set is empty and linked with nothing.  Rows with equal sets (by 128 bits of hash and size) are one class, so repeated rows share a
     component; equal ids of different texts are different nodes.  A null id takes part in links but names no
     component: where all ids are null, component_id is null, and a row with a null id is never kept.
     Other columns are not read.
@@ -342,22 +411,27 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
     keyed = base.select("id", "body", *row_key("id", "body"))
     signed = cut(keyed.mapInArrow(_signatures(k, trees), _SIGNATURE.format(base.schema["id"].dataType.simpleString())))
-    classes = cut(signed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("id").alias("least"), F.min(F.struct("k1", "k2")).alias("one"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    of_set = ["n", "set1", "set2"]
+    classes = signed.where("n > 0").groupBy(*of_set).agg(F.min("id").alias("least"), F.min(F.struct("k1", "k2")).alias("one"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))  # numbers that can't collide, fixed by the table
     rows = classes.select(F.explode("keys").alias("key"), "node", "sketch")
-    edges = None
+    edges, none = None, spark.createDataFrame([], "key long, node long, sketch binary")
     for level in range(depth + 1):
-        out = cut(rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(leaf, least, float(similarity), level == depth, _copies(level)), _STEP))
-        found = out.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        edges = found if edges is None else edges.unionAll(found)
-        rows = out.where("other is null").select("key", "node", "sketch")
+        spread, found, copies = none, None, _copies(level)
+        if level < depth and (hot := _hot(rows, leaf, least, float(similarity), copies, hot_share)):
+            rows, found, spread = hot
+        out = cut(rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(leaf, least, float(similarity), level == depth, copies), _STEP))
+        for one in (found, out.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))):
+            edges = edges if one is None else one if edges is None else edges.unionAll(one)
+        rows = out.where("other is null").select("key", "node", "sketch").unionAll(cut(spread) if spread is not none else none)
         if rows.isEmpty():
             break
     clusters = connected_components(edges)
     members = classes.join(clusters, "node").select(F.col("component").alias("cluster"), "node", "n", "one.k1", "one.k2")
     settled = _settled(members.join(keyed.where("body is not null").select("k1", "k2", "body"), ["k1", "k2"]), k, similarity, cluster_shingles)
-    named = classes.select("node", "least").join(settled, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = named.select("node", "root").join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
-    out = signed.select("id", "n", "node").join(named, "node", "left")
+    named = classes.select("node", "least", *of_set).join(settled, "node", "left").select("least", *of_set, F.coalesce("root", "node").alias("root"))
+    named = named.select("root", *of_set).join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("component", *of_set)
+    out = signed.select("id", *of_set).join(named, of_set, "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
