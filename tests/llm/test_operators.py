@@ -47,7 +47,7 @@ def test_substring_dedup_on_odd_rows(spark, same_as_sql, hot):
     assert substring_dedup(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("settings", [{}, {"leaf": 1, "depth": 2, "cluster_shingles": 60}])
+@pytest.mark.parametrize("settings", [{}, {"leaf": 1, "depth": 2, "cluster_shingles": 60}, {"leaf": 1, "depth": 3, "cluster_shingles": 60, "hot_share": 10**9}])
 def test_near_dedup_on_odd_rows(spark, same_as_sql, settings):
     docs = odd_docs(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
     same_as_sql(minhash_dedup(docs, similarity=Fraction(85, 100), **settings), NEAR_SQL, {"documents": docs.select("doc_id", "text").toArrow()})
@@ -176,11 +176,13 @@ def test_sharding(spark, sf_dir):
 
 
 def test_decontamination_against_brute_force(spark, sf_dir):
+    """Recall by length, over copies with up to the allowed edits and some with more; parts of the benchmark give the same."""
     rng = np.random.default_rng(1)
-    items = {i: [f"i{i}w{rng.integers(40)}" for _ in range(n)] for i, n in enumerate((3, 9, 10, 14, 20, 33, 59))}
+    lengths = (3, 9, 10, 14, 20, 33, 59, 130, 400)
+    items = {i: [f"i{i}w{rng.integers(40)}" for _ in range(n)] for i, n in enumerate(lengths)}
     rows, want = [], {}
-    for d in range(160):
-        i = int(rng.integers(len(items)))
+    for d in range(270):
+        i = d % len(items)
         words, n = list(items[i]), len(items[i])
         for _ in range(int(rng.integers(0, n // 5 + 4))):
             kind, at = rng.integers(3), int(rng.integers(len(words)))
@@ -192,24 +194,46 @@ def test_decontamination_against_brute_force(spark, sf_dir):
                 words.insert(at, f"e{rng.integers(99)}")
         full = [f"p{rng.integers(500)}" for _ in range(rng.integers(0, 40))] + words + [f"q{rng.integers(500)}" for _ in range(rng.integers(0, 40))]
         rows.append((d, " ".join(full).upper() if d % 3 == 0 else " ".join(full)))
-        want[d] = set()
-        for j, item in items.items():
-            most, m = decontamination.allowed_edits(len(item)), len(item)
-            padded = [None] * most + full + [None] * most
-            for p in range(len(padded) - m + 1):
-                window = padded[p : p + m]
-                if len(set(window) & set(item)) >= len(set(item)) - most and _distance(window, item) <= most:
-                    want[d].add(j)
+        want[d] = {j for j, item in items.items() if _within(item, full) <= decontamination.allowed_edits(len(item))}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(99, None), (98, ""), (None, "x")], "item_id long, text string")
-    found = {r.doc_id: {h.item for h in r.hits} for r in decontamination.find_benchmark(docs, bench).collect()}
+    found = {r.doc_id: {(h.item, h.at, h.words, h.edits) for h in r.hits} for r in decontamination.find_benchmark(docs, bench).collect()}
     pairs = {(d, i) for d, s in want.items() for i in s}
-    got = {(d, i) for d, s in found.items() for i in s}
-    assert got <= pairs and len(got) >= 0.99 * len(pairs) and len(pairs) > 60
-    assert decontamination.find_benchmark(odd_docs(spark), bench).count() == len(TEXTS) + 4
+    got = {(d, h[0]) for d, s in found.items() for h in s}
+    assert got <= pairs and len(got) >= 0.99 * len(pairs) and len(pairs) > 120
+    assert all(sum((d, i) in got for d in want) >= 0.95 * sum((d, i) in pairs for d in want) >= 3 for i in items)
+    texts = {d: t.lower().split() for d, t in rows}
+    assert all(_distance(texts[d][a : a + n], items[i]) == e for d, s in found.items() for i, a, n, e in s)
+    parts = decontamination.find_benchmark(docs.unionAll(docs), bench, item_bytes=900)
+    assert Counter((r.doc_id, frozenset((h.item, h.at, h.words, h.edits) for h in r.hits)) for r in parts.collect()) == Counter({(d, frozenset(s)): 2 for d, s in found.items()})
+    assert decontamination.find_benchmark(odd_docs(spark), bench).count() == decontamination.find_benchmark(odd_docs(spark), bench, item_bytes=900).count() == len(TEXTS) + 4
     assert decontamination.find_benchmark(docs, bench.limit(0)).where("size(hits) > 0").count() == 0
 
 
+def test_decontamination_of_odd_rows(spark):
+    """Null and empty texts have no hits; clashing columns stay; repeated items and rows, and an item that a text repeats, give a hit each."""
+    docs = odd_docs(spark).drop("hits")
+    bench = spark.createDataFrame([(1, PASSAGE), (2, PASSAGE), (3, "one"), (4, None), (None, PASSAGE)], "item_id long, text string")
+    rows = decontamination.find_benchmark(docs.withColumn("c0", F.lit(7)).withColumn("body", F.lit("x")), bench).collect()
+    assert all(r.c0 == 7 and r.body == "x" for r in rows)
+    for r in rows:
+        words = (r.text or "").lower().split()
+        whole = _within(PASSAGE.split(), words) <= 12 if len(words) < 1000 else False
+        assert {h.item for h in r.hits} == ({1, 2} if whole else set()) | ({3} if "one" in words else set())
+    twice = spark.createDataFrame([(1, f"{PASSAGE} x {PASSAGE}")], "doc_id long, text string")
+    assert [(h.item, h.at) for h in decontamination.find_benchmark(twice, bench).first().hits] == [(1, 0), (1, 61), (2, 0), (2, 61)]
+
+
+def _within(item, words):
+    """Least edits between item and any run of words."""
+    before = np.zeros(len(words) + 1, dtype=int)
+    place = np.array(words, dtype=object)
+    for i, x in enumerate(item):
+        now = np.concatenate([[i + 1], np.minimum(before[:-1] + (place != x), before[1:] + 1)]) - np.arange(len(words) + 1)
+        before = np.minimum.accumulate(now) + np.arange(len(words) + 1)
+    return before.min()
+
+
 def _distance(a, b):
     before = list(range(len(b) + 1))
     for i, x in enumerate(a):
@@ -311,7 +335,7 @@ def test_zip64_and_damage():
 
 def test_decontamination_of_a_head_truncated_item_in_a_later_text():
     item = [f"i{i}" for i in range(40)]
-    items = decontamination.Items.of([7], [" ".join(item)])
+    items = decontamination.Items([7], [" ".join(item)])
     for cut in range(1, 4):
         texts = ["an innocent text of some words", " ".join(item[cut:] + ["and", "more"]), "another one"]
         block = next(decontamination.blocks(pa.array(texts), lower=True))
