@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]+"
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "with", "de", "la", "que", "el", "en", "las", "por", "para", "le", "les", "et", "des", "pour", "der", "die", "und", "den", "von", "mit", "ist")
+#: Taken off both ends of a word before it is compared with the stop words.
+PUNCTUATION = ".,;:!?()[]\""
+LETTER = r"\p{L}"
 WINDOW = 8
 
 
@@ -26,12 +29,14 @@ class Rule:
     words: int = 1
 
 
-#: Ratios are per hundred, of whole numbers, so that every engine agrees on them.
+#: Ratios are per hundred, of whole numbers, so that every engine agrees on them.  Word length, words with a
+#: letter and repeated lines have the bounds of published filters; symbols and stop words were set so that labelled good texts pass.
 RULES = (
-    Rule("word_length", "word_chars", "n_words", 150, 2500),
-    Rule("symbols", "n_symbols", "word_chars", None, 20),
-    Rule("stop_words", "n_stop_words", "n_words", None, 80),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 60, 40),
+    Rule("word_length", "word_chars", "n_words", 300, 1000),
+    Rule("symbols", "n_symbols", "word_chars", None, 5),
+    Rule("letter_words", "n_letter_words", "n_words", 80, None),
+    Rule("stop_words", "n_stop_words", "n_words", 5, 60, 20),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 30, 40),
 )
 
 
@@ -67,7 +72,8 @@ def _figures(text: Column) -> Column:
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+            F.size(F.filter(w, lambda x: F.btrim(F.lower(x), F.lit(PUNCTUATION)).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+            F.size(F.filter(w, lambda x: x.rlike(LETTER))).cast("long").alias("n_letter_words"),
             _repeated(w).alias("n_repeat_words"),
         ),
     )
@@ -76,7 +82,7 @@ def _figures(text: Column) -> Column:
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds the struct `quality`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, base_failed, failed, kept.
+    """Adds the struct `quality`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, n_letter_words, base_failed, failed, kept.
 
     base_failed is n_words < 20 or 100 * n_repeat_words > 30 * n_words.  failed names the rules of the table
     that a text breaks; kept is that neither holds.  A null or empty text has no words and fails.  A ratio of
@@ -84,7 +90,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
     all other columns stay.  Everything is a column expression of the row: no shuffle, no user function.
     """
     q = docs.withColumn("quality", _figures(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    value = {x: F.col(f"quality.w.{x}") for x in ("n_words", "word_chars", "n_stop_words", "n_repeat_words")} | {"n_symbols": F.col("quality.n_symbols")} | {x: F.col(f"quality.l.{x}") for x in ("n_lines", "n_dup_lines")}
+    value = {x: F.col(f"quality.w.{x}") for x in ("n_words", "word_chars", "n_stop_words", "n_letter_words", "n_repeat_words")} | {"n_symbols": F.col("quality.n_symbols")} | {x: F.col(f"quality.l.{x}") for x in ("n_lines", "n_dup_lines")}
     broken = []
     for rule in rules:
         part, whole = value[rule.part] * 100, value[rule.whole]
@@ -96,7 +102,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
         broken.append(F.when((whole > 0) & (value["n_words"] >= rule.words) & bad, F.lit(rule.name)))
     base = (value["n_words"] < 20) | (value["n_repeat_words"] * 100 > value["n_words"] * 30)
     failed = F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
-    order = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
+    order = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_letter_words")
     return q.withColumn("quality", F.struct(*(value[x].alias(x) for x in order), base.alias("base_failed"), failed.alias("failed"), (~base & (F.size(failed) == 0)).alias("kept")))
 
 
@@ -106,6 +112,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_BROKEN = " OR ".join(
+    f"n_words >= {r.words} AND ({' OR '.join([f'100 * {r.part} < {r.low} * {r.whole}'] * (r.low is not None) + [f'100 * {r.part} > {r.high} * {r.whole}'] * (r.high is not None))})" for r in RULES
+)
 ORACLE_SQL = f"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
@@ -116,11 +125,9 @@ c AS (SELECT r, count(DISTINCT i + o) AS n FROM t, range(8) k(o) GROUP BY r),
 f AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
       CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
       CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-      CAST(len(list_filter(words, lambda x: lower(x) IN ({_STOP}))) AS BIGINT) AS n_stop_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+      CAST(len(list_filter(words, lambda x: trim(lower(x), '{PUNCTUATION}') IN ({_STOP}))) AS BIGINT) AS n_stop_words,
+      CAST(len(list_filter(words, lambda x: regexp_matches(x, '{LETTER}'))) AS BIGINT) AS n_letter_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
       FROM g LEFT JOIN c USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (100 * word_chars < 150 * n_words OR 100 * word_chars > 2500 * n_words) AND NOT 100 * n_symbols > 20 * word_chars
-       AND NOT (n_words >= 1 AND 100 * n_stop_words > 80 * n_words) AND NOT (n_words >= 40 AND 100 * n_dup_lines > 60 * n_lines) AS kept
-FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_BROKEN}) AS kept FROM b
 """
