@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .frames import cut
+from .quality_rules import let
 
 
 @dataclass(frozen=True)
@@ -29,8 +30,12 @@ class UrlRule:
 
 
 RULES = (UrlRule("allow", "com", "/"), UrlRule("block", "example.com", "/en/"), UrlRule("allow", "www.example.com", "/en/"), UrlRule("block", "net", "/es/"), UrlRule("block", "net", "/fr/"))
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*[0-9.]*\s*;?\s*url\s*=\s*["']?([^"'\s>]+)"""
+_TAGS = r"(?is)<(?:link|meta)\b[^>]*"
+_BASE = r"(?is)<base\b[^>]*"
+#: Patterns of the two tags, the attribute with the target in the three ways of quoting, and what a refresh has before its target.
+_CANONICAL, _REFRESH = r"""(?is)^<link\b.*\srel\s*=\s*["']?\s*canonical\b""", r"""(?is)^<meta\b.*\shttp-equiv\s*=\s*["']?\s*refresh\b"""
+_WAYS = ('"([^"]*)', "'([^']*)", "([^\"'\\s>][^\\s>]*)")
+_DELAY = r"(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*"
 
 
 def lower_ascii(text: Column) -> Column:
@@ -82,10 +87,23 @@ def resolved(url: Column, target: Column) -> Column:
     )
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, quoted or not, without surrounding spaces and with & decoded; empty if there is none."""
+    value = F.concat(*(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{way}", 1) for way in _WAYS))
+    return F.regexp_replace(F.trim(value), "&(?:amp|#38|#x26);", "&")
+
+
 def page_targets(html: Column, url: Column) -> Column:
-    """Redirect and canonical targets that a page names, as absolute URLs."""
-    found = F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))
-    return F.filter(F.transform(F.filter(found, lambda x: x != ""), lambda x: resolved(url, x)), lambda x: x.isNotNull())
+    """Redirect and canonical targets that all of a page's tags name, as absolute URLs, seen from its base element if it has one."""
+    home = F.coalesce(resolved(url, F.nullif(attribute(F.regexp_extract(html, _BASE, 0), "href"), F.lit(""))), url)
+
+    def target(tag: Column) -> Column:
+        content = attribute(tag, "content")
+        moved = F.when(content.rlike(_DELAY), F.regexp_replace(F.regexp_replace(content, _DELAY, ""), "^[\"']|[\"'].*$", ""))
+        return F.when(tag.rlike(_CANONICAL), attribute(tag, "href")).when(tag.rlike(_REFRESH), moved)
+
+    named = F.filter(F.transform(F.regexp_extract_all(html, F.lit(_TAGS), F.lit(0)), target), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(let(home, lambda h: F.transform(named, lambda x: resolved(h, x))), lambda x: x.isNotNull())
 
 
 def filter_urls(pages: DataFrame, edges: DataFrame | None = None, rules: tuple[UrlRule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
@@ -121,17 +139,55 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-_CASES = " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'" for r in sorted(RULES, key=lambda r: (-len(r.name), r.host)))
+def url_aliases_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a log of redirects in which each page moved to a short link of its path's last part, so that pages of all hosts meet in uncrawled aliases."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    edges = pages.select(F.col("url").alias("source"), F.concat(F.lit("https://go.example/"), F.regexp_extract("url", r"://[^?#]*/([^/?#]+)", 1)).alias("target"))
+    return filter_urls(pages, edges)
+
+
+_CASES = " ".join(f"WHEN ({{0}} = '{r.host}' OR ends_with({{0}}, '.{r.host}')) AND starts_with({{1}}, '{r.path}') THEN '{r.name}'" for r in sorted(RULES, key=lambda r: (-len(r.name), r.host)))
 _BLOCKS = ", ".join(f"'{r.name}'" for r in RULES if r.verdict == "block")
-_KEY = "translate(regexp_extract({0}, '(?s)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract({0}, '(?s)://[^/?#]*([^#]*)', 1)"
-#: RE2 has no lookahead: the tag is found first, its address after that.
-_TARGETS = "[regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*[\"'']?canonical\\b[^>]*'), '(?is)\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1), regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"'']?refresh\\b[^>]*'), '(?is)\\bcontent\\s*=\\s*[\"'']?\\s*[0-9.]*\\s*;?\\s*url\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)]"
-ORACLE_SQL = f"""
-WITH RECURSIVE h AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN url[instr(url, '://') + 3:] END AS rest FROM pages),
-p AS (SELECT page_id, url, html, coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path FROM h),
-r AS (SELECT *, CASE {_CASES} END AS rule, CASE WHEN contains(url, '://') THEN {_KEY.format("url")} END AS k FROM p),
-e AS (SELECT k AS a, {_KEY.format("t")} AS b FROM (SELECT k, unnest({_TARGETS}) AS t FROM r) WHERE contains(t, '://') AND k IS NOT NULL),
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HOST = "coalesce(" + _LOWER.format("regexp_extract(CASE WHEN contains({0}, '://') THEN {0}[instr({0}, '://') + 3:] END, '(?s)^([^/?#]*)', 1)") + ", '')"
+_PATH = "coalesce(regexp_extract(CASE WHEN contains({0}, '://') THEN {0}[instr({0}, '://') + 3:] END, '(?s)^[^/?#]*([^?#]*)', 1), '')"
+_KEY = _LOWER.format("regexp_extract({0}, '(?s)://([^/?#]*)', 1)") + " || regexp_extract({0}, '(?s)://[^/?#]*([^#]*)', 1)"
+_QUOTED = lambda x: x.replace("'", "''")
+
+
+def _sql_attribute(tag: str, name: str) -> str:
+    ways = " || ".join(f"regexp_extract({tag}, '{_QUOTED(rf'(?is)\s{name}\s*=\s*{way}')}', 1)" for way in _WAYS)
+    return f"regexp_replace(trim({ways}), '&(?:amp|#38|#x26);', '&', 'g')"
+
+
+def _sql_resolved(url: str, target: str) -> str:
+    """`resolved` over a row's columns, in steps: (SELECT ... FROM (SELECT ...))."""
+    return f"""(SELECT CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN origin = '' OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(t, '//') THEN regexp_extract(u, '(?s)^([^:/?#]*:)', 1) || t
+      WHEN named = '' THEN origin || path || CASE WHEN starts_with(rest, '?') THEN rest ELSE regexp_extract(u, '(?s)^[^?#]*([?][^#]*)', 1) END
+      ELSE origin || '/' || array_to_string(list_reduce(list_transform(parts, lambda x: [x]), lambda a, x: CASE WHEN x[1] = '..' THEN a[1:greatest(len(a) - 1, 0)] WHEN x[1] = '.' THEN a ELSE list_concat(a, x) END, CAST([] AS VARCHAR[])) || CASE WHEN parts[-1] IN ('.', '..') THEN [''] ELSE CAST([] AS VARCHAR[]) END, '/') || rest END
+      FROM (SELECT *, string_split(regexp_replace(CASE WHEN starts_with(t, '/') THEN named ELSE regexp_extract(path, '(?s)^(.*/)', 1) || named END, '^/', ''), '/') AS parts
+      FROM (SELECT {url} AS u, {target} AS t, regexp_extract({url}, '(?s)^([^:/?#]*://[^/?#]*)', 1) AS origin, regexp_extract({url}, '(?s)^[^:/?#]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract({target}, '(?s)^([^?#]*)', 1) AS named, regexp_extract({target}, '(?s)^[^?#]*(.*)$', 1) AS rest)))"""
+
+
+_MOVED = f"CASE WHEN regexp_matches(c, '{_QUOTED(_DELAY)}') THEN regexp_replace(regexp_replace(c, '{_QUOTED(_DELAY)}', ''), '^[\"'']|[\"''].*$', '', 'g') END"
+
+
+def oracle_sql(logged: str = "SELECT NULL AS s, NULL AS d WHERE false") -> str:
+    """The verdicts in SQL; logged selects (s, d) of logged redirects."""
+    return f"""
+WITH RECURSIVE p AS (SELECT page_id, url, html, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path FROM pages),
+r AS (SELECT *, CASE {_CASES.format("host", "path")} END AS rule, CASE WHEN contains(url, '://') THEN {_KEY.format("url")} END AS k FROM p),
+g AS (SELECT url, nullif({_sql_attribute(f"regexp_extract(html, '{_BASE}')", "href")}, '') AS b, unnest(regexp_extract_all(html, '{_TAGS}')) AS tag FROM r WHERE url IS NOT NULL),
+v AS (SELECT url, coalesce({_sql_resolved("url", "b")}, url) AS home, tag, {_sql_attribute("tag", "content")} AS c FROM g),
+n AS (SELECT url, home, CASE WHEN regexp_matches(tag, '{_QUOTED(_CANONICAL)}') THEN {_sql_attribute("tag", "href")} WHEN regexp_matches(tag, '{_QUOTED(_REFRESH)}') THEN {_MOVED} END AS x FROM v),
+l AS (SELECT url AS s, {_sql_resolved("home", "x")} AS d FROM n WHERE x <> '' UNION ALL {logged}),
+e AS (SELECT {_KEY.format("s")} AS a, {_KEY.format("d")} AS b, s, d FROM l WHERE s IS NOT NULL AND d IS NOT NULL),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-c AS (SELECT k FROM r WHERE rule IN ({_BLOCKS}) AND k IS NOT NULL UNION SELECT u.b FROM c JOIN u ON u.a = c.k)
+m AS (SELECT a AS k, s AS url FROM e UNION SELECT b, d FROM e),
+c AS (SELECT k FROM m WHERE (CASE {_CASES.format(_HOST.format("url"), _PATH.format("url"))} END) IN ({_BLOCKS}) UNION SELECT u.b FROM c JOIN u ON u.a = c.k)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ({_BLOCKS}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN k IN (SELECT k FROM c) THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
+
+
+ORACLE_SQL = oracle_sql()
+LOGGED_SQL = oracle_sql("SELECT url, 'https://go.example/' || regexp_extract(url, '://[^?#]*/([^/?#]+)', 1) FROM pages")

@@ -138,7 +138,7 @@ def test_quality_and_pii_on_odd_rows(spark, same_as_sql):
     assert pii.redact_pii(docs).select("pii").distinct().collect()[0][0] == 5
 
 
-PRIVATE = ["a@b.c a@b.c%d@e.f x@y", "1.2.3.4 999.1.1.1 1.2.3.4.5 001.02.003.255", "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111111111111111.", "+1 (807) 555-5623 +12 3 +49", "pay DE89370400440532013000 or GB82WEST12345698765432 or GB82WEST12345698765433", "é" * 5 + "x@y.zz" + "\n+44 20 7946 0958 x@y.zz", "9" * 30000, "a." * 20000 + "@b.c", None, "", "@", "1 " * 9000, "10.0.0.1 0.0.0.0 00.0.256.1 192.168.0.000 0.0.0.300", "IBAN DE89 3704 0044 0532 0130 00, GB82 WEST 1234 5698 7654 32."]
+PRIVATE = ["a@b.c a@b.c%d@e.f x@y", "1.2.3.4 999.1.1.1 1.2.3.4.5 001.02.003.255", "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111111111111111.", "+1 (807) 555-5623 +12 3 +49", "pay DE89370400440532013000 or GB82WEST12345698765432 or GB82WEST12345698765433", "é" * 5 + "x@y.zz" + "\n+44 20 7946 0958 x@y.zz", "9" * 30000, "a." * 20000 + "@b.c", None, "", "@", "1 " * 9000, "10.0.0.1 0.0.0.0 00.0.256.1 192.168.0.000 0.0.0.300", "IBAN DE89 3704 0044 0532 0130 00, GB82 WEST 1234 5698 7654 32.", 'SSN: 078-05-1120, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "order 078-05-1120 of shiptoken 04dbebab91ab85687d33eeaaf9ac699e1188f962, 000-12-3456 ssn, XX57WEST12345698765432", "account XX57WEST12345698765432 and secret aaaaaaaaaaaaaaaaaaaaaaaa", "a_token=abc123abc123abc123abc1 é" * 3, "ip 1.2.3.4 ship 1.2.3.5" + " " * 40 + "zip 9.9.9.9"]
 
 
 def test_pii_spans(spark, same_as_sql):
@@ -149,12 +149,14 @@ def test_pii_spans(spark, same_as_sql):
     assert [x for x in spans[4] if x[1] == "iban"] == [("DE89370400440532013000", "iban"), ("GB82WEST12345698765432", "iban")]
     assert [x[0] for x in spans[2]] == ["4111 1111 1111 1111", "4111111111111111"]
     assert [x[0] for x in spans[12]] == ["10.0.0.1", "0.0.0.0", "192.168.0.000"]
+    assert [x for x in spans[14] if x[1] in ("ssn", "secret")] == [("078-05-1120", "ssn"), ("04dbebab91ab85687d33eeaaf9ac699e1188f962", "secret")] and not spans[15] and [x[1] for x in spans[16]] == ["iban", "secret"]
     assert [x[0] for x in spans[13] if x[1] == "iban"] == ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
     same_as_sql(pii.span_digest(docs), pii.ORACLE_SQL, {"documents": docs.toArrow()})
     clean = {r.doc_id: r.text for r in pii.redact_pii(docs).collect()}
     assert clean[5] == "ééééé[EMAIL]\n[PHONE] [EMAIL]" and clean[8] is None and clean[6] == PRIVATE[6]
     scores = {x.score for r in found.where("doc_id = 2").collect() for x in r.pii}
     assert scores == {0.8}
+    assert [x.score for x in found.where("doc_id = 18").first().pii] == [0.8, 0.8, 0.7]
 
 
 def test_sharding(spark, sf_dir):
@@ -376,7 +378,7 @@ def test_account_numbers_before_capital_words(spark):
     assert found == {i: [v] + [w] * w.startswith("DE") for i, (v, w) in enumerate((v, w) for v in valid for w in ("EUR", "BANK OF", "and", "DE89370400440532013000"))} | {16: []}
 
 
-def test_urls_that_are_only_targets_are_judged(spark):
+def test_urls_that_are_only_targets_are_judged(spark, same_as_sql):
     link = '<link rel=canonical href="{}">'
     rows = [(1, "http://a.org/x", link.format("http://x.net/es/y")), (2, "http://b.org/p/q", link.format("/r?s#t")), (3, "http://b.org/r?s", '<meta http-equiv="refresh" content="0; url=//m.net/fr/1">'), (4, "http://c.org/d/e/f", link.format("../g")), (5, "http://c.org/d/g", link.format("http://n.net/fr/")), (6, "http://d.org/", link.format("mailto:x@x.net")), (7, "http://e.org/", link.format("/r?u=http://x.net/es/")), (8, "http://f.org/z", link.format("http://ok.net/en/"))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -384,6 +386,8 @@ def test_urls_that_are_only_targets_are_judged(spark):
     assert verdict == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "allow"}
     logged = spark.createDataFrame([("http://f.org/z", "http://l.net/es/")], "source string, target string")
     assert {r.page_id: r.verdict for r in url_filters.filter_urls(pages, logged).collect()}[8] == "block"
+    same_as_sql(url_filters.filter_urls(pages), url_filters.ORACLE_SQL, {"pages": pages.toArrow()})
+    same_as_sql(url_filters.filter_urls(pages, logged), url_filters.oracle_sql("SELECT 'http://f.org/z', 'http://l.net/es/'"), {"pages": pages.toArrow()})
     cases = {"/a": "http://h.o/a", "b": "http://h.o/p/b", "./b/../c/": "http://h.o/p/c/", "..": "http://h.o/", "../../../x": "http://h.o/x", "?k": "http://h.o/p/q?k", "#f": "http://h.o/p/q?z", "//o.p/c": "http://o.p/c", "x://y/z": "x://y/z", "mailto:a": None}
     found = spark.createDataFrame([("http://h.o/p/q?z#y", t) for t in cases], "url string, t string").select("t", url_filters.resolved(F.col("url"), F.col("t")).alias("r")).collect()
     assert {r.t: r.r for r in found} == cases
@@ -429,3 +433,22 @@ def test_substring_dedup_of_many_equal_rows(spark):
     rows = spark.range(20_000).selectExpr("cast(null as long) as doc_id", f"'{PASSAGE}' as text").unionAll(spark.range(1).selectExpr("id as doc_id", f"repeat('{PASSAGE} ', 3000) as text"))
     found = substring_dedup(rows, keep_text=False).groupBy("n_words", "n_removed").count().collect()
     assert {tuple(r) for r in found} == {(60, 60, 20_000), (180_000, 180_000, 1)}
+
+
+def test_all_tags_of_a_page_name_aliases(spark, same_as_sql):
+    """Several tags, quoted or not, entities, a base element, dots, empty targets and tags of other kinds."""
+    html = {
+        1: "<link rel=next href=/n><link data-href='/no' rel='canonical' href='http://a.org/ok'><LINK href=http://x.net/es/1 rel=canonical>",
+        2: "<link rel=canonical href='http://c.org/p?a=1&amp;b=2'>",
+        3: "<base href='//y.net/fr/'><link rel='canonical' href='./x'>",
+        4: "<meta http-equiv='Refresh' content='5;URL=\"http://z.net/es/q\"'>",
+        5: "<meta name=description content='0; url=http://z.net/es/q'><link rel=stylesheet href=http://z.net/es/q>",
+        6: "<link rel=canonical href=''><link rel=canonical>",
+        7: "<base href='http://q.net/fr/a/b'><meta http-equiv=refresh content='0;url=../../en/'>",
+        8: "<link rel=\"canonical\" href=' ../../../es/.. '>",
+    }
+    rows = [(i, f"http://h{i}.org/u/v", h) for i, h in html.items()] + [(9, "http://c.org/p?a=1&b=2", "<link rel=canonical href=http://w.net/es/>"), (10, "http://h10.com/", html[1]), (11, None, html[1]), (12, "no scheme", html[1]), (13, "http://long.org/", "x" * 300_000 + html[4]), (1, "http://h1.org/u/v", html[1]), (14, "http://e.org", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    verdict = {r.page_id: r.verdict for r in url_filters.filter_urls(pages.selectExpr("*", "1 as id", "2 as own", "3 as node", "4 as blocked", "5 as source", "6 as target")).collect()}
+    assert verdict == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "block", 10: "allow", 11: "allow", 12: "allow", 13: "block", 14: "allow"}
+    same_as_sql(url_filters.filter_urls(pages), url_filters.ORACLE_SQL, {"pages": pages.toArrow()})
