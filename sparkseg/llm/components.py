@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut
+from .frames import cut, drop_cut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(state)
     for _ in range(most_rounds):
-        state = cut(_star(_star(state, True), False))
+        last, state = state, cut(_star(_star(state, True), False))
+        drop_cut(last)
         after = mark(state)
         if after == before:
             return state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

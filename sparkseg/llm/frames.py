@@ -18,11 +18,13 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The cluster's shared folder: spark.checkpoint.dir.  Only a session within one machine, as in tests, may go without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        app = spark.sparkContext.applicationId
-        folder = _own.setdefault(app, _own.get(app) or tempfile.mkdtemp(prefix="shared-"))
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own.setdefault(context.applicationId, _own.get(context.applicationId) or tempfile.mkdtemp(prefix="shared-"))
     return folder.rstrip("/")
 
 
@@ -31,7 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop_cut(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote, once nothing that is still to run reads them."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .frames import cut, partitions, row_key
+from .frames import cut, drop_cut, partitions, row_key
 from .textkernel import U64, blocks, gram_hashes, mix, span_hashes, text_bytes
 
 TREES, LEAF, BYTES, DEPTH = 10, 1000, 128, 12
@@ -415,18 +415,21 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = signed.where("n > 0").groupBy(*of_set).agg(F.min("id").alias("least"), F.min(F.struct("k1", "k2")).alias("one"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))  # numbers that can't collide, fixed by the table
     rows = classes.select(F.explode("keys").alias("key"), "node", "sketch")
+    done: list[DataFrame] = []
     edges, none = None, spark.createDataFrame([], "key long, node long, sketch binary")
     for level in range(depth + 1):
         spread, found, copies = none, None, _copies(level)
         if level < depth and (hot := _hot(rows, leaf, least, float(similarity), copies, hot_share)):
             rows, found, spread = hot
         out = cut(rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(leaf, least, float(similarity), level == depth, copies), _STEP))
+        done.append(out)
         for one in (found, out.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))):
             edges = edges if one is None else one if edges is None else edges.unionAll(one)
         rows = out.where("other is null").select("key", "node", "sketch").unionAll(cut(spread) if spread is not none else none)
         if rows.isEmpty():
             break
     clusters = connected_components(edges)
+    drop_cut(*done)
     members = classes.join(clusters, "node").select(F.col("component").alias("cluster"), "node", "n", "one.k1", "one.k2")
     settled = _settled(members.join(keyed.where("body is not null").select("k1", "k2", "body"), ["k1", "k2"]), k, similarity, cluster_shingles)
     named = classes.select("node", "least", *of_set).join(settled, "node", "left").select("least", *of_set, F.coalesce("root", "node").alias("root"))
