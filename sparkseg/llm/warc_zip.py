@@ -1,9 +1,10 @@
-"""WARC records in ZIP-packaged archives, written by tasks and read back by ranges.
+"""WARC records in ZIP-packaged archives: files that tasks write to the shared folder and read back by ranges.
 
-An archive holds its data (gzip members, one a record) and its index as stored members, so that a
-reader finds the index through the central directory and then fetches single records by offset: it
-never extracts a member.  Archives are rows of a table of (archive, content), written with Spark's own
-writer, so they lie in whatever store the cluster shares and are made again if an executor is lost.
+An archive holds its data (gzip members, one a record) and its index as stored members.  A reader finds
+them through the central directory, in its ZIP64 form too, and turns the index into ranges of neighbouring
+records; ranges are dealt over the cluster, and each is one read of the file.  No member is ever extracted,
+so an archive may be of any size.  Files are reached through pyarrow's file systems.  Where these do not know
+the shared folder's scheme, archives are cells of a table that Spark writes instead.
 """
 
 from __future__ import annotations
@@ -15,19 +16,25 @@ import io
 import json
 import re
 import struct
+import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import cut
+from .frames import cut, partitions, shared_folder
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-ARCHIVE_BYTES = 4 << 20
+#: Record bytes before compression that fill an archive, and bytes that one read fetches (or one record, if that is larger).
+ARCHIVE_BYTES, RANGE_BYTES = 32 << 20, 1 << 20
+#: So many repeated payloads' digests are broadcast at most (some 30 MB); beyond, rows are joined to them by shuffling.
+MOST_BROADCAST = 200_000
 _DATE = "2024-01-01T00:00:00Z"
 Read = Callable[[int, int], bytes]
 
@@ -78,7 +85,7 @@ def pack(records: list[tuple[object, bytes]]) -> bytes:
     for ident, record in records:
         start = data.tell()
         data.write(gzip.compress(record, compresslevel=1, mtime=0))
-        index.append(json.dumps({"id": _name(ident), "offset": start, "length": data.tell() - start, "filename": DATA}))
+        index.append(f"{_name(ident)} {re.sub('[^0-9]', '', _DATE)} " + json.dumps({"offset": start, "length": data.tell() - start, "filename": DATA.split("/")[-1]}))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
         for name, content in ((DATA, data.getvalue()), (INDEX, "\n".join(index).encode())):
@@ -125,98 +132,185 @@ def members(read: Read, size: int) -> dict[str, tuple[int, int]]:
     return out
 
 
-def index_of(read: Read, size: int) -> tuple[dict[str, tuple[int, int]], list[dict]]:
-    found = members(read, size)
-    lines: list[dict] = []
+def index_of(read: Read, size: int) -> list[tuple[int, int]]:
+    """(offset, length) in the file of every record that the indexes name; records of data without an index are looked for."""
+    found, out, indexed = members(read, size), set(), set()
     for name, (offset, length) in found.items():
-        if name.startswith("indexes/"):
-            lines += [json.loads(x) for x in read(offset, length).decode().splitlines()]
-    return found, lines
+        if name.startswith("indexes/") and ".cdx" in name:
+            raw = read(offset, length)
+            for line in (gzip.decompress(raw) if name.endswith(".gz") else raw).decode().splitlines():
+                entry = json.loads(line[line.index("{") :]) if "{" in line else {}
+                if "offset" in entry:
+                    member = next((m for m in (entry["filename"], "archive/" + entry["filename"]) if m in found), None)
+                    if member is None:
+                        raise ValueError(f"an index names {entry['filename']}, which isn't there")
+                    start, n = int(entry["offset"]), int(entry["length"])
+                    if start + n > found[member][1]:
+                        raise ValueError("an index entry points beyond its member")
+                    out.add((found[member][0] + start, n))
+                    indexed.add(member)
+    for name, (offset, length) in found.items():
+        if name.endswith(".warc.gz") and name not in indexed:
+            out |= set(_gzip_members(read, offset, length))
+    return sorted(out)
+
+
+def _gzip_members(read: Read, offset: int, length: int) -> Iterator[tuple[int, int]]:
+    """Where the gzip members of a range begin and how long they are, read piece by piece."""
+    unzip, start, at = zlib.decompressobj(31), 0, 0
+    while at < length:
+        piece = read(offset + at, min(RANGE_BYTES, length - at))
+        at += len(piece)
+        while piece:
+            unzip.decompress(piece)
+            if not unzip.eof:
+                break
+            piece = unzip.unused_data
+            yield offset + start, at - len(piece) - start
+            start, unzip = at - len(piece), zlib.decompressobj(31)
+    if start < length:
+        raise ValueError("the last record is cut short")
+
+
+def ranges(entries: list[tuple[int, int]], most: int = RANGE_BYTES) -> Iterator[list[tuple[int, int]]]:
+    """Runs of neighbouring records of at most `most` bytes, or one record."""
+    held: list[tuple[int, int]] = []
+    for offset, length in entries:
+        if held and (offset != held[-1][0] + held[-1][1] or offset + length - held[0][0] > most):
+            yield held
+            held = []
+        held.append((offset, length))
+    if held:
+        yield held
+
+
+def _open(place: str) -> tuple[Read, int]:
+    system, path = FileSystem.from_uri(place)
+    file = system.open_input_file(path)
+    return (lambda at, n: file.read_at(n, at)), file.size()
+
+
+def _known(folder: str) -> bool:
+    try:
+        FileSystem.from_uri(folder)
+    except (pa.ArrowInvalid, OSError):
+        return False
+    return True
+
 
+def _write(folder: str | None, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[object, bytes]] = []
+        size, number = 0, 0
+        task = TaskContext.get().partitionId()
 
-def fetch(read: Read, found: dict[str, tuple[int, int]], entry: dict) -> dict:
-    """The record that an index entry names, by one range."""
-    offset, length = found[entry["filename"]]
-    if entry["offset"] + entry["length"] > length:
-        raise ValueError("an index entry points beyond its member")
-    return read_record(gzip.decompress(read(offset + entry["offset"], entry["length"])))
+        def out() -> pa.RecordBatch:
+            """An archive under a name of its own, so that an attempt that fails leaves nothing that is ever read."""
+            nonlocal held, size, number
+            content, records = pack(held), len(held)
+            name = f"pages-{task:05d}-{number:05d}-{uuid.uuid4().hex}.wacz"
+            held, size, number = [], 0, number + 1
+            if folder:
+                system, path = FileSystem.from_uri(folder)
+                with system.open_output_stream(f"{path.rstrip('/')}/{name}") as file:
+                    file.write(content)
+                name = f"{folder.rstrip('/')}/{name}"
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64()), pa.array([len(content)], pa.int64()), pa.array([None if folder else content], pa.binary())], names=["archive", "records", "bytes", "content"])
 
+        for batch in batches:
+            for ident, url, html, hexed, refers, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                record = warc_record("revisit" if revisit else "response", ident, url, html, base64.b32encode(bytes.fromhex(hexed)).decode(), refers)
+                held.append((ident, record))
+                size += len(record)
+                if size >= most:
+                    yield out()
+        if held:
+            yield out()
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[object, bytes]] = []
-    size, number = 0, 0
-    task = TaskContext.get().partitionId()
+    return run
 
-    def out() -> pa.RecordBatch:
-        nonlocal held, size, number
-        content = pack(held)
-        held, size, number = [], 0, number + 1
-        return pa.RecordBatch.from_arrays([pa.array([f"pages-{task:05d}-{number:05d}.wacz"]), pa.array([content], pa.binary())], names=["archive", "content"])
 
+_ENTRY = "archive string, at long, offsets array<long>, lengths array<long>, content binary"
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ranges of each archive."""
     for batch in batches:
-        for ident, url, html, digest, refers, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            record = warc_record("revisit" if revisit else "response", ident, url, html, digest, refers)
-            held.append((ident, record))
-            size += len(record)
-            if size >= ARCHIVE_BYTES:
-                yield out()
-    if held:
-        yield out()
+        for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
+            read, size = _open(archive) if not content.is_valid else _buffer(content.as_buffer())
+            runs = list(ranges(index_of(read, size)))
+            columns = [pa.array([archive] * len(runs), pa.string()), pa.array([r[0][0] for r in runs], pa.int64()), pa.array([[o for o, _ in r] for r in runs], pa.list_(pa.int64())), pa.array([[n for _, n in r] for r in runs], pa.list_(pa.int64()))]
+            columns.append(pa.array([read(r[0][0], r[-1][0] + r[-1][1] - r[0][0]) if content.is_valid else None for r in runs], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["archive", "at", "offsets", "lengths", "content"])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _buffer(data: pa.Buffer) -> tuple[Read, int]:
+    return (lambda at, n: data.slice(at, n).to_pybytes()), data.size
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One read for each range, and its records, checked against their digests."""
+    last, read = None, None
     for batch in batches:
-        for content in batch.column("content"):
-            data = content.as_buffer()
-            read = lambda at, n, d=data: d.slice(at, n).to_pybytes()
-            found, entries = index_of(read, data.size)
+        for archive, at, offsets, lengths, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if content is None:
+                if archive != last:
+                    last, (read, _) = archive, _open(archive)
+                content = read(at, offsets[-1] + lengths[-1] - at)
             rows = []
-            for entry in entries:
-                record = fetch(read, found, entry)
+            for offset, length in zip(offsets, lengths, strict=True):
+                record = read_record(gzip.decompress(content[offset - at : offset - at + length]))
                 h = record["headers"]
                 digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                 if h["WARC-Type"] == "response" and (payload_digest(record["payload"]) != digest or len(record["payload"]) != record["payload_bytes"]):
-                    raise ValueError(f"a record's payload isn't what its head says: {entry}")
+                    raise ValueError(f"the record at {offset} of {archive} has another payload than its head says")
                 ident = h["WARC-Record-ID"].removeprefix("<urn:page:").rstrip(">")
                 refers = h.get("WARC-Refers-To", "null").removeprefix("<urn:page:").rstrip(">")
                 rows.append((_value(ident), h.get("WARC-Target-URI"), record["payload_bytes"], digest, h["WARC-Type"], _value(refers), record["payload"] if h["WARC-Type"] == "response" else None))
-            for at in range(0, len(rows), 500):
-                columns = list(zip(*rows[at : at + 500], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()), strict=True)], names=["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+            columns = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()), strict=True)], names=["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(archive, content): a record for each row.
+def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """Writes a record for each row into archives in a folder (the shared one) and returns (archive, records, bytes, content); content is null for files.
 
     Of records with equal payloads of at least least_bytes bytes, those with the largest id are responses and
     the others revisit it; smaller payloads are all responses.  A null html is an empty payload, a null id
     is below all others, and rows that repeat the largest id are all responses.  Other columns are not read.
-    The payloads' largest ids are aggregated before the shuffle, and a hot payload's rows may be split.
+    The largest ids of repeated payloads are aggregated before the shuffle; up to most_broadcast of them are
+    broadcast, so that pages stay where they are, and more are joined, where a hot payload's rows may be split.
     """
+    spark = pages.sparkSession
     html = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary")
     base = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), html.alias("html"))
-    keyed = base.select("*", F.sha1("html").alias("hex"), F.octet_length("html").alias("bytes"))
-    last = keyed.where(F.col("bytes") >= least_bytes).groupBy("hex", "bytes").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").select("hex", "bytes", "last")
-    joined = keyed.join(last, ["hex", "bytes"], "left")
+    keyed = base.select("*", F.sha1("html").alias("hex"), F.octet_length("html").alias("size"))
+    last = keyed.where(F.col("size") >= least_bytes).groupBy("hex", "size").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").select("hex", "size", "last")
+    last = cut(last)
+    joined = keyed.join(F.broadcast(last) if last.count() <= most_broadcast else last, ["hex", "size"], "left")
     revisit = F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("id"))
-    digest = F.expr("hex")
-    rows = joined.select("id", "url", "html", digest.alias("digest"), "last", revisit.alias("revisit"))
-    return rows.mapInArrow(_with_base32, rows.schema).mapInArrow(_write, "archive string, content binary")
+    rows = joined.select("id", "url", "html", "hex", "last", revisit.alias("revisit"))
+    folder = folder or f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    if _known(folder):
+        system, path = FileSystem.from_uri(folder)
+        system.create_dir(path)
+    else:
+        folder = None
+    return cut(rows.mapInArrow(_write(folder, archive_bytes), "archive string, records long, bytes long, content binary"))
 
 
-def _with_base32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bare = [base64.b32encode(bytes.fromhex(x)).decode() for x in batch.column("digest").to_pylist()]
-        yield batch.set_column(batch.schema.get_field_index("digest"), "digest", pa.array(bare))
+def archive_files(spark: SparkSession, places: list[str]) -> DataFrame:
+    """Archives that are already there, for read_archives: paths or URIs that all executors reach."""
+    return spark.createDataFrame([(x, None) for x in places], "archive string, content binary")
 
 
 def read_archives(archives: DataFrame, id_type: str = "long") -> DataFrame:
-    """The records of archives (content): id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for a revisit)."""
-    out = archives.select("content").mapInArrow(_read, "id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
+    """The records of (archive, content): id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for a revisit)."""
+    ranged = archives.select("archive", "content").mapInArrow(_listed, _ENTRY).repartition(partitions(archives.sparkSession), "archive", "at").sortWithinPartitions("archive", "at")
+    out = ranged.mapInArrow(_fetch, "id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
     return out.withColumn("id", F.col("id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    found = read_archives(cut(write_archives(pages)), pages.schema["page_id"].dataType.simpleString())
+    found = read_archives(write_archives(pages), pages.schema["page_id"].dataType.simpleString())
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import io
 import zipfile
@@ -295,7 +296,7 @@ def test_sentencepiece_parity(spark, sf_dir, kind):
     assert sentencepiece_codec.encode_texts(docs.limit(0), model).count() == 0
 
 
-def test_warc_round_trip(spark, sf_dir):
+def test_warc_round_trip(spark, sf_dir, tmp_path):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     odd = spark.createDataFrame([(1000, "u", "a"), (1001, "u\n x", "a"), (1002, None, "a"), (1003, "u", None), (None, "u", ""), (1003, "u", None)], "page_id long, url string, html string")
     pages = pages.unionByName(odd)
@@ -314,6 +315,43 @@ def test_warc_round_trip(spark, sf_dir):
     assert all(bytes(r.payload) == html[r.id] for r in found if r.record_type == "response")
     small = warc_zip.read_archives(warc_zip.write_archives(pages, least_bytes=2)).where("record_type = 'revisit'")
     assert small.count() == 0 and warc_zip.read_archives(warc_zip.write_archives(pages.limit(0))).count() == 0
+    odd = pages.selectExpr("*", *(f"{i} as `{c}`" for i, c in enumerate(("id", "hex", "size", "last", "n", "archive", "content", "revisit"))))
+    for archives in (warc_zip.write_archives(odd, archive_bytes=100_000, most_broadcast=0), warc_zip.write_archives(odd, folder=str(tmp_path))):
+        found = warc_zip.read_archives(warc_zip.archive_files(spark, [r.archive for r in archives.collect()])).collect()
+        assert Counter((r.id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == want
+    assert all(zipfile.ZipFile(f).testzip() is None for f in tmp_path.iterdir()) and list(tmp_path.iterdir())
+
+
+def test_warc_of_very_long_payloads_and_cells(spark, monkeypatch):
+    """Payloads beyond a range and an archive; archives as cells where a folder's scheme is unknown."""
+    pages = spark.createDataFrame([(i, "u", "long " * 400_000 * (i % 3) + str(i % 5)) for i in range(12)], "page_id long, url string, html string").repartition(2)
+    text = {r.page_id: r.html.encode() for r in pages.collect()}
+    for kind in ("file", "cell"):
+        monkeypatch.setattr(warc_zip, "_known", lambda folder, kind=kind: kind == "file")
+        found = warc_zip.read_archives(warc_zip.write_archives(pages, archive_bytes=3_000_000)).collect()
+        assert {r.id: bytes(r.payload) for r in found} == text and all(r.payload_bytes == len(text[r.id]) for r in found)
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """A compressed index with names without folders and numbers as text; data without any index; members that are compressed are no data."""
+    records = [warc_zip.warc_record("response", i, f"http://h/{i}", b"x" * i, warc_zip.payload_digest(b"x" * i)) for i in range(20)]
+    packed, lines, at = b"", [], 0
+    for i, r in enumerate(records):
+        member = gzip.compress(r)
+        lines.append(f'org,h)/{i} 2024 {{"offset": "{len(packed)}", "length": "{len(member)}", "filename": "a.warc.gz"}}')
+        packed += member
+    for name, index in (("with", True), ("without", False)):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_STORED) as z:
+            z.writestr("archive/a.warc.gz", packed)
+            z.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+            if index:
+                z.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(["!meta 0", *lines]).encode()))
+    for name in ("with", "without"):
+        found = warc_zip.read_archives(warc_zip.archive_files(spark, [str(tmp_path / name)])).collect()
+        assert sorted((r.id, r.payload_bytes) for r in found) == [(i, i) for i in range(20)]
+    with pytest.raises(ValueError):
+        list(warc_zip._gzip_members(lambda a, n: packed[:-3][a : a + n], 0, len(packed) - 3))
+    assert [len(r) for r in warc_zip.ranges([(0, 5), (5, 5), (10, 90), (100, 1), (102, 1)], 10)] == [2, 1, 1, 1]
 
 
 def test_zip64_and_damage():
