@@ -10,9 +10,10 @@ independently, so that losses do not add up with the depth.  A node only names a
 what it finds similar: joined over nodes, forests connect just what all the pairs would.  The clusters that
 result are supersets of the wanted ones, and each is then settled on full shingle sets.
 
-A node with more than 1 / HOT_SHARE of all rows is never gathered (`_hot`): its rows are compared with
-one of them, its pivot, and branch where they lie.  A row so near the pivot that whatever is similar to
-it must be similar to the pivot too (by the triangle inequality of byte distances) ends there.
+A node above leaf with more than 1 / HOT_SHARE of all rows is first thinned where its rows lie (`_thinned`):
+they are compared with one of them, the pivot, and a row so near to it that whatever is similar to the row
+must be similar to the pivot too (by the triangle inequality of byte distances) ends there, as most
+of a group of near copies do.  If what is left exceeds what a task can hold, it branches in place too.
 
 At a similarity s of s0 or more, a pair misses all the trees' first nodes with (1 - s0) ** trees
 (6e-9 at 0.85 and 10, 1e-7 at 0.8), and fails the byte comparison at five standard deviations (3e-7).
@@ -172,28 +173,27 @@ def _branched(similarity: float, copies: int):
     return run
 
 
-def _hot(rows: DataFrame, leaf: int, least: int, similarity: float, copies: int, share: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """The rows of nodes that aren't hot, the edges that hot nodes give, and the rows of their children; None if no node is hot.
+def _hot_keys(rows: DataFrame, least: int, total: int, share: int) -> DataFrame | None:
+    """Keys of more than `least` rows and more than 1 / share of them all, at most `share` by that, to be broadcast; None if there are none."""
+    counts = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(least, total // share)).select("key"))
+    return None if counts.isEmpty() else F.broadcast(counts)
 
-    Only keys are counted.  A row that agrees with the pivot in `least` bytes has an edge to it.  It is done
-    with this node if 128 - same < least - most, `most` being the best agreement among rows without an
-    edge: anything at most 128 - least bytes from it is then less than that from the pivot.
+
+def _thinned(rows: DataFrame, least: int, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows without those that a comparison with their node's pivot settles, and the edges it gives; only the hot nodes of `keys` are looked at.
+
+    A row that agrees with the pivot in `least` bytes has an edge to it.  It is done with this node if
+    128 - same < least - most, `most` being the best agreement among rows without an edge: anything at
+    most 128 - least bytes from it is then less than that from the pivot.
     """
-    counts = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > leaf))
-    if counts.isEmpty():
-        return None
-    hot = counts.where(F.col("n") > rows.count() // share).select("key")
-    if hot.isEmpty():
-        return None
-    hot = F.broadcast(hot)
-    mine = rows.join(hot, "key", "left_semi")
-    pivots = cut(mine.groupBy("key").agg(F.min("node").alias("pivot")))
-    pivots = cut(mine.join(F.broadcast(pivots), "key").where("node = pivot").groupBy("key", "pivot").agg(F.first("sketch").alias("pivot_sketch")))
+    mine = cut(rows.join(keys, "key", "left_semi"))
+    pivots = mine.join(F.broadcast(mine.groupBy("key").agg(F.min("node").alias("pivot"))), "key").where("node = pivot").groupBy("key", "pivot").agg(F.first("sketch").alias("pivot_sketch"))
     near = cut(mine.join(F.broadcast(pivots), "key").select("key", "node", "sketch", "pivot", "pivot_sketch").mapInArrow(_agreement, "key long, node long, sketch binary, pivot long, same int"))
+    drop_cut(mine)
     most = near.where(F.col("same") < least).groupBy("key").agg(F.max("same").alias("most"))
-    going = near.join(F.broadcast(most), "key").where(F.col("same") <= BYTES - least + F.col("most")).select("key", "node", "sketch")
+    left = near.join(F.broadcast(most), "key").where(F.col("same") <= BYTES - least + F.col("most")).select("key", "node", "sketch")
     edges = near.where((F.col("same") >= least) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    return rows.join(hot, "key", "left_anti"), edges, going.mapInArrow(_branched(similarity, copies), "key long, node long, sketch binary")
+    return rows.join(keys, "key", "left_anti").unionAll(left), edges
 
 
 def _compare(leaf: int, least: int, similarity: float, last: bool, copies: int = 1):
@@ -396,7 +396,7 @@ def _settled(members: DataFrame, k: int, ratio: Fraction, most: int) -> DataFram
     return found.join(big, "cluster", "left_anti").select("node", "root").unionAll(whole.select("node", F.col("component").alias("root")))
 
 
-def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: Fraction = Fraction(4, 5), k: int = 5, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH, cluster_shingles: int = CLUSTER_SHINGLES, hot_share: int = HOT_SHARE) -> DataFrame:
+def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: Fraction = Fraction(4, 5), k: int = 5, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH, cluster_shingles: int = CLUSTER_SHINGLES, hot_share: int = HOT_SHARE, held: int = _HELD) -> DataFrame:
     """Links texts whose sets of k-word shingles (A-Z lower-cased) have the similarity or more, and names their components.
 
     Returns the id, n_shingles, component_id (the least id that links reach, itself included) and kept.
@@ -416,16 +416,22 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))  # numbers that can't collide, fixed by the table
     rows = classes.select(F.explode("keys").alias("key"), "node", "sketch")
     done: list[DataFrame] = []
-    edges, none = None, spark.createDataFrame([], "key long, node long, sketch binary")
+    edges = None
     for level in range(depth + 1):
-        spread, found, copies = none, None, _copies(level)
-        if level < depth and (hot := _hot(rows, leaf, least, float(similarity), copies, hot_share)):
-            rows, found, spread = hot
+        found, spread, copies = None, None, _copies(level)
+        total = rows.count()
+        if (not level or total > held) and (keys := _hot_keys(rows, leaf, total, hot_share)) is not None:
+            rows, found = _thinned(rows, least, keys)
+        if level < depth and total > held and (keys := _hot_keys(rows, held, total, hot_share)) is not None:
+            spread = cut(rows.join(keys, "key", "left_semi").mapInArrow(_branched(float(similarity), copies), "key long, node long, sketch binary"))
+            rows = rows.join(keys, "key", "left_anti")
         out = cut(rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(leaf, least, float(similarity), level == depth, copies), _STEP))
-        done.append(out)
+        done += [x for x in (out, spread) if x is not None]
         for one in (found, out.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))):
             edges = edges if one is None else one if edges is None else edges.unionAll(one)
-        rows = out.where("other is null").select("key", "node", "sketch").unionAll(cut(spread) if spread is not none else none)
+        rows = out.where("other is null").select("key", "node", "sketch")
+        if spread is not None:
+            rows = rows.unionAll(spread)
         if rows.isEmpty():
             break
     clusters = connected_components(edges)

@@ -48,7 +48,7 @@ def test_substring_dedup_on_odd_rows(spark, same_as_sql, hot):
     assert substring_dedup(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("settings", [{}, {"leaf": 1, "depth": 2, "cluster_shingles": 60}, {"leaf": 1, "depth": 3, "cluster_shingles": 60, "hot_share": 10**9}])
+@pytest.mark.parametrize("settings", [{}, {"leaf": 1, "depth": 2, "cluster_shingles": 60}, {"leaf": 1, "depth": 3, "cluster_shingles": 60, "hot_share": 10**9, "held": 1}])
 def test_near_dedup_on_odd_rows(spark, same_as_sql, settings):
     docs = odd_docs(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
     same_as_sql(minhash_dedup(docs, similarity=Fraction(85, 100), **settings), NEAR_SQL, {"documents": docs.select("doc_id", "text").toArrow()})
