@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans.events import ORACLE_SQL, QUERIES, split_hourly
+from .plans import events, kernels
+from .plans.events import split_hourly
+
+QUERIES = events.QUERIES | kernels.QUERIES
+ORACLE_SQL = events.ORACLE_SQL | kernels.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 BLOCK = 2_000_000
+#: Query length from which dot products go by Fourier transform, and rows after which the rolling ones start anew, so that errors do not add up.
+FOURIER, RESTART = 512, 512
 
 
 def as_series(values) -> np.ndarray:
@@ -81,24 +83,54 @@ def smallest(distances: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def neighbours(series: np.ndarray, w: int, k: int, distance: str = "znormed_euclidean_distance", constraints: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and distances (windows, constraints, k) of every window's nearest windows beyond half a window."""
+def sliding_dot(query: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Dot products of a query with every window of its length; by Fourier transform if it is long, then exact for whole numbers too."""
+    w, n = len(query), len(x)
+    if w < FOURIER:
+        return np.correlate(x, query, "valid")
+    size = 1 << (n + w - 1).bit_length()
+    out = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(query[::-1], size), size)[w - 1 : n]
+    whole = (x == np.rint(x)).all() and np.abs(x).max() ** 2 * w < 2**40
+    return np.rint(out) if whole else out
+
+
+def rolling_dots(x: np.ndarray, w: int, first: int, stop: int, start: np.ndarray | None = None) -> np.ndarray:
+    """Dot products of windows first .. stop - 1 with all windows: each row is the one before, a place on, with one product gone and one more.
+
+    start holds the products of window 0, which begin every row.
+    """
+    l = len(x) - w + 1
+    start = sliding_dot(x[:w], x) if start is None else start
+    out = np.empty((stop - first, l))
+    out[0] = start if first == 0 else sliding_dot(x[first : first + w], x)
+    for r in range(1, stop - first):
+        i = first + r
+        out[r, 0] = start[i]
+        np.add(out[r - 1, :-1], x[i + w - 1] * x[w:], out=out[r, 1:])
+        out[r, 1:] -= x[i - 1] * x[: l - 1]
+    return out
+
+
+def neighbours(series: np.ndarray, w: int, k: int, distance: str = "znormed_euclidean_distance", constraints: list[tuple[int, int]] | None = None, rows: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and distances (windows, constraints, k) of every window's nearest windows beyond half a window; of windows rows[0] .. rows[1] - 1 if given."""
     x = as_series(series)
     n, dims = x.shape
     if n < w * k or n < w:
         raise ValueError("a series needs at least window size times neighbours points")
     constraints = [(0, n)] if constraints is None else constraints
     l, r = n - w + 1, w // 2
-    offsets, dists = np.zeros((l, len(constraints), k), np.int64), np.zeros((l, len(constraints), k))
-    views = [np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x[:, d], w)) for d in range(dims)]
-    rules = [pick(DISTANCES, distance, "distance")(x[:, d], w) for d in range(dims)]
-    step = max(1, BLOCK // l)
-    for at in range(0, l, step):
-        rows = np.arange(at, min(l, at + step))
+    begin, end = rows or (0, l)
+    offsets, dists = np.zeros((end - begin, len(constraints), k), np.int64), np.zeros((end - begin, len(constraints), k))
+    channels = [np.ascontiguousarray(x[:, d]) for d in range(dims)]
+    starts = [sliding_dot(c[:w], c) for c in channels]
+    rules = [pick(DISTANCES, distance, "distance")(c, w) for c in channels]
+    step = max(1, min(RESTART, BLOCK // l))
+    for at in range(begin, end, step):
+        rows = np.arange(at, min(end, at + step))
         total = np.zeros((len(rows), l))
         near = np.abs(np.arange(l)[None] - rows[:, None]) <= r
-        for view, rule in zip(views, rules, strict=True):
-            d = rule(rows, view[rows] @ view.T)
+        for channel, start, rule in zip(channels, starts, rules, strict=True):
+            d = rule(rows, rolling_dots(channel, w, at, at + len(rows), start))
             d = np.where(near, d.max(1, keepdims=True), d)
             std = d.std(1, keepdims=True)
             total += (d - d.mean(1, keepdims=True)) / np.where(std == 0, 1, std) / dims
@@ -107,8 +139,8 @@ def neighbours(series: np.ndarray, w: int, k: int, distance: str = "znormed_eucl
             if len(mine) and high - w + 1 > low:
                 part = total[mine, low : high - w + 1]
                 found = smallest(part, min(k, part.shape[1]))
-                offsets[rows[mine], c, : found.shape[1]] = found + low
-                dists[rows[mine], c, : found.shape[1]] = np.take_along_axis(part, found, 1)
+                offsets[rows[mine] - begin, c, : found.shape[1]] = found + low
+                dists[rows[mine] - begin, c, : found.shape[1]] = np.take_along_axis(part, found, 1)
     return offsets, dists
 
 
@@ -219,6 +251,10 @@ class Split:
     high: int
     w: int
 
+    def local(self, validation: str | None, threshold: float) -> bool:
+        """Whether the best split validates, for a profile of this range alone."""
+        return Split(self.profile, self.offsets, 0, self.high - self.low, self.w).cut(validation, threshold) is not None
+
     def cut(self, validation: str | None, threshold: float, strict: bool = False) -> int | None:
         """The best split if it validates.  Without strict, votes are cut at the place in the whole range, as published gates were set."""
         at = int(self.profile.argmax())
@@ -245,29 +281,37 @@ def constraints_of(n: int, m: int, estimators: int, seed: int) -> list[tuple[int
     return sorted(out, key=lambda c: c[1] - c[0], reverse=True)
 
 
-def ensemble(x: np.ndarray, w: int, k: int, distance: str, score: str, radius: int, estimators: int, early: bool, validation: str | None, threshold: float, seed: int, strict: bool = False) -> Split:
-    """The best of the profiles of all parts, each averaged with its share of the range."""
+def ensemble(x: np.ndarray, w: int, k: int, distance: str, score: str, radius: int, estimators: int, early: bool, validation: str | None, threshold: float, seed: int, parts: list[tuple[int, int]] | None = None) -> Split:
+    """The best of the profiles of all parts, each averaged with its share of the range.
+
+    The whole range comes first.  With early, the search ends with the first part that is no better than
+    those before, or with the first best one that validates.
+    """
     n, m = len(x), w * radius
     if n < 2 * m:
         raise ValueError("a series needs at least twice the smallest segment")
-    parts = constraints_of(n, m, estimators, seed)
-    first, _ = neighbours(x, w, k, distance, parts[:1])
-    rest, best, top = None, None, -np.inf
-    for c, (low, high) in enumerate(parts):
-        if c and rest is None:
-            rest, _ = neighbours(x, w, k, distance, parts[1:])
-        offsets = (first[:, 0] if not c else rest[:, c - 1])[low : high - w + 1] - low
-        p = (profile(offsets, w, m, score) + (high - low) / n) / 2
-        if p.max() > top or best is None and c == len(parts) - 1:
-            top = p.max()
-            whole = np.full(n - w + 1, -np.inf)
-            whole[low : high - w + 1] = p
-            best = Split(whole, offsets, low, high, w)
-        elif early:
-            break
-        if early and Split(p, offsets, 0, high - low, w).cut(validation, threshold) is not None:
+    parts = constraints_of(n, m, estimators, seed) if parts is None else parts
+
+    def fits():
+        """One fit after another; the neighbours of all parts but the first are found together, when the second is asked for."""
+        for group in (parts[:1], parts[1:]):
+            found = neighbours(x, w, k, distance, group)[0] if group else None
+            for c, (low, high) in enumerate(group):
+                offsets = found[low : high - w + 1, c] - low
+                yield Split((profile(offsets, w, m, score) + (high - low) / n) / 2, offsets, low, high, w)
+
+    best, top = None, -np.inf
+    for fit in fits():
+        better = fit.profile.max() > top
+        if better:
+            best, top = fit, fit.profile.max()
+        if early and (not better or best.local(validation, threshold)):
             break
-    return best or Split(np.full(n - w + 1, -np.inf), None, 0, n, w)
+    whole = np.full(n - w + 1, -np.inf)
+    if best is None:
+        return Split(whole, None, 0, n, w)
+    whole[best.low : best.high - w + 1] = best.profile
+    return Split(whole, best.offsets, best.low, best.high, w)
 
 
 @dataclass
@@ -302,7 +346,7 @@ def segment(values, n_segments: int | str = "learn", n_estimators: int = 10, win
         nonlocal order
         if high - low < 2 * m:
             return None
-        fit = ensemble(x[low:high], w, k_neighbours, distance, score, excl_radius, n_estimators, early_stopping, validation, threshold, random_state, strict)
+        fit = ensemble(x[low:high], w, k_neighbours, distance, score, excl_radius, n_estimators, early_stopping, validation, threshold, random_state)
         at = fit.cut(validation, threshold, strict)
         if at is not None and np.isfinite(fit.profile[at]) and not any(max(0, c - m) <= low + at < min(n, c + m) for c in [0, *cps, n]):
             heapq.heappush(queue, (-fit.profile[at], order, low, high, at, fit.profile))
@@ -352,16 +396,13 @@ def suss(x: np.ndarray, lbound: int = 10, threshold: float = 0.89) -> int:
     e = 0
     while 2**e < n and (2**e < lbound or not value(2**e) > threshold):  # ends at n, which the score doesn't reach
         e += 1
-    low, high = max(lbound, 2 ** (e - 1) if e else 1), min(2**e + 1, n - 1)
-    while low <= high:
-        w = (low + high) // 2
-        v = value(w)
-        if v < threshold:
+    low, end = max(lbound, 2 ** (e - 1) if e else 1), min(2**e + 1, n - 1) + 1
+    while low < end:  # the first window of low .. end - 1 that reaches the threshold
+        w = (low + end - 1) // 2
+        if value(w) < threshold:
             low = w + 1
-        elif v > threshold:
-            high = w - 1
         else:
-            break
+            end = w
     return 2 * low
 
 

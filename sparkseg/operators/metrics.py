@@ -8,24 +8,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import segments_of
-
 
 def change_point_distance(truth: DataFrame, found: DataFrame, lengths: DataFrame) -> DataFrame:
     """(series_id, distance): summed distance of found change points to the nearest true one, over their number times the length; 6 places."""
     n_true = truth.groupBy("series_id").agg(F.count("*").alias("k"))
-    near = found.join(truth.select("series_id", F.col("cp").alias("true_cp")), "series_id").groupBy("series_id", "cp").agg(F.min(F.abs(F.col("cp") - F.col("true_cp"))).alias("d"))
+    near = nearest(found, truth).where("match is not null").select("series_id", F.abs(F.col("cp") - F.col("match")).alias("d"))
     total = near.groupBy("series_id").agg(F.sum("d").alias("d")).join(n_true, "series_id").join(lengths, "series_id")
     return total.select("series_id", F.round(F.col("d") / (F.col("k") * F.col("n")), 6).alias("distance"))
 
 
 def covering(truth: DataFrame, found: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(series_id, covering): each true segment's best overlap (intersection over union), weighted by its length."""
-    a, b = segments_of(truth, lengths).where("end > start"), segments_of(found, lengths).where("end > start")
-    pairs = a.select("series_id", F.col("start").alias("s1"), F.col("end").alias("e1")).join(b.select("series_id", F.col("start").alias("s2"), F.col("end").alias("e2")), "series_id").where("s1 < e2 and s2 < e1")
-    shared = F.least("e1", "e2") - F.greatest("s1", "s2")
-    best = pairs.groupBy("series_id", "s1", "e1").agg(F.max(shared / (F.greatest("e1", "e2") - F.least("s1", "s2"))).alias("o"))
-    return best.groupBy("series_id").agg((F.sum((F.col("e1") - F.col("s1")) * F.col("o")) / F.sum(F.col("e1") - F.col("s1"))).alias("covering"))
+    """(series_id, covering): each true segment's best overlap (intersection over union), weighted by its length.
+
+    Between neighbouring bounds of either kind lies just the overlap of one true and one found segment, so
+    the bounds are put in order once and no segments are paired.
+    """
+    mark = lambda df, a, b: df.select("series_id", F.col("cp").cast("long").alias("x"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    both = mark(truth, 1, 0).unionAll(mark(found, 0, 1)).unionAll(lengths.select("series_id", F.lit(0).cast("long"), F.lit(1), F.lit(1)))
+    both = both.groupBy("series_id", "x").agg(F.max("a").alias("a"), F.max("b").alias("b")).join(lengths, "series_id").where("x >= 0 and x < n")
+    order = Window.partitionBy("series_id").orderBy("x")
+    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    at = lambda c: F.when(F.col(c) == 1, F.col("x"))
+    ends = {f"s{c}": F.last(at(c), True).over(back) for c in "ab"} | {f"e{c}": F.coalesce(F.first(at(c), True).over(ahead), F.col("n")) for c in "ab"}
+    pieces = both.select("series_id", (F.coalesce(F.lead("x").over(order), F.col("n")) - F.col("x")).alias("shared"), *(v.alias(k) for k, v in ends.items()))
+    best = pieces.groupBy("series_id", "sa", "ea").agg(F.max(F.col("shared") / (F.greatest("ea", "eb") - F.least("sa", "sb"))).alias("o"))
+    return best.groupBy("series_id").agg((F.sum((F.col("ea") - F.col("sa")) * F.col("o")) / F.sum(F.col("ea") - F.col("sa"))).alias("covering"))
 
 
 def true_positives(truth, found, margin: int = 5) -> list[int]:
@@ -100,8 +107,15 @@ def dense_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("series_id", (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).alias("overlap"))
 
 
-def nearest(left: DataFrame, right: DataFrame, margin: int) -> DataFrame:
-    """(series_id, cp) each with the nearest of right's cp within the margin, or null; of equals the smaller."""
-    pairs = left.join(right.select("series_id", F.col("cp").alias("match")), "series_id").where(F.abs(F.col("cp") - F.col("match")) <= margin)
-    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("series_id", "cp").orderBy(F.abs(F.col("cp") - F.col("match")), "match"))).where("r = 1").drop("r")
-    return left.join(best, ["series_id", "cp"], "left")
+def nearest(left: DataFrame, right: DataFrame, margin: int | None = None) -> DataFrame:
+    """(series_id, cp) each with the nearest of right's cp (within the margin, if given), or null; of equals the smaller.
+
+    Both are put in one order, where the nearest is the last before or the first after.
+    """
+    rows = left.select("series_id", "cp", F.lit(1).alias("asks")).unionAll(right.select("series_id", "cp", F.lit(0)))
+    order = Window.partitionBy("series_id").orderBy("cp", "asks")
+    known = F.when(F.col("asks") == 0, F.col("cp"))
+    rows = rows.select("series_id", "cp", "asks", F.last(known, True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("a"), F.first(known, True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("b"))
+    match = F.when(F.col("b").isNull() | (F.col("cp") - F.col("a") <= F.col("b") - F.col("cp")), F.col("a")).otherwise(F.col("b"))
+    out = rows.where("asks = 1").select("series_id", "cp", match.alias("match"))
+    return out if margin is None else out.withColumn("match", F.when(F.abs(F.col("match") - F.col("cp")) <= margin, F.col("match")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,6 +65,39 @@ def grouped_knn(p: DataFrame, w: int, k: int, distance: str = "znormed_euclidean
     return p.groupBy("series_id").applyInPandas(run, "series_id string, tc_id int, i long, rank int, j long, dist double")
 
 
+def blocked_knn(p: DataFrame, w: int, k: int, distance: str = "znormed_euclidean_distance", block_rows: int = 4096) -> DataFrame:
+    """The same rows for long series: each series is packed, and every block of its windows is one row of work, so one series runs as many tasks as it has blocks.
+
+    A task holds one packed series and a bounded block of distances; a series of n points is sent n / block_rows times.
+    """
+    packed = p.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "dim", "value"))).alias("v"), (F.max("dim") + 1).alias("dims"))
+    packed = packed.select("series_id", "dims", F.transform("v", lambda x: x["value"].cast("double")).alias("values")).where(F.size("values") >= F.lit(w * k) * F.col("dims"))
+    last = (F.size("values") / F.col("dims")).cast("int") - w
+    work = packed.select("*", F.explode(F.sequence(F.lit(0), last, F.lit(block_rows))).alias("first"))
+    work = work.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "first")
+
+    def run(frames):
+        for frame in frames:
+            for row in frame.itertuples():
+                x = np.asarray(row.values).reshape(-1, row.dims)
+                stop = min(row.first + block_rows, len(x) - w + 1)
+                offsets, dists = kernels.neighbours(x, w, k, distance, None, (row.first, stop))
+                idx = [g.ravel() for g in np.mgrid[row.first : stop, 0:k]]
+                yield pd.DataFrame({"series_id": row.series_id, "tc_id": 0, "i": idx[0], "rank": idx[1] + 1, "j": offsets.ravel(), "dist": dists.ravel()})
+
+    return work.mapInPandas(run, "series_id string, tc_id int, i long, rank int, j long, dist double")
+
+
+def rolling_dots(p: DataFrame, w: int) -> DataFrame:
+    """(series_id, i, j, dot) for i <= j, declared: the products of points a lag apart, summed along each lag."""
+    x = p.select("series_id", "t", "value")
+    pairs = x.join(x.select("series_id", F.col("t").alias("u"), F.col("value").alias("other")), "series_id").where("u >= t")
+    along = Window.partitionBy("series_id", "lag").orderBy("i").rowsBetween(0, w - 1)
+    lagged = pairs.select("series_id", F.col("t").alias("i"), (F.col("u") - F.col("t")).alias("lag"), (F.col("value") * F.col("other")).alias("product"))
+    out = lagged.select("series_id", "i", "lag", F.sum("product").over(along).alias("dot"), F.count("*").over(along).alias("n")).where(F.col("n") == w)
+    return out.select("series_id", "i", (F.col("i") + F.col("lag")).alias("j"), "dot")
+
+
 def constrain(knn: DataFrame, low: int, high: int, w: int) -> DataFrame:
     """Rows of the windows inside [low, high), counted from low."""
     return knn.where((F.col("i") >= low) & (F.col("i") <= high - w)).withColumn("i", F.col("i") - low).withColumn("j", F.col("j") - low)
@@ -113,21 +148,26 @@ def best_split(profile: DataFrame) -> DataFrame:
     return best.select("series_id", F.col("b.s").alias("cp"), F.col("b.score").alias("score"))
 
 
-#: |z| at which twice the normal tail is the threshold.
-CRITICAL = {1e-15: 8.02685888, 1e-30: 11.52388358, 1e-50: 14.97947757}
+def critical(threshold: float) -> float:
+    """|z| at which twice the normal tail is the threshold, to 8 places."""
+    if not 0 < threshold <= 1:
+        raise ValueError("a significance threshold is above 0 and at most 1")
+    low, high = 0.0, 40.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if math.erfc(middle / math.sqrt(2)) > threshold else (low, middle)
+    return round(low, 8)
 
 
 def validated(th: DataFrame, split: DataFrame, w: int, threshold: float = 1e-15) -> DataFrame:
     """(series_id, cp, score, z, valid): rank sums of the votes on both sides of each split."""
-    if threshold not in CRITICAL:
-        raise ValueError(f"known thresholds: {', '.join(map(str, CRITICAL))}")
     vote = F.when((F.col("i") >= F.col("cp") - w) & (F.col("i") < F.col("cp")), 1).otherwise((F.col("th") >= F.col("cp")).cast("int"))
     sums = th.join(split, "series_id").select("series_id", "cp", "score", "i", vote.alias("v")).groupBy("series_id", "cp", "score").agg(
         F.count("*").alias("n"), F.sum(1 - F.col("v")).alias("zeros"), F.sum(F.when(F.col("i") < F.col("cp"), F.col("v")).otherwise(0)).alias("left1"))
     n, n1, zeros, left1 = F.col("n").cast("double"), F.col("cp").cast("double"), F.col("zeros").cast("double"), F.col("left1").cast("double")
     total = (n1 - left1) * (zeros + 1) / 2 + left1 * (zeros + n + 1) / 2
     z = (total - n1 * (n + 1) / 2) / F.sqrt(n1 * (n - n1) * (n + 1) / 12)
-    return sums.select("series_id", "cp", "score", z.alias("z"), (F.abs(z) >= CRITICAL[threshold]).alias("valid"))
+    return sums.select("series_id", "cp", "score", z.alias("z"), (F.abs(z) >= critical(threshold)).alias("valid"))
 
 
 def interpolated(profile: DataFrame, lengths: DataFrame) -> DataFrame:

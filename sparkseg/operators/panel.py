@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, kernels
+from .series import windows
 
 
 def _matrix(frame: pd.DataFrame) -> np.ndarray:
@@ -52,10 +55,45 @@ def window_sizes(p: DataFrame, method: str = "suss", rule: str = "segmentation")
         return pd.DataFrame({"series_id": [key[0]], "dim": [int(key[1])], "w": [kernels.window_size_of(frame.sort_values("t")["value"].to_numpy(dtype=float), method)]})
 
     each = p.groupBy("series_id", "dim").applyInPandas(run, "series_id string, dim int, w long")
+    return _by_rule(each, rule)
+
+
+def all_window_sizes(p: DataFrame) -> DataFrame:
+    """(series_id, dim, suss, fft, acf): every method in one pass over each channel."""
+    names = list(kernels.WINDOW_METHODS)
+
+    def run(key, frame):
+        x = frame.sort_values("t")["value"].to_numpy(dtype=float)
+        return pd.DataFrame({"series_id": [key[0]], "dim": [int(key[1])], **{n: [kernels.window_size_of(x, n)] for n in names}})
+
+    return p.groupBy("series_id", "dim").applyInPandas(run, "series_id string, dim int, " + ", ".join(f"{n} long" for n in names))
+
+
+def _by_rule(each: DataFrame, rule: str) -> DataFrame:
     value = {"segmentation": F.min(F.greatest(F.lit(3), F.expr("w div 2"))), "states": F.floor(F.avg(F.greatest(F.lit(1), F.col("w")))), "stream": F.min("w")}
     return each.groupBy("series_id").agg(kernels.pick(value, rule, "rule").cast("int").alias("window_size"))
 
 
+def segment_arrays(p: DataFrame, cps: DataFrame) -> DataFrame:
+    """(series_id, seg_id, values) of one channel: a segmentation's dense output; the segments' starts are put among the points in order, so no point is joined to a range."""
+    w = Window.partitionBy("series_id").orderBy("t")
+    marked = p.select("series_id", "t", "value").join(cps.select("series_id", F.col("cp").alias("t"), F.lit(1).alias("new")).distinct(), ["series_id", "t"], "left")
+    held = marked.select("series_id", "t", "value", F.sum(F.coalesce("new", F.lit(0))).over(w).alias("seg_id"))
+    return held.groupBy("series_id", "seg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("values"))
+
+
+def merged_states(pairs: DataFrame) -> DataFrame:
+    """(series_id, y_true, y_pred, n), a confusion of each series, to (series_id, label, state): labels that are confused become one state, numbered from 1."""
+
+    def run(key, frame):
+        labels = np.unique(np.concatenate([frame["y_true"], frame["y_pred"]]))
+        y, pred, n = (np.searchsorted(labels, frame[c]) if c != "n" else frame[c].to_numpy() for c in ("y_true", "y_pred", "n"))
+        state, _, _ = classify.merge_states(np.arange(len(labels)), np.repeat(y, n), np.repeat(pred, n))
+        return pd.DataFrame({"series_id": key[0], "label": labels.astype("int64"), "state": state.astype("int64")})
+
+    return pairs.groupBy("series_id").applyInPandas(run, "series_id string, label long, state int")
+
+
 def states(p: DataFrame, cps: DataFrame | None = None, **settings) -> DataFrame:
     """(series_id, seg_id, start, end, state) of every series; cps (series_id, cp) are found if none are given."""
 
@@ -74,6 +112,8 @@ def state_scores(p: DataFrame, cps: DataFrame, classifier: str = "rocket", windo
     """(series_id, y_true, y_pred, n): the confusion of the cross-validated window classifier, a label a segment."""
 
     def run(key, frame, c):
+        if not len(frame):  # change points of a series that has no points
+            return pd.DataFrame({"series_id": pd.Series([], dtype=object), **{n: pd.Series([], dtype="int64") for n in ("y_true", "y_pred", "n")}})
         x = kernels.as_series(_matrix(frame))
         at = sorted(c["cp"].tolist())
         y, pred = classify.cross_validated(*classify.capped(*classify.windows_of(x, classify.dense_states(at, range(len(at) + 1), len(x)), window_size), sample_size, seed), classifier, n_splits, seed)
@@ -101,6 +141,34 @@ def transitions(segments: DataFrame) -> DataFrame:
     return counted.withColumn("prob", F.col("n") / F.sum("n").over(Window.partitionBy("series_id", "from_state")))
 
 
+def labelled_windows(p: DataFrame, segments: DataFrame, w: int) -> DataFrame:
+    """(series_id, dim, i, window, state): half-overlapping windows with the state at their start; starts just before a change are left out.
+
+    segments is (series_id, seg_id, start, end, state).  Each is opened into its own window starts, which
+    are then looked up by place, so no window is compared with a range.
+    """
+    stride, last = max(1, w // 2), F.max("seg_id").over(Window.partitionBy("series_id"))
+    free = F.when(F.col("seg_id") < F.col("last"), F.col("end") - (w // 2 - 1)).otherwise(F.col("end"))
+    first = F.ceil(F.col("start") / stride) * stride
+    open_ = segments.withColumn("last", last).select("series_id", "state", first.alias("first"), free.alias("free")).where("free > first")
+    starts = open_.select("series_id", F.explode(F.sequence(F.col("first"), F.col("free") - 1, F.lit(stride).cast("long"))).alias("i"), "state")
+    return windows(p, w).join(starts, ["series_id", "i"]).select("series_id", "dim", "i", "window", "state")
+
+
+def classification_gain(confused: DataFrame) -> DataFrame:
+    """One row, gain: macro F1 of a confusion (y_true, y_pred, n) less the mean share of its true classes."""
+    share = confused.groupBy("y_true").agg(F.sum("n").alias("t")).agg(F.avg("t").alias("a"), F.sum("t").alias("n")).select((F.col("a") / F.col("n")).alias("chance"))
+    return macro_f1(confused).crossJoin(share).select((F.col("f1") - F.col("chance")).alias("gain"))  # one row each
+
+
+def process_nodes(segments: DataFrame) -> DataFrame:
+    """(series_id, state, n, points, x, y): the states of a process, how many segments and points they have, and places on a circle for a drawing."""
+    w = Window.partitionBy("series_id")
+    nodes = segments.groupBy("series_id", "state").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("points"))
+    turn = 2 * math.pi * (F.row_number().over(w.orderBy("state")) - 1) / F.count("*").over(w)
+    return nodes.select("series_id", "state", "n", "points", F.cos(turn).alias("x"), F.sin(turn).alias("y"))
+
+
 def confusion(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("y_true", "y_pred").agg(F.count("*").alias("n"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -51,19 +51,34 @@ KNN_SQL = f"""{H_SQL},
 w AS MATERIALIZED (SELECT a.t AS i, list(b.v ORDER BY b.t) AS win, max(a.n) AS n FROM (SELECT *, count(*) OVER () AS n FROM x) a JOIN x b ON b.t BETWEEN a.t AND a.t + {W - 1} GROUP BY a.t HAVING count(*) = {W}),
 d AS (SELECT a.i, b.i AS j, list_sum(list_transform(list_zip(a.win, b.win), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS dist FROM w a JOIN w b ON abs(a.i - b.i) > {W // 2}),
 knn AS MATERIALIZED (SELECT i, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank, j, dist FROM d QUALIFY rank <= {K})"""
-PROFILE_SQL = f"""{KNN_SQL},
-l AS (SELECT max(i) + 1 AS l FROM w),
+def profile_sql(knn: str, windows: str = "w") -> str:
+    """Counts by split of votes and sides, stated naively over every pair of split and window."""
+    return f"""{knn},
+l AS (SELECT max(i) + 1 AS l FROM {windows}),
 s AS (SELECT unnest(range({M}, (SELECT l FROM l) - {M} + {W})) AS s),
 v AS (SELECT s, i, CASE WHEN i >= s - {W} AND i < s THEN 1 WHEN 2 * count(*) FILTER (j >= s) > {K} THEN 1 ELSE 0 END AS p, CASE WHEN i >= s THEN 1 ELSE 0 END AS y FROM s, knn GROUP BY s, i),
 c AS (SELECT s, count(*) FILTER (p = 1 AND y = 1) AS tn, count(*) FILTER (p = 1 AND y = 0) AS fn, count(*) FILTER (p = 0 AND y = 1) AS fp, count(*) FILTER (p = 0 AND y = 0) AS tp FROM v GROUP BY s)"""
 
 
+PROFILE_SQL = profile_sql(KNN_SQL)
+M_SQL = """e AS (SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL), ty AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS dim FROM (SELECT DISTINCT event_type FROM events)),
+x AS (SELECT dim, row_number() OVER (PARTITION BY dim ORDER BY hour) - 1 AS t, CAST(coalesce(n, 0) AS DOUBLE) AS v FROM (SELECT DISTINCT hour FROM e) CROSS JOIN ty LEFT JOIN e USING (hour, event_type))"""
+MULTI_SQL = f"""{M_SQL}, w AS MATERIALIZED (SELECT a.dim, a.t AS i, list(b.v ORDER BY b.t) AS win FROM x a JOIN x b ON a.dim = b.dim AND b.t BETWEEN a.t AND a.t + {W - 1} GROUP BY a.dim, a.t HAVING count(*) = {W}),
+d AS (SELECT a.dim, a.i, b.i AS j, list_sum(list_transform(list_zip(a.win, b.win), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM w a JOIN w b USING (dim)),
+m AS (SELECT dim, i, j, CASE WHEN abs(i - j) <= {W // 2} THEN max(d) OVER (PARTITION BY dim, i) ELSE d END AS d FROM d),
+z AS (SELECT dim, i, j, (d - avg(d) OVER q) / CASE WHEN stddev_pop(d) OVER q = 0 THEN 1 ELSE stddev_pop(d) OVER q END / (SELECT count(*) FROM ty) AS z FROM m WINDOW q AS (PARTITION BY dim, i)),
+t AS (SELECT i, j, list_sum(list(z ORDER BY dim)) AS dist FROM z GROUP BY i, j),
+knn AS MATERIALIZED (SELECT i, row_number() OVER (PARTITION BY i ORDER BY round(dist, 11), j) AS rank, j, dist FROM t QUALIFY rank <= {K})"""
+AUC_SQL = "CASE WHEN tn + fn > 0 AND fp + tp > 0 THEN round((1 + tn / (tn + fn) - fp / (fp + tp)) / 2, 9) END AS score"
+
+
 def knn_hourly(spark, sf_dir):
     return nb.self_join(_scaled_hourly(spark, sf_dir), W, K, EUCLID).select("i", "rank", "j", "dist")
 
 
 def _thresholds(spark, sf_dir):
-    return nb.thresholds(nb.grouped_knn(_scaled_hourly(spark, sf_dir), W, K, EUCLID), K)
+    """Kept, since a split and its validation read it more than once; three numbers a window."""
+    return nb.thresholds(nb.grouped_knn(_scaled_hourly(spark, sf_dir), W, K, EUCLID), K).persist()
 
 
 def profile_auc(spark, sf_dir):
@@ -104,27 +119,31 @@ def suss_scores(spark, sf_dir):
 
 
 def window_sizes(spark, sf_dir):
-    p = vectors(spark, sf_dir)
-    out = None
-    for method in ("suss", "fft", "acf"):
-        one = panel.window_sizes(p, method, "stream").select("series_id", F.col("window_size").alias(method))
-        out = one if out is None else out.join(one, "series_id")
-    return out
+    """All three methods on every embedding, in one pass."""
+    return panel.all_window_sizes(vectors(spark, sf_dir)).drop("dim")
 
 
-def _truth_found(spark, sf_dir):
-    """Order-status changes of customers as truth and price jumps as found change points: long sets for the metrics."""
+def ordered(spark, sf_dir) -> DataFrame:
+    """(series_id, t, status, priority, price): the orders of each customer in order."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    p = o.select((F.col("o_custkey") % 50).cast("string").alias("series_id"), (F.col("o_orderkey") % 1000).cast("long").alias("t"))
-    truth = p.where("t % 3 = 1 and t > 0").select("series_id", F.col("t").alias("cp")).distinct()
-    found = p.where("t % 3 = 2 and t > 0").select("series_id", F.col("t").alias("cp")).distinct()
-    return truth, found, p.select("series_id").distinct().withColumn("n", F.lit(1000).cast("long"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return o.select(F.col("o_custkey").cast("string").alias("series_id"), (F.row_number().over(w) - 1).cast("long").alias("t"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"), F.lag("o_orderstatus").over(w).alias("status0"), F.lag("o_orderpriority").over(w).alias("priority0"), F.lag("o_totalprice").over(w).alias("price0"))
+
 
+def _changes(p: DataFrame, condition: str) -> DataFrame:
+    return p.where(f"t > 0 and ({condition})").select("series_id", F.col("t").alias("cp"))
 
-_TF_SQL = """p AS (SELECT CAST(o_custkey % 50 AS VARCHAR) AS series_id, CAST(o_orderkey % 1000 AS BIGINT) AS t FROM orders),
-tr AS (SELECT DISTINCT series_id, t AS cp FROM p WHERE t % 3 = 1 AND t > 0), fo AS (SELECT DISTINCT series_id, t AS cp FROM p WHERE t % 3 = 2 AND t > 0), ids AS (SELECT DISTINCT series_id FROM p)"""
+
+def _truth_found(spark, sf_dir):
+    """Changes of order status as truth, and jumps of the price as found change points, of every customer's orders."""
+    p = ordered(spark, sf_dir)
+    return _changes(p, "status <> status0"), _changes(p, "abs(price - price0) > 200000"), p.groupBy("series_id").agg(F.count("*").alias("n"))
+
+
+_TF_SQL = """p AS (SELECT CAST(o_custkey AS VARCHAR) AS series_id, row_number() OVER w - 1 AS t, o_orderstatus <> lag(o_orderstatus) OVER w AS status, o_orderpriority <> lag(o_orderpriority) OVER w AS priority, abs(o_totalprice - lag(o_totalprice) OVER w) > 200000 AS price FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+tr AS (SELECT series_id, t AS cp FROM p WHERE t > 0 AND status), fo AS (SELECT series_id, t AS cp FROM p WHERE t > 0 AND price), ids AS (SELECT series_id, count(*) AS n FROM p GROUP BY series_id)"""
 _COVER_SQL = """ab AS (SELECT series_id, cp AS s FROM tr UNION ALL SELECT series_id, 0 FROM ids), bb AS (SELECT series_id, cp AS s FROM fo UNION ALL SELECT series_id, 0 FROM ids),
-a AS (SELECT series_id, s, coalesce(lead(s) OVER (PARTITION BY series_id ORDER BY s), 1000) AS e FROM ab), b AS (SELECT series_id, s, coalesce(lead(s) OVER (PARTITION BY series_id ORDER BY s), 1000) AS e FROM bb),
+a AS (SELECT series_id, s, coalesce(lead(s) OVER (PARTITION BY series_id ORDER BY s), n) AS e FROM ab JOIN ids USING (series_id)), b AS (SELECT series_id, s, coalesce(lead(s) OVER (PARTITION BY series_id ORDER BY s), n) AS e FROM bb JOIN ids USING (series_id)),
 o AS (SELECT a.series_id, a.s, a.e, max(greatest(0, least(a.e, b.e) - greatest(a.s, b.s)) / (greatest(a.e, b.e) - least(a.s, b.s))) AS o FROM a JOIN b USING (series_id) GROUP BY ALL)"""
 
 
@@ -163,7 +182,7 @@ def dense_labels(spark, sf_dir):
 
 
 def state_f1(spark, sf_dir):
-    s = _event_states(spark, sf_dir).select(F.col("state").alias("y_true"), F.when(F.col("t") % 4 == 0, F.lit(112)).otherwise(F.col("state")).alias("y_pred"))
+    s = _event_states(spark, sf_dir).select(F.col("state").alias("y_true"), guessed().alias("y_pred"))
     return panel.macro_f1(panel.confusion(s)).select(F.round("f1", 9).alias("f1"))
 
 
@@ -181,8 +200,8 @@ def _segmented(p: DataFrame, **settings) -> DataFrame:
     return out.select("series_id", "n", F.coalesce(F.transform("c", lambda x: x["cp"]), none).alias("change_points"), F.coalesce(F.transform("c", lambda x: F.round(x["score"], 9)), F.array().cast("array<double>")).alias("scores"))
 
 
-def segment_users(spark, sf_dir):
-    """Change points of all user series, and of the hourly series."""
+def segment_ensemble(spark, sf_dir):
+    """Change points of all user series, and of the hourly series, by the whole method with its random parts."""
     return _segmented(users(spark, sf_dir).unionByName(hourly(spark, sf_dir).withColumn("value", F.col("value").cast("double"))), window_size=5)
 
 
@@ -202,12 +221,24 @@ def stream_replay(spark, sf_dir):
     return p.groupBy("series_id").applyInPandas(run, "series_id string, n long, n_change_points long, last_cp long")
 
 
-def multichannel_profile(spark, sf_dir):
-    """Fixture M: hourly counts by event type, five channels, one profile."""
+def channels(spark, sf_dir) -> DataFrame:
+    """Fixture M: hourly counts by event type, one channel each."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.date_trunc("hour", "ts").alias("hour"), "event_type")
-    wide = e.groupBy("hour").pivot("event_type").count().na.fill(0)  # fails beyond spark.sql.pivotMaxValues types
-    dim = wide.select("hour", F.posexplode(F.array(*sorted(c for c in wide.columns if c != "hour"))).alias("dim", "n"))
-    return panel.profiles(se.points(dim, F.lit("M"), "hour", "n", "dim").withColumn("value", F.col("value").cast("double")), window_size=W)
+    types = e.select("event_type").distinct().select("event_type", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("event_type")) - 1).alias("dim"))
+    counted = e.groupBy("hour", "event_type").agg(F.count("*").alias("n"))
+    grid = e.select("hour").distinct().crossJoin(F.broadcast(types))  # hours x types
+    full = grid.join(counted, ["hour", "event_type"], "left").select("hour", "dim", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return se.points(full, F.lit("M"), "hour", "n", "dim").withColumn("value", F.col("value").cast("double"))
+
+
+def knn_multichannel(spark, sf_dir):
+    """Neighbours by the mean of the channels' z-scored distances."""
+    return nb.grouped_knn(channels(spark, sf_dir), W, K, EUCLID).select("i", "rank", "j", F.round("dist", 6).alias("dist"))
+
+
+def multichannel_profile(spark, sf_dir):
+    th = nb.thresholds(nb.grouped_knn(channels(spark, sf_dir), W, K, EUCLID), K)
+    return nb.score_profile(th, W, M).select(F.col("s").cast("long").alias("s"), F.round("score", 9).alias("score"))
 
 
 def states_vectors(spark, sf_dir):
@@ -270,14 +301,15 @@ def segment_values(spark, sf_dir):
 
 
 def labelled_windows(spark, sf_dir):
-    """Half-overlapping windows of user series with the state at their start; starts just before a change are left out."""
-    cut = F.lit(25)
-    w = se.windows(users(spark, sf_dir), 10).where((F.col("i") % 5 == 0) & ~((F.col("i") >= cut - 4) & (F.col("i") < cut)))
-    return w.select("series_id", F.col("i").cast("long").alias("i"), (F.col("i") >= cut).cast("int").alias("state"), F.round(F.aggregate("window", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    """Windows of user series that change their state at point 25."""
+    p = users(spark, sf_dir)
+    segments = se.segments_of(p.select("series_id").distinct().withColumn("cp", F.lit(25).cast("long")), p.groupBy("series_id").agg(F.count("*").alias("n"))).withColumn("state", F.col("seg_id").cast("int"))
+    w = panel.labelled_windows(p, segments, 10)
+    return w.select("series_id", F.col("i").cast("long").alias("i"), "state", F.round(F.aggregate("window", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 def state_confusion(spark, sf_dir):
-    s = _event_states(spark, sf_dir).select(F.col("state").alias("y_true"), F.when(F.col("t") % 4 == 0, F.lit(112)).otherwise(F.col("state")).alias("y_pred"))
+    s = _event_states(spark, sf_dir).select(F.col("state").alias("y_true"), guessed().alias("y_pred"))
     return panel.confusion(s)
 
 
@@ -288,20 +320,29 @@ def state_scores(spark, sf_dir):
 
 
 def f_measure(spark, sf_dir):
-    truth, found, _ = _truth_found(spark, sf_dir)
-    return metrics.f_measure(truth.withColumn("annotator", (F.col("cp") % 2).cast("int")), found, 1).select("series_id", *(F.round(c, 9).alias(c) for c in ("f", "precision", "recall")))
+    """Price jumps against two annotators: changes of status, and of priority."""
+    p = ordered(spark, sf_dir)
+    notes = _changes(p, "status <> status0").withColumn("annotator", F.lit(0)).unionAll(_changes(p, "priority <> priority0").withColumn("annotator", F.lit(1)))
+    notes = notes.unionAll(p.where("t = 0").select("series_id", F.lit(None).cast("long"), F.explode(F.array(F.lit(0), F.lit(1)))))  # an annotator without any change still counts
+    found = _changes(p, "abs(price - price0) > 200000").unionAll(p.where("t = 0").select("series_id", F.lit(None).cast("long")))
+    return metrics.f_measure(notes, found, 1).select("series_id", *(F.round(c, 9).alias(c) for c in ("f", "precision", "recall")))
+
+
+def guessed():
+    """A second opinion on states: every fourth is another."""
+    return F.when(F.col("t") % 4 == 0, F.lit(112)).otherwise(F.col("state"))
 
 
 def mutual_information(spark, sf_dir):
-    s = _event_states(spark, sf_dir).select("series_id", F.col("state").alias("truth"), F.when(F.col("t") % 4 == 0, F.lit(112)).otherwise(F.col("state")).alias("state"))
-    return metrics.ami(s).select("series_id", F.round("ami", 9).alias("ami"))
+    s = _event_states(spark, sf_dir).select("series_id", F.col("state").alias("truth"), guessed().alias("state"))
+    return metrics.ami(s).select("series_id", F.round("ami", 6).alias("ami"))
 
 
 QUERIES = {
     "knn_self_join": knn_hourly, "profile_roc_auc": profile_auc, "profile_f1": profile_f1, "split_validated": split_hourly, "rolling_stats": rolling_users, "min_max_scaled": scaled_users, "rolled_slice": rolled_users, "suss_scores": suss_scores,
     "window_sizes": window_sizes, "covering": covering, "cp_distance": cp_distance, "nearest_cp": nearest_cp, "score_summary": score_summary, "event_segments": event_segments, "state_transitions": event_transitions, "dense_states": dense_labels, "macro_f1": state_f1,
-    "segment_panel": segment_users, "segment_long": segment_shipped, "multichannel_profile": multichannel_profile, "detect_states": states_vectors, "stream_replay": stream_replay,
-    "knn_complexity": knn_complexity, "knn_znormed": knn_znormed, "knn_constrained": knn_constrained, "reverse_knn": reverse_neighbours, "profile_interpolated": profile_interpolated, "profile_merged": profile_merged, "online_profile": online_profile,
+    "segment_ensemble": segment_ensemble, "segment_long": segment_shipped, "multichannel_profile": multichannel_profile, "detect_states": states_vectors, "stream_replay": stream_replay,
+    "knn_multichannel": knn_multichannel, "knn_complexity": knn_complexity, "knn_znormed": knn_znormed, "knn_constrained": knn_constrained, "reverse_knn": reverse_neighbours, "profile_interpolated": profile_interpolated, "profile_merged": profile_merged, "online_profile": online_profile,
     "segment_values": segment_values, "labelled_windows": labelled_windows, "state_confusion": state_confusion, "state_scores": state_scores, "f_measure": f_measure, "mutual_information": mutual_information,
 }
 
@@ -324,7 +365,7 @@ p AS (SELECT a.series_id, a.t, avg(b.v) AS m, stddev_pop(b.v) AS s, max(b.v) - m
 SELECT series_id, round(avg(sqrt(power(m - gm, 2) + power(s - gs, 2) + power(r - gr, 2)) / sqrt(10.0::DOUBLE)), 6) AS score FROM p JOIN g USING (series_id) GROUP BY series_id""",
     "covering": f"WITH {_TF_SQL}, {_COVER_SQL} SELECT series_id, round(sum((e - s) * o) / sum(e - s), 9) AS covering FROM o GROUP BY series_id",
     "score_summary": f"WITH {_TF_SQL}, {_COVER_SQL}, q AS (SELECT series_id, sum((e - s) * o) / sum(e - s) AS c FROM o GROUP BY series_id) SELECT round(avg(round(c, 9)), 6) AS mean, round(median(round(c, 9)), 6) AS median, round(stddev(round(c, 9)), 6) AS std, count(*) AS n FROM q",
-    "cp_distance": f"WITH {_TF_SQL}, d AS (SELECT fo.series_id, fo.cp, min(abs(fo.cp - tr.cp)) AS d FROM fo JOIN tr USING (series_id) GROUP BY ALL), k AS (SELECT series_id, count(*) AS k FROM tr GROUP BY 1) SELECT series_id, round(sum(d) / (k * 1000), 6) AS distance FROM d JOIN k USING (series_id) GROUP BY series_id, k",
+    "cp_distance": f"WITH {_TF_SQL}, d AS (SELECT fo.series_id, fo.cp, min(abs(fo.cp - tr.cp)) AS d FROM fo JOIN tr USING (series_id) GROUP BY ALL), k AS (SELECT series_id, count(*) AS k FROM tr GROUP BY 1) SELECT series_id, round(sum(d) / (k * n), 6) AS distance FROM d JOIN k USING (series_id) JOIN ids USING (series_id) GROUP BY series_id, k, n",
     "nearest_cp": f"WITH {_TF_SQL} SELECT fo.series_id, fo.cp, (SELECT arg_min(tr.cp, abs(tr.cp - fo.cp) * 10000 + tr.cp) FROM tr WHERE tr.series_id = fo.series_id AND abs(tr.cp - fo.cp) <= 2) AS match FROM fo",
     "event_segments": f'WITH {_RUN_SQL} SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY "start") - 1 AS INT) AS seg_id, "start", "end", state FROM r',
     "state_transitions": f"""WITH {_RUN_SQL}, n AS (SELECT series_id, state AS from_state, lead(state) OVER (PARTITION BY series_id ORDER BY "start") AS to_state FROM r), c AS (SELECT series_id, from_state, to_state, count(*) AS n FROM n WHERE to_state IS NOT NULL GROUP BY ALL)
@@ -353,5 +394,21 @@ SELECT s, CASE WHEN tp > 0 AND tn > 0 THEN round((2.0::DOUBLE * tp / (2 * tp + f
 SELECT series_id, seg_id, count(*) AS n, arg_min(v, t) AS first, arg_max(v, t) AS last, round(sum(v), 4) AS total FROM g GROUP BY series_id, seg_id""",
     "labelled_windows": f"""WITH {_U_SQL} SELECT a.series_id, a.t AS i, CAST(a.t >= 25 AS INT) AS state, round(sum(b.v), 6) AS total FROM u a JOIN u b ON a.series_id = b.series_id AND b.t BETWEEN a.t AND a.t + 9
 WHERE a.t % 5 = 0 AND NOT a.t BETWEEN 21 AND 24 GROUP BY a.series_id, a.t HAVING count(*) = 10""",
+    "knn_multichannel": f"WITH {MULTI_SQL} SELECT i, CAST(rank AS INT) AS rank, j, round(dist, 6) AS dist FROM knn",
+    "multichannel_profile": f"WITH {profile_sql(MULTI_SQL)} SELECT s, {AUC_SQL} FROM c",
+    "f_measure": f"""WITH RECURSIVE {_TF_SQL}, a AS (SELECT series_id, k, list_sort(list_distinct([0::BIGINT] || coalesce(list(t) FILTER (t > 0 AND CASE k WHEN 0 THEN status WHEN 1 THEN priority ELSE status OR priority END), []))) AS truth, list_sort(list_distinct([0::BIGINT] || coalesce(list(t) FILTER (t > 0 AND price), []))) AS found FROM p, range(3) r(k) GROUP BY series_id, k),
+g AS (SELECT series_id, k, 1 AS pos, found AS free, 0 AS hits, truth FROM a UNION ALL
+SELECT series_id, k, pos + 1, CASE WHEN best IS NULL THEN free ELSE list_filter(free, lambda x: x <> best) END, hits + CASE WHEN best IS NULL THEN 0 ELSE 1 END, truth
+FROM (SELECT *, list_min(list_transform(list_filter(free, lambda x: abs(x - truth[pos]) <= 1), lambda x: abs(x - truth[pos]) * 1000000 + x)) % 1000000 AS best FROM g WHERE pos <= len(truth))),
+h AS (SELECT series_id, k, max(hits) AS hits FROM g GROUP BY series_id, k),
+q AS (SELECT series_id, max(hits / len(found)) FILTER (k = 2) AS p, avg(hits / len(truth)) FILTER (k < 2) AS r FROM h JOIN a USING (series_id, k) GROUP BY series_id)
+SELECT series_id, round(p * r / (0.5::DOUBLE * r + 0.5::DOUBLE * p), 9) AS f, round(p, 9) AS precision, round(r, 9) AS recall FROM q""",
+    "mutual_information": f"""WITH {_ES_SQL}, c AS (SELECT series_id, state AS u, CASE WHEN t % 4 = 0 THEN 112 ELSE state END AS v, count(*) AS n FROM e GROUP BY ALL),
+a AS (SELECT series_id, u, sum(n)::DOUBLE AS x FROM c GROUP BY ALL), b AS (SELECT series_id, v, sum(n)::DOUBLE AS y FROM c GROUP BY ALL), s AS (SELECT series_id, sum(n)::DOUBLE AS n FROM c GROUP BY ALL),
+h AS (SELECT series_id, (SELECT -sum(x / s.n * ln(x / s.n)) FROM a WHERE a.series_id = s.series_id) AS ha, (SELECT -sum(y / s.n * ln(y / s.n)) FROM b WHERE b.series_id = s.series_id) AS hb, (SELECT count(*) FROM a WHERE a.series_id = s.series_id) AS ka, (SELECT count(*) FROM b WHERE b.series_id = s.series_id) AS kb FROM s),
+i AS (SELECT series_id, sum(c.n / s.n * ln(s.n * c.n / (x * y))) AS mi FROM c JOIN a USING (series_id, u) JOIN b USING (series_id, v) JOIN s USING (series_id) GROUP BY series_id),
+k AS (SELECT series_id, x, y, n, unnest(range(CAST(greatest(1, x + y - n) AS BIGINT), CAST(least(x, y) AS BIGINT) + 1))::DOUBLE AS k FROM a JOIN b USING (series_id) JOIN s USING (series_id)),
+m AS (SELECT series_id, sum(k / n * ln(n * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1))) AS emi FROM k GROUP BY series_id)
+SELECT series_id, round(CASE WHEN ka = 1 AND kb = 1 OR abs((ha + hb) / 2 - emi) <= 1e-15 THEN 1 ELSE (mi - emi) / ((ha + hb) / 2 - emi) END, 6) AS ami FROM h JOIN i USING (series_id) JOIN m USING (series_id)""",
     "state_confusion": f"WITH {_ES_SQL} SELECT state AS y_true, CASE WHEN t % 4 = 0 THEN 112 ELSE state END AS y_pred, count(*) AS n FROM e GROUP BY ALL",
 }

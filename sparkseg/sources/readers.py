@@ -6,6 +6,13 @@ labels are of segments, and time_series has a row of channels for each point.  N
 
 from __future__ import annotations
 
+import csv
+import io
+import zipfile
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +28,8 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def read_tssb(spark: SparkSession, folder: str, names: list[str] | None = None) -> DataFrame:
     """desc.txt, properties.txt and <name>.txt of a folder; only the named series' files are read."""
     number = lambda x: F.trim(x).cast("long")
-    desc = _lines(spark, f"{folder}/desc.txt").select(F.trim(F.col("f")[0]).alias("dataset"), F.trim(F.col("f")[1]).cast("int").alias("window_size"), F.transform(F.slice("f", 3, 100_000), number).alias("cps"))
-    props = _lines(spark, f"{folder}/properties.txt").select(F.trim(F.col("f")[0]).alias("dataset"), number(F.col("f")[2]).alias("cut"), F.transform(F.slice("f", 5, 100_000), number).alias("raw"))
+    desc = _lines(spark, f"{folder}/desc.txt").select(F.trim(F.col("f")[0]).alias("dataset"), F.trim(F.col("f")[1]).cast("int").alias("window_size"), F.transform(F.slice("f", 3, F.greatest(F.size("f") - 2, F.lit(0))), number).alias("cps"))
+    props = _lines(spark, f"{folder}/properties.txt").select(F.trim(F.col("f")[0]).alias("dataset"), number(F.col("f")[2]).alias("cut"), F.transform(F.slice("f", 5, F.greatest(F.size("f") - 4, F.lit(0))), number).alias("raw"))
     both = desc.join(props, "dataset")
     if names is not None:
         both = both.where(F.col("dataset").isin(names))
@@ -45,9 +52,28 @@ def point_labels(benchmark: DataFrame) -> DataFrame:
     return one.select("series_id", F.explode(F.sequence(F.col("s.start"), F.col("s.stop") - 1)).alias("t"), F.col("s.label").alias("label"))
 
 
+HAS_COLUMNS = ("group", "subject", "routine", "ts_challenge_id", "change_points", "activities", *INDOOR, "lat", "lon", "speed")
+
+
+def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of every CSV member of zipped files, a batch of rows at a time."""
+    csv.field_size_limit(1 << 30)
+    for batch in batches:
+        for content in batch.column("content"):
+            with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
+                for name in sorted(n for n in z.namelist() if n.endswith(".csv")):
+                    with z.open(name) as member:
+                        rows = csv.DictReader(io.TextIOWrapper(member, encoding="utf-8", newline=""))
+                        while part := list(islice(rows, 16)):
+                            yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in part], pa.string()) for c in HAS_COLUMNS], names=list(HAS_COLUMNS))
+
+
 def read_has(spark: SparkSession, path: str) -> DataFrame:
-    """The activity benchmark's CSV (unpacked); list cells are parsed as JSON, never evaluated."""
-    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    """The activity benchmark's CSV, plain or zipped; list cells are parsed as JSON, never evaluated."""
+    if path.endswith(".zip"):
+        raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_unzipped, ", ".join(f"`{c}` string" for c in HAS_COLUMNS))
+    else:
+        raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
     numbers = lambda c: F.from_json(F.translate(F.col(f"`{c}`"), "'", '"'), "array<double>")
     zipped = lambda names: F.transform(F.arrays_zip(*(numbers(c).alias(f"c{i}") for i, c in enumerate(names))), lambda x: F.array(*(x[f"c{i}"] for i in range(len(names)))))
     indoor = F.col("group").startswith("indoor")

@@ -1,14 +1,20 @@
-"""Online segmentation of one series: a sliding buffer, its neighbours kept up to date, and a profile per evaluation."""
+"""Online segmentation of one series: a sliding buffer, its neighbours kept up to date, a profile per evaluation, and the best scores so far."""
 
 from __future__ import annotations
 
-import pickle
+import io
+import json
+import math
 
 import numpy as np
 
 from ..functions.kernels import pick, significant, stream_profile, votes, window_size_of
 
 
+#: Number of the layout of a stored state; points after which dot products start anew, so that errors do not add up.
+FORMAT, RESTART = 1, 256
+
+
 class OnlineNeighbours:
     """The k nearest windows of each window in a buffer of n points; places are counted from the stream's start.
 
@@ -29,32 +35,39 @@ class OnlineNeighbours:
         self.seen = self.filled = self.lbound = 0
         self.buffer, self._spare, self._used = np.zeros(0), None, 0
         self.dists, self.places = np.full((self.windows, k), np.inf), np.full((self.windows, k), -1, dtype=np.int64)
-        self.mean, self.std, self.energy, self.steps = (np.zeros(self.windows) for _ in range(4))
+        self.mean, self.energy, self.steps, self.std, self.dots = *(np.zeros(self.windows) for _ in range(3)), np.ones(self.windows), np.zeros(0)
 
     def update(self, value: float, change_point: int = 0) -> None:
         w, k, r = self.w, self.k, self.r
         self.lbound = self.insert - self.filled + 1 + change_point
         if len(self.buffer) > 2 * self.n:
-            self.buffer, self._spare = self.buffer[-self.n :].copy(), None
+            self.buffer, self._spare = self.buffer[-self.n - 1 :].copy(), None
         self._append(value)
         self.seen += 1
         if self.seen >= w:  # statistics of the newest window, at its own place of the ring
             new = self._tail(w)
             at = (self.seen - w) % self.windows
-            self.mean[at], self.std[at], self.energy[at] = new.mean(), new.std(), new @ new
-            before = self._tail(min(self.seen, w + 1))
-            self.steps[at] = (np.diff(before) ** 2).sum() + 1e-5
+            if self.distance == "znormed_euclidean_distance":
+                self.mean[at] = mean = np.add.reduce(new) / w
+                centred = new - mean
+                std = math.sqrt(centred @ centred / w)
+                self.std[at] = 1.0 if std < 1e-3 else std
+            else:
+                self.energy[at] = new @ new
+            if self.distance == "cinvariant_euclidean_distance":
+                before = self._tail(min(self.seen, w + 1))
+                step = before[1:] - before[:-1]
+                self.steps[at] = step @ step + 1e-5
         if min(self.seen, self.windows) < w + r + k:
             return
         shift = self.seen - self.n  # global place of array place 0
         start = self.lbound - 1
-        first = max(start, -shift, 0)  # array places from first to windows hold values
-        values = self._tail(self.n - first)
-        view = np.lib.stride_tricks.sliding_window_view(values, w)
-        q = self.insert - first
+        low = max(0, -shift)  # array places from low to windows hold values
+        dots = self._products(low, shift)
+        first = max(start, low)
         ring = (np.arange(first, self.windows) + shift) % self.windows
         d = np.full(self.windows, np.inf)
-        d[first:] = self._distances(view, ring, q)
+        d[first:] = self._distances(dots[first - low :], ring, self.insert - first)
         d[max(0, self.insert - r) : min(self.insert + r, self.windows)] = d.max()
         part = d[self.lbound :]
         found = np.empty(k, dtype=np.int64)
@@ -92,16 +105,44 @@ class OnlineNeighbours:
     def _tail(self, n: int) -> np.ndarray:
         return self.buffer[-n:]
 
-    def _distances(self, view: np.ndarray, ring: np.ndarray, q: int) -> np.ndarray:
-        w, dot, at = self.w, view @ view[q], ring[q]
+    def _products(self, low: int, shift: int) -> np.ndarray:
+        """Dot products of the window that is inserted with all in the buffer: the last ones a place on, with one product gone and one more; anew every RESTART points."""
+        w, values, q = self.w, self._tail(self.n - low), self.insert - low
+        if not len(self.dots) or self.seen % RESTART == 0:
+            self.dots = np.correlate(values, values[q : q + w], "valid")
+        else:
+            come, gone = values[q + w - 1], values[q - 1]
+            if shift > 0:  # the buffer has moved on
+                self.dots = self.dots + come * values[w - 1 :] - gone * self._tail(self.n + 1)[: self.windows]
+            else:
+                rest = self.dots + come * values[w:] - gone * values[: len(self.dots)]
+                self.dots = np.concatenate([[values[:w] @ values[q : q + w]], rest])
+        return self.dots
+
+    def _distances(self, dot: np.ndarray, ring: np.ndarray, q: int) -> np.ndarray:
+        w, at = self.w, ring[q]
         if self.distance == "znormed_euclidean_distance":
-            std = np.where(self.std < 1e-3, 1.0, self.std)
-            return 2 * w * (1 - (dot - w * self.mean[ring] * self.mean[at]) / (w * std[ring] * std[at]))
+            return 2 * w * (1 - (dot - w * self.mean[ring] * self.mean[at]) / (w * self.std[ring] * self.std[at]))
         d = self.energy[ring] + self.energy[at] - 2 * dot
         if self.distance == "euclidean_distance":
             return d
         return d * np.maximum(self.steps[ring], self.steps[at]) / np.minimum(self.steps[ring], self.steps[at])
 
+    _COUNTS, _ARRAYS = ("seen", "filled", "lbound"), ("dists", "places", "mean", "std", "energy", "steps", "dots")
+
+    def counts(self) -> dict:
+        return {x: int(getattr(self, x)) for x in self._COUNTS}
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {"buffer": self._tail(self.n + 1)} | {x: getattr(self, x) for x in self._ARRAYS}
+
+    def restore(self, counts: dict, arrays: dict[str, np.ndarray]) -> None:
+        for name in self._COUNTS:
+            setattr(self, name, counts[name])
+        for name in self._ARRAYS:
+            setattr(self, name, arrays[name])
+        self.buffer, self._spare, self._used = arrays["buffer"], None, 0
+
     def offsets(self) -> np.ndarray:
         """Neighbours of the windows since the last change point, counted from the first of them."""
         shift = self.seen - self.n
@@ -118,6 +159,7 @@ class OnlineSegmentation:
         self.n, self.warm_size = n_timepoints, n_timepoints if n_warmup is None else min(n_warmup, n_timepoints)
         self.window_size, self.k, self.distance, self.score, self.jump = window_size, k_neighbours, distance, score, jump
         self.validation, self.radius = validation, excl_radius
+        self.settings = {"n_timepoints": n_timepoints, "n_warmup": n_warmup, "window_size": window_size, "k_neighbours": k_neighbours, "distance": distance, "score": score, "jump": jump, "validation": validation, "threshold": threshold, "excl_radius": excl_radius}
         self.threshold = (0.75 if validation == "score_threshold" else 1e-50) if threshold == "default" else threshold
         self.warm: list[float] = []
         self.ready, self.seen, self.last_cp = False, 0, 0
@@ -133,14 +175,25 @@ class OnlineSegmentation:
             return False
         warm = np.array(self.warm)
         w = window_size_of(warm, self.window_size) if isinstance(self.window_size, str) else self.window_size
-        self.w, self.m = w, w * self.radius
-        self.stream = OnlineNeighbours(self.n, w, self.k, self.distance)
-        self.ready, self.warm = True, []
+        self._begin(w)
+        self.warm = []
         return any([self._step(v) for v in warm])
 
+    def _begin(self, w: int) -> None:
+        self.w, self.m, self.ready = int(w), int(w) * self.radius, True
+        self.stream = OnlineNeighbours(self.n, self.w, self.k, self.distance)
+        self._best = np.full(self.stream.windows, -np.inf)  # a ring by the window's place in the stream
+
+    def profile(self) -> np.ndarray:
+        """The best score that each window of the buffer has had in an evaluation that found a change; -inf where there was none."""
+        if not self.ready:
+            return np.zeros(0)
+        return self._best[(np.arange(self.stream.windows) + self.seen - self.n) % self.stream.windows]
+
     def _step(self, value: float) -> bool:
         self.seen += 1
         self.stream.update(value, self.last_cp)
+        self._best[(self.stream.windows - 1 + self.seen - self.n) % self.stream.windows] = -np.inf
         if self.seen < 2 * self.m:
             return False
         if self.stream.insert == self.stream.filled:
@@ -156,7 +209,10 @@ class OnlineSegmentation:
         if at < self.m or len(p) - at <= self.m:
             return False
         share = np.isfinite(p).sum() / self.n
-        self.scores.append(float((2 * p[at] + share) / 3))
+        weighted = np.where(np.isfinite(p), (2 * p + share) / 3, -np.inf)
+        self.scores.append(float(weighted[at]))
+        ring = (np.arange(start, end) + self.seen - self.n) % self.stream.windows
+        self._best[ring] = np.maximum(self._best[ring], weighted)
         self.last_cp += at
         lag = self.w + self.w // 2 + self.k
         self.change_points.append(self.seen - lag - (end - start) + at + self.w)
@@ -174,12 +230,27 @@ class OnlineSegmentation:
         return self.last_cp
 
     def dump(self) -> bytes:
+        """The state as arrays and a head of plain values under a format number; no code is stored."""
+        head = {"format": FORMAT, "settings": self.settings, "seen": self.seen, "last_cp": int(self.last_cp), "change_points": [int(c) for c in self.change_points], "scores": self.scores}
+        arrays = {"warm": np.array(self.warm, dtype=np.float64)}
         if self.ready:
-            self.stream.buffer = self.stream.buffer[-self.stream.n :].copy()
-            self.stream._spare, self.stream._used = None, 0
-        return pickle.dumps(self, protocol=5)
+            head |= {"w": self.w, "stream": self.stream.counts()}
+            arrays |= {"best": self._best} | self.stream.arrays()
+        out = io.BytesIO()
+        np.savez(out, head=np.frombuffer(json.dumps(head).encode(), np.uint8), **arrays)
+        return out.getvalue()
 
     @staticmethod
     def load(data: bytes) -> OnlineSegmentation:
-        """From a state that this class's dump() wrote; never from data of others."""
-        return pickle.loads(data)
+        """From a state that dump() wrote; one of another format is a ValueError."""
+        with np.load(io.BytesIO(data), allow_pickle=False) as arrays:
+            head = json.loads(arrays["head"].tobytes())
+            if head.get("format") != FORMAT:
+                raise ValueError(f"a state of format {head.get('format')}, not {FORMAT}")
+            out = OnlineSegmentation(**head["settings"])
+            out.seen, out.last_cp, out.change_points, out.scores, out.warm = head["seen"], head["last_cp"], head["change_points"], head["scores"], arrays["warm"].tolist()
+            if "w" in head:
+                out._begin(head["w"])
+                out._best = arrays["best"]
+                out.stream.restore(head["stream"], {x: arrays[x] for x in ("buffer", *OnlineNeighbours._ARRAYS)})
+        return out

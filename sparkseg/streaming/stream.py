@@ -18,7 +18,8 @@ def stream_change_points(points: DataFrame, **settings) -> DataFrame:
 
     Within a micro-batch points are taken in the order of t; a point at or before the last one taken is
     late and dropped, and so are points with a null or non-finite value.  Results don't depend on how points
-    are dealt into micro-batches.  The state is the online segmentation's buffers, bounded by n_timepoints.
+    are dealt into micro-batches.  The state is the online segmentation's buffers as packed arrays, bounded by
+    n_timepoints but for the list of change points; change points found before are not sent again.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,7 +37,8 @@ def stream_change_points(points: DataFrame, **settings) -> DataFrame:
             if model.update(value):
                 rows += [(key[0], t, c, s) for c, s in zip(model.change_points[known:], model.scores[known:], strict=True)]
         state.update((last if last is not None else -(2**63), model.dump()))
-        yield pd.DataFrame(rows, columns=["series_id", "t", "change_point", "score"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["series_id", "t", "change_point", "score"])
 
     clean = points.selectExpr("cast(series_id as string) as series_id", "cast(t as long) as t", "cast(value as double) as value").where("t is not null and series_id is not null")
     return clean.groupBy("series_id").applyInPandasWithState(step, OUTPUT, "last long, model binary", "append", GroupStateTimeout.NoTimeout)

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from sparkseg.functions import classify, kernels
 from sparkseg.operators import metrics
+from sparkseg.streaming import online
 from sparkseg.streaming.online import OnlineNeighbours, OnlineSegmentation
 
 
@@ -184,3 +185,113 @@ def test_online_segmentation_and_its_state():
             two = OnlineSegmentation.load(two.dump())
     assert len(one.change_points) == 1 and abs(one.change_points[0] - 1500) < 60
     assert (one.change_points, one.scores, one.last_cp) == (two.change_points, two.scores, two.last_cp)
+
+
+def naive_gain(y, p):
+    """Mean over classes of 2PR / (P + R), less that of guesses with precision and recall of a class both its share."""
+    f1 = lambda y, p: np.mean([(lambda a, b: 2 * a * b / (a + b) if a + b else 0.0)(*(((y == c) & (p == c)).sum() / max(1, (v == c).sum()) for v in (p, y))) for c in sorted(set(y) | set(p))])
+    return f1(y, p) - np.mean([(y == c).mean() for c in set(y)])
+
+
+def naive_merge(labels, y, p):
+    labels, y, p, refused = list(labels), y.copy(), p.copy(), set()
+    while len(set(labels)) > 1:
+        table = {a: {b: int(((y == a) & (p == b)).sum()) for b in set(labels)} for a in set(labels)}
+        worst = []
+        for a in sorted(set(labels)):
+            rest = [(n, -b) for b, n in table[a].items() if b != a]
+            n, b = max(rest)
+            worst.append((n / max(1, (y == a).sum()), a, -b))
+        for _, a, b in sorted(worst, key=lambda r: (r[0], r[1]), reverse=True):
+            rows = frozenset(np.flatnonzero(np.isin(y, [a, b])).tolist())
+            if rows in refused:
+                continue
+            merged = [np.where(v == b, a, v) for v in (y, p)]
+            if naive_gain(y, p) > naive_gain(*merged):
+                refused.add(rows)
+                continue
+            labels = [max(a, b) if v in (a, b) else v for v in labels]
+            y, p = (np.where(np.isin(v, [a, b]), max(a, b), v) for v in (y, p))
+            break
+        else:
+            break
+    return [sorted(set(labels)).index(v) + 1 for v in labels]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 6))
+def test_merging_of_states_is_the_naive_one(seed, k):
+    rng = np.random.default_rng(seed)
+    y = np.concatenate([np.arange(k), rng.choice(k, 120, p=rng.dirichlet(np.ones(k)))])
+    p = np.where(rng.random(len(y)) < rng.random(), y, rng.integers(0, k, len(y)))
+    labels = rng.integers(0, k, 9)
+    labels = np.concatenate([np.arange(k), labels])
+    assert math.isclose(classify.gain(y, p), naive_gain(y, p), abs_tol=1e-12)
+    assert classify.merge_states(labels, y, p)[0].tolist() == naive_merge(labels, y, p)
+
+
+def test_gain_of_unequal_shares():
+    y = np.repeat([0, 1], [9, 1])
+    assert classify.gain(y, y) == pytest.approx(0.5)
+
+
+def test_merging_keeps_and_joins_planted_states():
+    """Labels 0 and 2 are one state cut in two, as a classifier would confuse them."""
+    y = np.repeat([0, 1, 2], [40, 50, 30])
+    p = np.where(np.arange(120) % 2 == 0, np.where(y == 0, 2, np.where(y == 2, 0, y)), y)
+    assert classify.merge_states(np.array([0, 1, 2, 1]), y, p)[0].tolist() == [2, 1, 2, 1]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.booleans(), st.integers(1, 600))
+def test_rolling_dots(seed, whole, w):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(-50, 50, 700).astype(float) if whole else rng.normal(size=700)
+    v = np.lib.stride_tricks.sliding_window_view(x, w)
+    first = int(rng.integers(0, len(v)))
+    stop = min(len(v), first + 60)
+    found, want = kernels.rolling_dots(x, w, first, stop), v[first:stop] @ v.T
+    assert (found == want).all() if whole else np.allclose(found, want, atol=1e-9)
+    assert np.allclose(kernels.sliding_dot(x[:w], x), v @ x[:w])
+
+
+def test_neighbours_by_rows():
+    x = np.random.default_rng(3).normal(size=(300, 2))
+    whole = kernels.neighbours(x, 20, 3, constraints=[(0, 300), (50, 250)])
+    parts = [kernels.neighbours(x, 20, 3, constraints=[(0, 300), (50, 250)], rows=r) for r in ((0, 100), (100, 101), (101, 281))]
+    assert (np.concatenate([p[0] for p in parts]) == whole[0]).all() and np.allclose(np.concatenate([p[1] for p in parts]), whole[1])
+
+
+def test_online_profile_holds_the_best_scores_until_they_leave_the_buffer(monkeypatch):
+    t = np.arange(700)
+    x = np.concatenate([np.sin(t * 2 * np.pi / 25), np.sign(np.sin(t * 2 * np.pi / 40))]) + np.random.default_rng(0).normal(0, 0.05, 1400)
+    model = OnlineSegmentation(600, window_size=20)
+    for v in x:
+        if model.update(v):
+            break
+    held = model.profile()
+    assert len(held) == 581 and held.max() == model.scores[-1]
+    place = int(held.argmax())
+    assert abs(place + model.seen - 600 + 20 - model.change_points[-1]) <= 20 + 20 // 2 + 3
+    for v in x[:place]:
+        model.update(v)
+    assert model.profile()[0] == held.max()
+    model.update(0.0)
+    assert model.profile()[0] != held.max() or np.isinf(held[place + 1])
+    old = OnlineSegmentation(50).dump()
+    monkeypatch.setattr(online, "FORMAT", 9)
+    with pytest.raises(ValueError):
+        OnlineSegmentation.load(old)
+
+
+@pytest.mark.parametrize("distance", OnlineNeighbours.DISTANCES)
+def test_online_dot_products_do_not_drift(distance):
+    x = np.random.default_rng(6).normal(size=900).cumsum()
+    stream = OnlineNeighbours(200, 15, 3, distance)
+    for i, v in enumerate(x):
+        stream.update(v)
+        if i % 97 == 0 and len(stream.dots):
+            values = x[max(0, i + 1 - 200) : i + 1]
+            view = np.lib.stride_tricks.sliding_window_view(values, 15)
+            q = stream.insert - max(0, 200 - i - 1)
+            assert np.allclose(stream.dots, view @ view[q], rtol=1e-9, atol=1e-6)

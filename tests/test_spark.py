@@ -124,3 +124,71 @@ def test_stream_does_not_depend_on_micro_batches(spark, tmp_path, cuts):
 
 
 EXPECTED: dict = {}
+
+
+def test_long_series_by_row_blocks(spark):
+    rng = np.random.default_rng(9)
+    data = [("a", rng.normal(size=400).tolist()), ("b", rng.normal(size=150).tolist()), ("c", [1.0, 2.0])]
+    p = series.from_arrays(spark.createDataFrame(data, "id string, v array<double>"), "id", "v")
+    two = p.unionAll(p.select("series_id", "t", F.lit(1).alias("dim"), (F.col("value") * F.col("t")).alias("value")))
+    for points in (p, two):
+        whole = {tuple(r)[:5] for r in neighbours.grouped_knn(points, 15, 3).collect()}
+        assert {tuple(r)[:5] for r in neighbours.blocked_knn(points, 15, 3, block_rows=64).collect()} == whole
+    assert neighbours.blocked_knn(p.limit(0), 15, 3).count() == 0
+
+
+def test_critical_values():
+    assert [neighbours.critical(t) for t in (1e-15, 1e-30, 1e-50)] == [8.02685888, 11.52388358, 14.97947757]
+    assert neighbours.critical(0.05) == pytest.approx(1.95996398)
+    with pytest.raises(ValueError):
+        neighbours.critical(0)
+
+
+def test_zipped_benchmark(spark, tmp_path):
+    import zipfile
+
+    cells = ",".join(['"[1, 2]"'] * 9 + ['"[]"'] * 3)
+    text = ",".join(readers.HAS_COLUMNS) + f"""\nindoor,1,2,3,"[1]","['walk', 'sit']",{cells}\n"""
+    with zipfile.ZipFile(tmp_path / "has.csv.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("has.csv", text)
+    (tmp_path / "has.csv").write_text(text)
+    packed, plain = (readers.read_has(spark, str(tmp_path / n)).collect() for n in ("has.csv.zip", "has.csv"))
+    assert packed == plain and packed[0].time_series == [[1.0] * 9, [2.0] * 9]
+
+
+def test_nearest_and_covering_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    sets = {s: [sorted(set(rng.integers(1, 60, rng.integers(0, 9)).tolist())) for _ in range(2)] for s in "abcdefgh"}
+    cps = lambda i: spark.createDataFrame([(s, x) for s, v in sets.items() for x in v[i]], "series_id string, cp long")
+    n = spark.createDataFrame([(s, 60) for s in sets], "series_id string, n long")
+    for margin in (None, 3):
+        want = {(s, x, next((t for d, t in sorted((abs(t - x), t) for t in v[0]) if margin is None or d <= margin), None)) for s, v in sets.items() for x in v[1]}
+        assert {tuple(r) for r in metrics.nearest(cps(1), cps(0), margin).collect()} == want
+    parts = lambda v: [set(range(a, b)) for a, b in zip([0, *v], [*v, 60], strict=True)]
+    want = {s: sum(len(a) * max(len(a & b) / len(a | b) for b in parts(v[1])) for a in parts(v[0])) / 60 for s, v in sets.items()}
+    assert {r.series_id: r.covering for r in metrics.covering(cps(0), cps(1), n).collect()} == pytest.approx(want)
+
+
+def test_state_scores_of_a_series_without_points(spark):
+    p = series.from_arrays(spark.createDataFrame([("a", np.sin(np.arange(200) / 3).tolist())], "id string, v array<double>"), "id", "v")
+    cps = spark.createDataFrame([("a", 100), ("gone", 5)], "series_id string, cp long")
+    assert {r.series_id for r in panel.state_scores(p, cps, "quant", 10).collect()} == {"a"}
+
+
+def test_stream_query_is_the_replayed_one(spark, sf_dir):
+    """The registered stream, in micro-batches, knows what a replay point by point knows."""
+    from sparkseg.plans import events
+    from sparkseg.streaming.online import OnlineSegmentation
+
+    found = {(r.series_id, r.t, r.change_point) for r in catalog.QUERIES["stream_users"](spark, sf_dir).collect()}
+    points = events.users(spark, sf_dir).unionByName(events.hourly(spark, sf_dir).withColumn("value", F.col("value").cast("double"))).toPandas()
+    late = want = 0
+    for key, frame in points.groupby("series_id"):
+        model, known = OnlineSegmentation(n_timepoints=48, window_size=5, jump=1, validation="score_threshold", threshold=0.5, k_neighbours=1, excl_radius=2), set()
+        for t, v in frame.sort_values("t")[["t", "value"]].itertuples(index=False):
+            before = len(model.change_points)
+            model.update(v)
+            known |= {(key, t, c) for c in model.change_points[before:]}
+        want += len(known)
+        late += len(known ^ {x for x in found if x[0] == key})
+    assert want > 5 and late == 0
