@@ -10,7 +10,8 @@ statistics of window length or more are the repeated windows.
 No shorter anchor splits the segments around a passage that very many texts hold, each with words of its
 own beside it.  For an anchor with more than `hot` different segments the whole window is the anchor
 instead: a shard would then hold one window only, so it is enough to count it, by 128 bits of hash.
-Segments with more copies than 1 / HOT_SHARE of all are recognised where they lie, so no task gathers them.
+Anchors with more kinds of segments, and segments with more copies, than 1 / HOT_SHARE of all are joined where
+their rows lie, so no task gathers them.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .textkernel import U64, blocks, gram_hashes, mix, span_hashes
 WINDOW = 35
 ANCHOR = 8
 HOT = 2_000
-#: At most so many segments can each have more than 1 / HOT_SHARE of all segments: 20,000 pairs of hashes are broadcast at most.
+#: At most so many keys can each have more than 1 / HOT_SHARE of all rows: 20,000 keys are broadcast at most.
 HOT_SHARE = 20_000
 SHARD_WORDS = 400_000
 _PLACE = U64((1 << 28) - 1)
@@ -173,7 +174,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     segments = cut(segments.join(again, "anchor", "left_semi"))
     kinds = cut(segments.groupBy("anchor", "content").agg(F.sum(F.size("places")).alias("copies"), F.min(F.struct("k1", "k2", F.col("places")[0].alias("place"))).alias("one")))
     open_anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1")
-    wanted = kinds.join(open_anchors, "anchor").select("one.k1", "one.k2", F.struct("one.place", "anchor", "content", "copies", (F.col("kinds") > hot).alias("hot")).alias("w"))
+    open_anchors = cut(open_anchors)
+    most = kinds.count() // HOT_SHARE + 1
+    common = F.broadcast(open_anchors.where(F.col("kinds") > most))  # at most HOT_SHARE
+    wanted = kinds.join(common, "anchor").unionAll(kinds.join(common, "anchor", "left_anti").join(open_anchors.where(F.col("kinds") <= most), "anchor")).select("one.k1", "one.k2", F.struct("one.place", "anchor", "content", "copies", (F.col("kinds") > hot).alias("hot")).alias("w"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
     contents = docs.join(wanted, ["k1", "k2"]).mapInArrow(_contents(window), "anchor long, content long, copies long, k1 long, k2 long, place long, body binary, windows array<long>, checks array<long>")
     contents = cut(contents)
