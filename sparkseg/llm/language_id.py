@@ -3,11 +3,13 @@
 Every letter has a random vector of +1 and -1.  A letter trigram is bound by multiplying its letters'
 vectors, each rotated by its place; a text's vector is the bundle (sum) of its trigrams, and a language's
 prototype the bundle of its texts.  A text takes the language whose prototype has the largest cosine.
-Letters are lower-cased; a run of anything else counts as one space.
+Letters are lower-cased, marks that combine with letters are kept as symbols of their own, and a run of
+anything else counts as one space.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,27 +20,49 @@ from pyspark.sql import functions as F
 from .textkernel import BLOCK_BYTES
 
 DIMENSIONS = 1024
-SYMBOLS = 4096
 #: The prototypes travel with every task; 10,000 languages are 40 MB.
 MOST_LANGUAGES = 10_000
-_LETTERS = (np.random.Generator(np.random.PCG64(1789)).integers(0, 2, (SYMBOLS, DIMENSIONS), dtype=np.int8) * 2 - 1).astype(np.int8)
-_ROTATED = (_LETTERS, np.roll(_LETTERS, 1, axis=1), np.roll(_LETTERS, 2, axis=1))
+_vectors: dict[int, np.ndarray] = {}
+_kinds: dict[int, int] = {}
 
 
-def _symbols(points: np.ndarray) -> np.ndarray:
-    """0 for what isn't a letter, else 1 and up by code point."""
-    kinds, at = (np.arange(256, dtype=np.uint32), points) if len(points) and points.max() < 256 else np.unique(points, return_inverse=True)
-    table = np.array([1 + int(p) % (SYMBOLS - 1) if chr(p).isalpha() else 0 for p in kinds], dtype=np.int64)
-    return table[at]
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """The random vector of each code point (0 is the space); every code point has its own."""
+    for p in points.tolist():
+        if p not in _vectors:
+            _vectors[p] = (np.random.Generator(np.random.PCG64([1789, p])).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1).astype(np.int8)
+    return np.stack([_vectors[p] for p in points.tolist()])
+
+
+def _kind(point: int) -> int:
+    """2 for a letter, 1 for a mark that combines with one, else 0."""
+    have = _kinds.get(point)
+    if have is None:
+        have = _kinds[point] = 2 if chr(point).isalpha() else int(unicodedata.category(chr(point))[0] == "M")
+    return have
+
+
+def _symbols(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points that are symbols, 0 first; which of them each point is, 0 for what is none; and whether it is a letter."""
+    if len(points) and points.max() < 1 << 16:
+        seen = np.flatnonzero(np.bincount(points, minlength=1))
+        place = np.zeros(int(points.max()) + 1, dtype=np.int64)
+        place[seen] = np.arange(len(seen))
+        at = place[points]
+    else:
+        seen, at = np.unique(points, return_inverse=True)
+    kinds = np.array([_kind(int(p)) for p in seen], dtype=np.int64)
+    number = np.where(kinds > 0, np.cumsum(kinds > 0), 0)
+    return np.concatenate([[0], seen[kinds > 0]]).astype(np.int64), number[at], (kinds == 2)[at]
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts of each text's trigrams (texts x kinds), the kinds' vectors, and how many letters each text has."""
     lowered = [t.lower() for t in texts]
     sizes = np.array([len(t) for t in lowered])
-    symbols = _symbols(np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32))
+    used, symbols, letter = _symbols(np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32))
     row = np.repeat(np.arange(len(texts)), sizes)
-    letters = np.bincount(row[symbols > 0], minlength=len(texts))
+    letters = np.bincount(row[letter], minlength=len(texts))
     ends = np.cumsum(sizes)
     symbols, row = np.insert(symbols, ends, 0), np.insert(row, ends, np.arange(len(texts)))  # each text ends with a space
     keep = np.ones(len(symbols), dtype=bool)
@@ -46,10 +70,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     symbols, row = symbols[keep], row[keep]
     if len(symbols) < 3:
         return np.zeros((len(texts), 1), np.float32), np.zeros((1, DIMENSIONS), np.float32), letters
-    used = np.unique(symbols)
-    small = np.zeros(SYMBOLS, dtype=np.int64)
-    small[used] = np.arange(len(used))
-    s, n = small[symbols], len(used)
+    s, n = symbols, len(used)
     code, same = (s[:-2] * n + s[1:-1]) * n + s[2:], row[2:] == row[:-2]
     code, row = code[same], row[2:][same]
     if n**3 <= 4_000_000:
@@ -62,7 +83,8 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(kinds):
         return np.zeros((len(texts), 1), np.float32), np.zeros((1, DIMENSIONS), np.float32), letters
     counts = np.bincount(row * len(kinds) + place, minlength=len(texts) * len(kinds)).reshape(len(texts), len(kinds)).astype(np.float32)
-    vectors = _ROTATED[0][used[kinds // (n * n)]] * _ROTATED[1][used[kinds // n % n]] * _ROTATED[2][used[kinds % n]]
+    alone = letter_vectors(used)
+    vectors = alone[kinds // (n * n)] * np.roll(alone, 1, axis=1)[kinds // n % n] * np.roll(alone, 2, axis=1)[kinds % n]
     return counts, vectors.astype(np.float32), letters
 
 

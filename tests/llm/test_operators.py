@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+import unicodedata
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -124,9 +125,8 @@ def test_language_of_odd_rows(spark):
 def test_bundle_is_the_sum_of_bound_trigrams():
     text = "Aé, b!  c"
     vectors, letters = language_id.bundles([text, "", "12"])
-    symbols = [1 + ord(c) % 4095 if c.isalpha() else 0 for c in "aé b c "]
-    v = language_id._ROTATED
-    want = sum(v[0][symbols[i]].astype(int) * v[1][symbols[i + 1]] * v[2][symbols[i + 2]] for i in range(len(symbols) - 2))
+    symbols = language_id.letter_vectors(np.array([ord(c) if c.isalpha() else 0 for c in "aé b c "])).astype(int)
+    want = sum(symbols[i] * np.roll(symbols[i + 1], 1) * np.roll(symbols[i + 2], 2) for i in range(len(symbols) - 2))
     assert (vectors[0] == want).all() and letters.tolist() == [4, 0, 0]
 
 
@@ -490,3 +490,43 @@ def test_all_tags_of_a_page_name_aliases(spark, same_as_sql):
     verdict = {r.page_id: r.verdict for r in url_filters.filter_urls(pages.selectExpr("*", "1 as id", "2 as own", "3 as node", "4 as blocked", "5 as source", "6 as target")).collect()}
     assert verdict == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "block", 10: "allow", 11: "allow", 12: "allow", 13: "block", 14: "allow"}
     same_as_sql(url_filters.filter_urls(pages), url_filters.ORACLE_SQL, {"pages": pages.toArrow()})
+
+
+def test_prototypes_and_predictions_against_brute_force(spark):
+    """Cosines by plain loops; of equal cosines the first name; repeated rows alike; marks and letters beyond 16 bits are symbols of their own."""
+    texts = ["abc abd", "xyz xyz", "हिन्दी में", "ไทยแลนด์", "𐐀𐐁𐐂 𐐀𐐁", "日本語です", None, "", "12", "\u0301\u0302", "abc abd", "q"]
+    langs = ["a", "b", "c", "d", "e", "f", "a", "b", None, None, "z", "y"]
+    docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(zip(texts, langs, strict=True))] * 2, "doc_id long, text string, lang string")
+
+    def bundle(text):
+        out, last = [], " "
+        for c in (text or "").lower():
+            keep = c.isalpha() or unicodedata.category(c)[0] == "M"
+            if keep or last != " " or not out:
+                out.append(ord(c) if keep else 0)
+            last = c if keep else " "
+        out += [0] if not out or out[-1] else []
+        v = language_id.letter_vectors(np.array(out)).astype(int)
+        return sum((v[i] * np.roll(v[i + 1], 1) * np.roll(v[i + 2], 2) for i in range(len(v) - 2)), np.zeros(language_id.DIMENSIONS, int))
+
+    sums = {g: sum(2 * bundle(t) for t, x in zip(texts, langs, strict=True) if x == g) for g in sorted(set(langs) - {None})}
+    learned = language_id.learn_prototypes(docs)
+    assert sorted(learned) == sorted(sums) and all(np.allclose(learned[g], v / max(np.linalg.norm(v), 1e-9), atol=1e-6) for g, v in sums.items())
+    found = language_id.identify_language(docs, learned).collect()
+    assert len(found) == 2 * len(texts) and len({(r.doc_id, r.lang_pred, r.score) for r in found}) == len(texts)
+    by = {r.doc_id: r for r in found}
+    assert {by[i].lang_pred for i in (6, 7, 8, 9)} == {"und"} and by[10].lang_pred == by[0].lang_pred == "a"
+    for i, t in enumerate(texts):
+        b = bundle(t)
+        if any(c.isalpha() for c in t or "") and b.any():
+            best = max(float(b @ v) / np.linalg.norm(b) / max(np.linalg.norm(v), 1e-9) for v in sums.values())
+            assert by[i].score == pytest.approx(min(1, max(0, best)), abs=1e-5)
+
+
+def test_sharding_of_equal_ids(spark):
+    """Equal ids share a shard whatever their text; slots stay gapless, and equal rows get different ones."""
+    rows = [(i % 5 if i % 7 else None, f"t{i % 3}") for i in range(210)] + [(9, None)] * 4
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit(1)).withColumn("id", F.lit(2))).collect()
+    assert len(found) == 214 and all(len({r.shard for r in found if r.doc_id == i}) == 1 for i in {r.doc_id for r in found})
+    for s in {r.shard for r in found}:
+        assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
