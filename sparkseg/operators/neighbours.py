@@ -31,11 +31,16 @@ def _complexity(w: int, dot: Column) -> Column:
 DISTANCES = {"znormed_euclidean_distance": _znormed, "euclidean_distance": _euclidean, "cinvariant_euclidean_distance": _complexity}
 
 
+#: Windows whose pairs make one group of the join.
+JOIN_BLOCK = 128
+
+
 def self_join(p: DataFrame, w: int, k: int, distance: str = "znormed_euclidean_distance", low: int | None = None, high: int | None = None) -> DataFrame:
     """The theta self-join with top k, declared: for one channel and short series, within [low, high) if given.
 
-    Each pair is made within its series only, and row_number <= k is pushed below the shuffle.  For long
-    series use grouped_knn, which holds a block of distances and makes no rows of pairs.
+    Each pair is made within its series only, and row_number <= k is pushed below the shuffle.  A series'
+    pairs are dealt by blocks of JOIN_BLOCK windows, so that one series fills many tasks.  For long series
+    use blocked_knn, which holds a block of distances and makes no rows of pairs.
     """
     rule = kernels.pick(DISTANCES, distance, "distance")
     parts = windows(p, w).join(rolling_stats(p, w), ["series_id", "dim", "i"])
@@ -44,7 +49,10 @@ def self_join(p: DataFrame, w: int, k: int, distance: str = "znormed_euclidean_d
     a = parts.select("series_id", F.struct("i", "window", "mean", "std", "energy", "complexity").alias("a"))
     b = parts.select("series_id", F.struct("i", "window", "mean", "std", "energy", "complexity").alias("b"))
     dot = F.aggregate(F.zip_with("a.window", "b.window", lambda x, y: x * y), F.lit(0).cast("double"), lambda s, x: s + x)
-    pairs = a.join(b, "series_id").where(F.abs(F.col("a.i") - F.col("b.i")) > w // 2)
+    last = parts.groupBy("series_id").agg(F.expr(f"max(i) div {JOIN_BLOCK}").alias("last"))
+    a = a.withColumn("block", F.expr(f"a.i div {JOIN_BLOCK}"))
+    b = b.join(last, "series_id").select("series_id", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("block"))
+    pairs = a.join(b, ["series_id", "block"]).where(F.abs(F.col("a.i") - F.col("b.i")) > w // 2)
     d = pairs.select("series_id", F.col("a.i").alias("i"), F.col("b.i").alias("j"), rule(w, dot).alias("dist"))
     rank = F.row_number().over(Window.partitionBy("series_id", "i").orderBy("dist", "j"))
     return d.select("series_id", "i", rank.alias("rank"), "j", "dist").where(F.col("rank") <= k)

@@ -70,17 +70,20 @@ class OnlineNeighbours:
         d[first:] = self._distances(dots[first - low :], ring, self.insert - first)
         d[max(0, self.insert - r) : min(self.insert + r, self.windows)] = d.max()
         part = d[self.lbound :]
-        found = np.empty(k, dtype=np.int64)
+        found, values = np.empty(k, dtype=np.int64), np.empty(k)
         rest = part.copy()
-        for j in range(k):
+        for j in range(k):  # where fewer than k windows can be neighbours, the others' distance is infinite
             found[j] = rest.argmin()
+            values[j] = rest[found[j]]
             rest[found[j]] = np.inf
         found += self.lbound
         row = (self.insert + shift) % self.windows
-        self.dists[row], self.places[row] = d[found], found + shift
+        self.dists[row], self.places[row] = values, found + shift
         old = np.arange(self.lbound, self.insert)
         if len(old):
             rows, near = (old + shift) % self.windows, d[old]
+            new = (self.places[rows] != self.insert + shift).all(1)  # a window that is a neighbour already, by a distance with another last bit
+            rows, near = rows[new], near[new]
             for rank in range(k - 1):
                 better = near < self.dists[rows, rank]
                 if better.any():

@@ -295,3 +295,77 @@ def test_online_dot_products_do_not_drift(distance):
             view = np.lib.stride_tricks.sliding_window_view(values, 15)
             q = stream.insert - max(0, 200 - i - 1)
             assert np.allclose(stream.dots, view @ view[q], rtol=1e-9, atol=1e-6)
+
+
+@pytest.mark.parametrize("distance", OnlineNeighbours.DISTANCES)
+@pytest.mark.parametrize("change", [0, 7])
+def test_online_neighbours_step_by_step(distance, change):
+    """Every table entry after every point, against distances of whole windows and lists that take offers one by one."""
+    n, w, k = 60, 6, 3
+    r, windows = w // 2, n - w + 1
+    x = np.random.default_rng(4).normal(size=150)
+    stream, insert = OnlineNeighbours(n, w, k, distance), windows - w // 2 - k - 1
+    rows: dict[int, list[tuple[float, int]]] = {}
+    filled = 0
+
+    def far(a, b):
+        u, v = x[a : a + w], x[b : b + w]
+        if distance.startswith("znormed"):
+            u, v = ((z - z.mean()) / (z.std() if z.std() >= 1e-3 else 1) for z in (u, v))
+        d = ((u - v) ** 2).sum()
+        if distance.startswith("cinvariant"):
+            ce = [sum((x[j] - x[j - 1]) ** 2 for j in range(max(1, i), i + w)) + 1e-5 for i in (a, b)]
+            d *= max(ce) / min(ce)
+        return d
+
+    for seen in range(1, len(x) + 1):
+        stream.update(x[seen - 1], change if seen > 90 else 0)
+        shift, bound = seen - n, insert - filled + 1 + (change if seen > 90 else 0)
+        if min(seen, windows) < w + r + k:
+            continue
+        first = max(bound - 1, -shift, 0)
+        d = {a: far(a + shift, insert + shift) for a in range(first, windows)}
+        top = np.inf if first > 0 else max(d.values())
+        d |= {a: top for a in range(max(0, insert - r), min(insert + r, windows))}
+        near = sorted(((d.get(a, np.inf), a) for a in range(bound, windows)))[:k]
+        rows[insert + shift] = [(v, a + shift) for v, a in near]
+        for a in range(bound, insert):
+            held = rows.setdefault(a + shift, [(np.inf, -1)] * k)
+            at = next((i for i in range(k - 1) if d.get(a, np.inf) < held[i][0]), None)
+            if at is not None and insert + shift not in [p for _, p in held]:
+                rows[a + shift] = held[:at] + [(d[a], insert + shift)] + held[at : k - 1]
+        filled = min(filled + 1, insert)
+        for a in range(max(0, bound - 1), insert + 1):
+            row = (a + shift) % windows
+            if a + shift in rows:
+                assert [p for p, v in zip(stream.places[row].tolist(), stream.dists[row], strict=True) if np.isfinite(v)] == [p for v, p in rows[a + shift] if np.isfinite(v)]
+                assert np.allclose(stream.dists[row], [v for v, _ in rows[a + shift]], rtol=1e-6, atol=1e-8)
+
+
+def test_capped_and_cross_validated():
+    x, y = np.arange(300).reshape(300, 1, 1).astype(float), np.repeat([0, 1, 2], [200, 90, 10])
+    some, of = classify.capped(x, y, 50, 7)
+    assert np.unique(of, return_counts=True)[1].tolist() == [50, 50, 10] and len(np.unique(some)) == 110
+    assert (y[some.ravel().astype(int)] == of).all() and not (np.diff(some.ravel()) > 0).all()
+    assert (classify.capped(x, y, 50, 7)[0] == some).all()
+
+    class Told:
+        """Remembers what it was fitted on, and answers what it was not told."""
+
+        def __init__(self, seed):
+            pass
+
+        def fit(self, x, y):
+            self.seen = set(x.ravel().tolist())
+            return self
+
+        def predict(self, x):
+            return np.array([v in self.seen for v in x.ravel().tolist()], dtype=int)
+
+    classify.CLASSIFIERS["told"] = Told
+    try:
+        truth, found = classify.cross_validated(some, of, "told", 5, 1)
+        assert (truth == of).all() and not found.any()
+        assert (classify.cross_validated(some[:1], of[:1], "told", 5, 1)[1] == of[:1]).all()
+    finally:
+        del classify.CLASSIFIERS["told"]
