@@ -369,3 +369,103 @@ def test_capped_and_cross_validated():
         assert (classify.cross_validated(some[:1], of[:1], "told", 5, 1)[1] == of[:1]).all()
     finally:
         del classify.CLASSIFIERS["told"]
+
+
+def naive_segment(x, w, k, distance, score, radius, parts_of, early, validation, threshold, most):
+    """Best-first segmentation by plain loops over windows, splits and parts."""
+    n, m = len(x), w * radius
+
+    def knn(y):
+        l, out = len(y) - w + 1, []
+        for i in range(l):
+            row = []
+            for j in range(l):
+                u, v = y[i : i + w], y[j : j + w]
+                if distance.startswith("znormed"):
+                    u, v = ((z - z.mean()) / (z.std() if z.std() >= 1e-3 else 1) for z in (u, v))
+                row.append(((u - v) ** 2).sum())
+            row = np.array(row)
+            row[max(0, i - w // 2) : i + w // 2 + 1] = row.max()
+            out.append(row)
+        return np.array(out)
+
+    def curve(d, low, high):
+        rows, l = range(low, high - w + 1), high - low - w + 1
+        near = np.array([np.argsort(np.round(d[i, low : high - w + 1], 9), kind="stable")[:k] for i in rows])
+        out, votes = np.full(l, -np.inf), {}
+        for s in range(m, min(l, l - m + w)):
+            truth, vote = np.arange(l) >= s, (near >= s).sum(1) * 2 > k
+            votes[s] = vote | ((np.arange(l) >= s - w) & (np.arange(l) < s))
+            hit = [(truth == c) & (votes[s] == c) for c in (False, True)]
+            if score == "f1":
+                if all(h.any() for h in hit):
+                    out[s] = np.mean([2 * h.sum() / ((truth == c).sum() + (votes[s] == c).sum()) for h, c in zip(hit, (False, True), strict=True)])
+            elif votes[s].any() and not votes[s].all():
+                out[s] = (1 + truth[votes[s]].mean() - truth[~votes[s]].mean()) / 2
+        return out, votes
+
+    def valid(profile, votes, at, cut):
+        if validation is None:
+            return True
+        if validation == "score_threshold":
+            return profile.max() >= threshold
+        y = votes[at].astype(int)
+        ranks = np.array([(y < v).sum() + ((y == v).sum() + 1) / 2 for v in y])
+        a, b = cut, len(y) - cut
+        if a <= 0 or b <= 0:
+            return False
+        z = (ranks[:a].sum() - a * (len(y) + 1) / 2) / math.sqrt(a * b * (len(y) + 1) / 12)
+        return math.erfc(abs(z) / math.sqrt(2)) <= threshold
+
+    def best_of(low, high):
+        y = x[low:high]
+        d, best = knn(y), None
+        for a, b in parts_of(len(y), m):
+            p, votes = curve(d, a, b)
+            p = (p + (b - a) / len(y)) / 2
+            better = best is None and np.isfinite(p.max()) or best is not None and p.max() > best[0].max()
+            if better:
+                best = p, votes, a
+            if early and (not better or valid(best[0], best[1], int(best[0].argmax()), int(best[0].argmax()))):
+                break
+        if best is None:
+            return None
+        p, votes, a = best
+        at = int(p.argmax())
+        return (p[at], low + a + at) if valid(p, votes, at, a + at) else None
+
+    cps, queue = [], []
+
+    def consider(low, high):
+        found = best_of(low, high) if high - low >= 2 * m else None
+        if found and all(not max(0, c - m) <= found[1] < min(n, c + m) for c in [0, *cps, n]):
+            queue.append((-found[0], len(queue) + len(cps) * 100, low, high, found[1]))
+
+    consider(0, n)
+    while queue and len(cps) < most - 1:
+        queue.sort()
+        top = queue.pop(0)
+        cps.append(top[4])
+        if len(cps) < most - 1:
+            consider(top[2], top[4])
+            consider(top[4], top[3])
+    return sorted(cps)
+
+
+@pytest.mark.parametrize("validation", [None, "score_threshold", "significance_test"])
+@pytest.mark.parametrize("score", ["roc_auc", "f1"])
+@pytest.mark.parametrize("early", [True, False])
+def test_segmentation_is_the_naive_one(validation, score, early):
+    """Parts, early end, validation, distance to other change points, order and number of segments, on short whole-number series."""
+    threshold = {"score_threshold": 0.7, "significance_test": 1e-4}.get(validation, 0)
+    found = 0
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        pieces = [rng.integers(-3, 4, int(rng.integers(40, 70))) + shift for shift in rng.permutation([0, 9, -7])]
+        x = np.concatenate(pieces).astype(float)
+        settings = {"window_size": 5, "k_neighbours": 3, "distance": "euclidean_distance", "score": score, "early_stopping": early, "validation": validation, "threshold": threshold, "excl_radius": 4, "n_estimators": 4, "random_state": 11}
+        got = kernels.segment(x, **settings).change_points
+        want = naive_segment(x, 5, 3, "euclidean_distance", score, 4, lambda n, m: kernels.constraints_of(n, m, 4, 11), early, validation, threshold, len(x) // 20)
+        assert got == want
+        found += len(got)
+    assert found > 3
