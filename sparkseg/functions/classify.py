@@ -75,14 +75,14 @@ class RandomKernels(Ridge):
 
 
 class Quantiles(Ridge):
-    """Quantiles of halves, quarters and eighths of windows and of their steps, into a ridge classifier."""
+    """Quantiles of halves, quarters and eighths of windows, of their first and second steps and of their spectra, into a ridge classifier."""
 
     def __init__(self, seed: int):
         self.seed = seed
 
     def features(self, x, fitting):
         out = []
-        for v in (x, np.diff(x, axis=2)):
+        for v in (x, np.diff(x, axis=2), np.diff(x, n=min(2, x.shape[2] - 1), axis=2), np.abs(np.fft.rfft(x, axis=2))):
             for parts in (1, 2, 4, 8):
                 for piece in np.array_split(v, parts, axis=2):
                     if piece.shape[2]:
