@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, pii, quality_rules, substring_dedup, url_filters
+from . import minhash_dedup, pii, quality_rules, substring_dedup, url_filters, warc_zip
 from .decontamination import op7_decontamination
 from .language_id import op3_language_id
 from .minhash_dedup import op2_minhash_dedup
@@ -26,4 +26,5 @@ ORACLE_SQL = {
     "op5_pii": pii.ORACLE_SQL,
     "op8_url_filters": url_filters.ORACLE_SQL,
     "url_aliases_logged": url_filters.LOGGED_SQL,
+    "op10_warc_zip": warc_zip.ORACLE_SQL,
 }

@@ -314,3 +314,12 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = read_archives(write_archives(pages), pages.schema["page_id"].dataType.simpleString())
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n >> {0} & 31) + 1, 1)"
+_BASE32 = "array_to_string(list_transform(list_transform(range(8), lambda i: ('0x' || substr(sha1(coalesce(html, '')), i * 5 + 1, 5))::BIGINT), lambda n: " + " || ".join(_DIGIT.format(x) for x in (15, 10, 5, 0)) + "), '')"
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, {_BASE32} AS payload_digest FROM pages),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to FROM l
+"""

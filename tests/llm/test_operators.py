@@ -296,7 +296,7 @@ def test_sentencepiece_parity(spark, sf_dir, kind):
     assert sentencepiece_codec.encode_texts(docs.limit(0), model).count() == 0
 
 
-def test_warc_round_trip(spark, sf_dir, tmp_path):
+def test_warc_round_trip(spark, sf_dir, tmp_path, same_as_sql):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     odd = spark.createDataFrame([(1000, "u", "a"), (1001, "u\n x", "a"), (1002, None, "a"), (1003, "u", None), (None, "u", ""), (1003, "u", None)], "page_id long, url string, html string")
     pages = pages.unionByName(odd)
@@ -311,6 +311,8 @@ def test_warc_round_trip(spark, sf_dir, tmp_path):
         want[(r.page_id, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if first else "revisit", None if first else last[r.html or ""])] += 1
     found = warc_zip.read_archives(warc_zip.write_archives(pages)).collect()
     assert Counter((r.id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == want
+    digests = warc_zip.read_archives(warc_zip.write_archives(pages)).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    same_as_sql(digests, warc_zip.ORACLE_SQL, {"pages": pages.select("page_id", "html").toArrow()})
     html = {r.page_id: (r.html or "").encode() for r in rows}
     assert all(bytes(r.payload) == html[r.id] for r in found if r.record_type == "response")
     small = warc_zip.read_archives(warc_zip.write_archives(pages, least_bytes=2)).where("record_type = 'revisit'")
