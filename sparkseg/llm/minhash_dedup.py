@@ -10,10 +10,9 @@ independently, so that losses do not add up with the depth.  A node only names a
 what it finds similar: joined over nodes, forests connect just what all the pairs would.  The clusters that
 result are supersets of the wanted ones, and each is then settled on full shingle sets.
 
-A node above leaf with more than 1 / HOT_SHARE of all rows is first thinned where its rows lie (`_thinned`):
-they are compared with one of them, the pivot, and a row so near to it that whatever is similar to the row
-must be similar to the pivot too (by the triangle inequality of byte distances) ends there, as most
-of a group of near copies do.  If what is left exceeds what a task can hold, it branches in place too.
+A node above leaf with more than 1 / HOT_SHARE of all rows is looked at where its rows lie (`_families`): if
+it is one family of near copies and few others, it is settled by comparing its rows with some of them and with
+the others, and never gathered.  If what is left exceeds what a task can hold, it branches in place too.
 
 At a similarity s of s0 or more, a pair misses all the trees' first nodes with (1 - s0) ** trees
 (6e-9 at 0.85 and 10, 1e-7 at 0.8), and fails the byte comparison at five standard deviations (3e-7).
@@ -39,8 +38,10 @@ TREES, LEAF, BYTES, DEPTH = 10, 1000, 128, 12
 #: How many times a node above leaf branches, by its depth; once beyond.
 COPIES = (4, 2, 1, 2, 1, 1, 2)
 CLUSTER_SHINGLES = 4_000_000
-#: At most so many nodes can each have more than 1 / HOT_SHARE of a level's rows: 20,000 keys and pivots, 3 MB, are broadcast at most.
+#: At most so many nodes can each have more than 1 / HOT_SHARE of a level's rows, so at most 20,000 keys are broadcast.
 HOT_SHARE = 20_000
+#: Rows that travel with every task, 150 bytes each: pivots of hot nodes, and rows beside the families in them.
+PIVOTS, REST = 40_000, 100_000
 #: Rows that are compared with one, or branch, at once; rows of a node that are held before it branches untried.
 _ROWS, _HELD = 1 << 14, 1 << 17
 _SEED = np.random.Generator(np.random.PCG64(71)).integers(1, 2**63, 65 + 2 * BYTES, dtype=np.int64).astype(U64)
@@ -153,11 +154,61 @@ def _matrix(sketches: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.concatenate([text_bytes(x)[0].reshape(-1, BYTES) for x in chunks])
 
 
-def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many bytes each row agrees with its node's pivot."""
-    for batch in batches:
-        same = (_matrix(batch.column("sketch")) == _matrix(batch.column("pivot_sketch"))).sum(1)
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), batch.column("sketch"), batch.column("pivot"), pa.array(same.astype(np.int32))], names=["key", "node", "sketch", "pivot", "same"])
+class _Sample:
+    """Rows of some nodes, by key: at most a stated number, so that they can travel with every task."""
+
+    def __init__(self, rows: pa.Table):
+        order = np.argsort(rows.column("key").to_numpy(), kind="stable")
+        self.keys, self.node = rows.column("key").to_numpy()[order], rows.column("node").to_numpy()[order]
+        self.sketch = _matrix(rows.column("sketch"))[order] if len(order) else np.zeros((0, BYTES), np.uint8)
+
+    def met(self, batch: pa.RecordBatch, least: int) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+        """For each key of a batch that the sample has: its rows in the batch, its rows here, and which of them agree in `least` bytes."""
+        keys, sketch = batch.column("key").to_numpy(), _matrix(batch.column("sketch")) if batch.num_rows else np.zeros((0, BYTES), np.uint8)
+        for key in np.unique(keys):
+            here = slice(*np.searchsorted(self.keys, [key, key + 1]).tolist()) if key < 2**63 - 1 else slice(int(np.searchsorted(self.keys, key)), len(self.keys))
+            if here.start < here.stop:
+                mine = np.flatnonzero(keys == key)
+                yield mine, here, np.stack([(sketch[mine] == one).sum(1) >= least for one in self.sketch[here]], axis=1)
+
+
+_NEAR = "key long, node long, sketch binary, pivot long, other long"
+
+
+def _to_pivots(pivots: _Sample, least: int):
+    """Rows with the first pivot that each has an edge to, if any; and pairs of pivots (node, other; no key) that some row has edges to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, pairs = np.full(batch.num_rows, -1, np.int64), set()
+            for mine, here, edge in pivots.met(batch, least):
+                some = edge.any(1)
+                first[mine[some]] = here.start + edge[some].argmax(1)
+                for pattern in np.unique(edge[edge.sum(1) > 1], axis=0):
+                    both = pivots.node[here][pattern].tolist()
+                    pairs |= set(zip(both[:-1], both[1:], strict=True))
+            known = np.concatenate([pivots.node, [0]])[first]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), batch.column("sketch"), pa.array(known, mask=first < 0), pa.nulls(len(first), pa.int64())], names=["key", "node", "sketch", "pivot", "other"])
+            if pairs:
+                a, b = zip(*sorted(pairs), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.int64()), pa.array(b, pa.int64())], names=["key", "node", "sketch", "pivot", "other"])
+
+    return run
+
+
+def _to_rest(rest: _Sample, least: int):
+    """Of each batch, one edge for every row of the rest that has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, a, b = batch.column("node").to_numpy(), [], []
+            for mine, here, edge in rest.met(batch, least):
+                some = np.flatnonzero(edge.any(0))
+                a += rest.node[here][some].tolist()
+                b += node[mine[edge[:, some].argmax(0)]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def _branched(similarity: float, copies: int):
@@ -179,21 +230,55 @@ def _hot_keys(rows: DataFrame, least: int, total: int, share: int) -> DataFrame
     return None if counts.isEmpty() else F.broadcast(counts)
 
 
-def _thinned(rows: DataFrame, least: int, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows without those that a comparison with their node's pivot settles, and the edges it gives; only the hot nodes of `keys` are looked at.
+def _families(rows: DataFrame, leaf: int, least: int, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows without the families of near copies that fill hot nodes, and the edges that hold each family together and to the rest.
 
-    A row that agrees with the pivot in `least` bytes has an edge to it.  It is done with this node if
-    128 - same < least - most, `most` being the best agreement among rows without an edge: anything at
-    most 128 - least bytes from it is then less than that from the pivot.
+    Some rows of each node are pivots (PIVOTS in all at most, by count).  Rows with an edge to one pivot are
+    connected, and so are pivots with a row in common.  Where all rows but at most `leaf` are connected so, in
+    one family, these others travel to the family's rows (REST in all at most), are compared with every one of
+    them where it lies, and stay in the node to be compared with each other.  Other nodes keep all their rows.
     """
     mine = cut(rows.join(keys, "key", "left_semi"))
-    pivots = mine.join(F.broadcast(mine.groupBy("key").agg(F.min("node").alias("pivot"))), "key").where("node = pivot").groupBy("key", "pivot").agg(F.first("sketch").alias("pivot_sketch"))
-    near = cut(mine.join(F.broadcast(pivots), "key").select("key", "node", "sketch", "pivot", "pivot_sketch").mapInArrow(_agreement, "key long, node long, sketch binary, pivot long, same int"))
+    sizes = mine.groupBy("key").agg(F.count("*").alias("n"))  # at most HOT_SHARE
+    each = max(1, min(64, PIVOTS // max(1, sizes.count())))
+    pivots = _Sample(mine.join(F.broadcast(sizes), "key").where(F.pmod(F.xxhash64("node"), F.col("n")) < each).select("key", "node", "sketch").toArrow())
+    near = cut(mine.mapInArrow(_to_pivots(pivots, least), _NEAR))
     drop_cut(mine)
-    most = near.where(F.col("same") < least).groupBy("key").agg(F.max("same").alias("most"))
-    left = near.join(F.broadcast(most), "key").where(F.col("same") <= BYTES - least + F.col("most")).select("key", "node", "sketch")
-    edges = near.where((F.col("same") >= least) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    return rows.join(keys, "key", "left_anti").unionAll(left), edges
+    root = {int(x): int(x) for x in pivots.node}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    pairs = near.where("key is null").select("node", "other").distinct()
+    for a, b in pairs.toArrow().to_pandas().itertuples(index=False):
+        root[find(a)] = find(b)
+    counts = near.where("key is not null").groupBy("key", "pivot").agg(F.count("*").alias("n")).toArrow().to_pydict()  # a row for each pivot and key
+    total: dict[int, int] = {}
+    family: dict[tuple[int, int], int] = {}
+    for key, pivot, n in zip(counts["key"], counts["pivot"], counts["n"], strict=True):
+        total[key] = total.get(key, 0) + n
+        if pivot is not None:
+            family[key, find(pivot)] = family.get((key, find(pivot)), 0) + n
+    largest: dict[int, tuple[int, int]] = {}
+    for (key, one), n in family.items():
+        largest[key] = max(largest.get(key, (0, 0)), (n, one))
+    settled, room = {}, REST
+    for others, key in sorted((total[key] - n, key) for key, (n, _) in largest.items()):
+        if others > leaf or others > room:
+            break
+        settled[key] = largest[key][1]
+        room -= others
+    members = [(key, pivot) for key, pivot in zip(counts["key"], counts["pivot"], strict=True) if pivot is not None and settled.get(key) == find(pivot)]
+    spark = rows.sparkSession
+    members = F.broadcast(spark.createDataFrame(members, "key long, pivot long"))
+    done = F.broadcast(spark.createDataFrame([(key,) for key in settled], "key long"))
+    placed = near.where("key is not null").join(done, "key", "left_semi")
+    rest = cut(placed.join(members, ["key", "pivot"], "left_anti").select("key", "node", "sketch"))
+    to_rest = placed.join(members, ["key", "pivot"], "left_semi").select("key", "node", "sketch").mapInArrow(_to_rest(_Sample(rest.toArrow()), least), "a long, b long")
+    edges = near.where("key is not null and pivot is not null and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).unionAll(near.where("key is null").select("node", "other")).unionAll(to_rest)
+    return rows.join(done, "key", "left_anti").unionAll(rest), edges
 
 
 def _compare(leaf: int, least: int, similarity: float, last: bool, copies: int = 1):
@@ -421,7 +506,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found, spread, copies = None, None, _copies(level)
         total = rows.count()
         if (not level or total > held) and (keys := _hot_keys(rows, leaf, total, hot_share)) is not None:
-            rows, found = _thinned(rows, least, keys)
+            rows, found = _families(rows, leaf, least, keys)
         if level < depth and total > held and (keys := _hot_keys(rows, held, total, hot_share)) is not None:
             spread = cut(rows.join(keys, "key", "left_semi").mapInArrow(_branched(float(similarity), copies), "key long, node long, sketch binary"))
             rows = rows.join(keys, "key", "left_anti")

@@ -532,3 +532,19 @@ def test_sharding_of_equal_ids(spark):
     assert len(found) == 214 and all(len({r.shard for r in found if r.doc_id == i}) == 1 for i in {r.doc_id for r in found})
     for s in {r.shard for r in found}:
         assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
+
+
+def test_near_dedup_settles_families_where_they_lie(spark, same_as_sql):
+    """A family of near copies, some linked only to a few of it, among texts that share its first words; its nodes are hot."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for _ in range(int(rng.integers(0, 4)) if i % 13 else 5):
+            words[int(rng.integers(120))] = f"n{rng.integers(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(base[:25] + [f"o{rng.integers(10**6)}" for _ in range(60)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for settings in ({"leaf": 100, "hot_share": 10**9}, {"leaf": 100, "hot_share": 10**9, "held": 1}):
+        same_as_sql(minhash_dedup(docs, similarity=Fraction(85, 100), **settings), NEAR_SQL, {"documents": docs.toArrow()})
