@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from .series import rolling_stats, windows
+from .series import dealt, rolling_stats, windows
 
 
 def _znormed(w: int, dot: Column) -> Column:
@@ -70,7 +70,7 @@ def grouped_knn(p: DataFrame, w: int, k: int, distance: str = "znormed_euclidean
         idx = [g.ravel() for g in np.mgrid[0:l, 0:m, 0:k]]
         return pd.DataFrame({"series_id": key[0], "tc_id": idx[1], "i": idx[0], "rank": idx[2] + 1, "j": offsets.ravel(), "dist": dists.ravel()})
 
-    return p.groupBy("series_id").applyInPandas(run, "series_id string, tc_id int, i long, rank int, j long, dist double")
+    return dealt(p, "series_id").groupBy("series_id").applyInPandas(run, "series_id string, tc_id int, i long, rank int, j long, dist double")
 
 
 def blocked_knn(p: DataFrame, w: int, k: int, distance: str = "znormed_euclidean_distance", block_rows: int = 4096) -> DataFrame:
@@ -82,7 +82,7 @@ def blocked_knn(p: DataFrame, w: int, k: int, distance: str = "znormed_euclidean
     packed = packed.select("series_id", "dims", F.transform("v", lambda x: x["value"].cast("double")).alias("values")).where(F.size("values") >= F.lit(w * k) * F.col("dims"))
     last = (F.size("values") / F.col("dims")).cast("int") - w
     work = packed.select("*", F.explode(F.sequence(F.lit(0), last, F.lit(block_rows))).alias("first"))
-    work = work.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "first")
+    work = dealt(work, "series_id", "first")
 
     def run(frames):
         for frame in frames:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, kernels
-from .series import windows
+from .series import dealt, windows
 
 
 def _matrix(frame: pd.DataFrame) -> np.ndarray:
@@ -34,7 +34,7 @@ def segment(p: DataFrame, **settings) -> DataFrame:
         out = kernels.segment(_matrix(frame), **settings)
         return _rows(len(out.change_points), key[0], cp=out.change_points, score=out.scores, window_size=out.window_size)
 
-    return p.groupBy("series_id").applyInPandas(run, "series_id string, cp long, score double, window_size int")
+    return dealt(p, "series_id").groupBy("series_id").applyInPandas(run, "series_id string, cp long, score double, window_size int")
 
 
 def profiles(p: DataFrame, **settings) -> DataFrame:
@@ -44,7 +44,7 @@ def profiles(p: DataFrame, **settings) -> DataFrame:
         curve = kernels.segment(_matrix(frame), **settings).profile
         return pd.DataFrame({"series_id": key[0], "s": np.arange(len(curve)), "score": curve})
 
-    return p.groupBy("series_id").applyInPandas(run, "series_id string, s long, score double")
+    return dealt(p, "series_id").groupBy("series_id").applyInPandas(run, "series_id string, s long, score double")
 
 
 def window_sizes(p: DataFrame, method: str = "suss", rule: str = "segmentation") -> DataFrame:
@@ -54,7 +54,7 @@ def window_sizes(p: DataFrame, method: str = "suss", rule: str = "segmentation")
     def run(key, frame):
         return pd.DataFrame({"series_id": [key[0]], "dim": [int(key[1])], "w": [kernels.window_size_of(frame.sort_values("t")["value"].to_numpy(dtype=float), method)]})
 
-    each = p.groupBy("series_id", "dim").applyInPandas(run, "series_id string, dim int, w long")
+    each = dealt(p, "series_id", "dim").groupBy("series_id", "dim").applyInPandas(run, "series_id string, dim int, w long")
     return _by_rule(each, rule)
 
 
@@ -66,7 +66,7 @@ def all_window_sizes(p: DataFrame) -> DataFrame:
         x = frame.sort_values("t")["value"].to_numpy(dtype=float)
         return pd.DataFrame({"series_id": [key[0]], "dim": [int(key[1])], **{n: [kernels.window_size_of(x, n)] for n in names}})
 
-    return p.groupBy("series_id", "dim").applyInPandas(run, "series_id string, dim int, " + ", ".join(f"{n} long" for n in names))
+    return dealt(p, "series_id", "dim").groupBy("series_id", "dim").applyInPandas(run, "series_id string, dim int, " + ", ".join(f"{n} long" for n in names))
 
 
 def _by_rule(each: DataFrame, rule: str) -> DataFrame:
@@ -104,8 +104,8 @@ def states(p: DataFrame, cps: DataFrame | None = None, **settings) -> DataFrame:
 
     schema = "series_id string, seg_id int, start long, end long, state int"
     if cps is None:
-        return p.groupBy("series_id").applyInPandas(lambda key, frame: rows(key, _matrix(frame), None), schema)
-    return p.groupBy("series_id").cogroup(cps.groupBy("series_id")).applyInPandas(lambda key, frame, c: rows(key, _matrix(frame), sorted(c["cp"].tolist())) if len(frame) else _rows(0, key[0], seg_id=[], start=[], end=[], state=[]), schema)
+        return dealt(p, "series_id").groupBy("series_id").applyInPandas(lambda key, frame: rows(key, _matrix(frame), None), schema)
+    return dealt(p, "series_id").groupBy("series_id").cogroup(dealt(cps, "series_id").groupBy("series_id")).applyInPandas(lambda key, frame, c: rows(key, _matrix(frame), sorted(c["cp"].tolist())) if len(frame) else _rows(0, key[0], seg_id=[], start=[], end=[], state=[]), schema)
 
 
 def state_scores(p: DataFrame, cps: DataFrame, classifier: str = "rocket", window_size: int = 10, n_splits: int = 5, sample_size: int = 1000, seed: int = 2357) -> DataFrame:
@@ -121,7 +121,7 @@ def state_scores(p: DataFrame, cps: DataFrame, classifier: str = "rocket", windo
         out.insert(0, "series_id", key[0])
         return out
 
-    return p.groupBy("series_id").cogroup(cps.groupBy("series_id")).applyInPandas(run, "series_id string, y_true int, y_pred int, n long")
+    return dealt(p, "series_id").groupBy("series_id").cogroup(dealt(cps, "series_id").groupBy("series_id")).applyInPandas(run, "series_id string, y_true int, y_pred int, n long")
 
 
 def collapsed(labels: DataFrame) -> DataFrame:

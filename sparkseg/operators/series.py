@@ -34,6 +34,11 @@ def to_arrays(p: DataFrame) -> DataFrame:
     return p.groupBy("series_id", "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("values"))
 
 
+def dealt(p: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key over all shuffle partitions: kernels work far longer than their rows' bytes tell, so small partitions are not to be joined up."""
+    return p.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def check_series(p: DataFrame) -> DataFrame:
     """Raises TypeError unless p has the columns of points and a numeric value."""
     missing = {"series_id", "t", "value"} - set(p.columns)

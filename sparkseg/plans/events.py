@@ -218,7 +218,7 @@ def stream_replay(spark, sf_dir):
         known = sum(model.update(v) for v in frame.sort_values("t")["value"].tolist())
         return pd.DataFrame({"series_id": [key[0]], "n": [len(frame)], "n_change_points": [int(known)], "last_cp": [model.last_cp]})
 
-    return p.groupBy("series_id").applyInPandas(run, "series_id string, n long, n_change_points long, last_cp long")
+    return se.dealt(p, "series_id").groupBy("series_id").applyInPandas(run, "series_id string, n long, n_change_points long, last_cp long")
 
 
 def channels(spark, sf_dir) -> DataFrame:
