@@ -12,10 +12,14 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +28,7 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The model travels with every task.
 MODEL_BYTES = 64 << 20
-#: Chunks that a task keeps; beyond that it starts anew.
+#: Chunks that a task keeps; beyond that, the half of them that came in most batches stays, without those that came in one.
 CHUNKS = 200_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -154,6 +158,12 @@ def load_model(spark: SparkSession, path: str = MODEL) -> bytes:
     return data
 
 
+def _runs(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of values that begin at first, one after another."""
+    stop = np.cumsum(size)
+    return values[np.repeat(first - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+
+
 class Codec:
     """Encodes and decodes batches; parity compares what is encoded with the sentencepiece library."""
 
@@ -161,10 +171,7 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.model = Model.parse(data)
-        self.tokenizer = self.model.tokenizer()
-        self.decoder = self.tokenizer if self.model.kind == BPE else self.model.tokenizer(decoding=True)
         self.plain = self.model.chunked and not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
-        self.single = self.model.tokenizer(single=True) if self.plain else self.tokenizer
         self.reference = None
         if parity:
             import sentencepiece
@@ -176,12 +183,44 @@ class Codec:
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.piece_ends = np.cumsum([len(p) for p in pieces])
         self.piece_sizes = np.array([len(p) for p in pieces])
-        self._clear()
+        self.clear()
+
+    @cached_property
+    def tokenizer(self):
+        return self.model.tokenizer()
+
+    @cached_property
+    def single(self):
+        return self.model.tokenizer(single=True) if self.plain else self.tokenizer
 
-    def _clear(self) -> None:
+    @cached_property
+    def decoder(self):
+        return self.tokenizer if self.model.kind == BPE else self.model.tokenizer(decoding=True)
+
+    def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.int32), 0
-        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.first, self.size, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
+
+    def _thin(self) -> None:
+        """Keeps the chunks that came in most batches, half of CHUNKS at most, and none that came in one batch only."""
+        kept = np.argsort(-self.met[: len(self.place)], kind="stable")[: CHUNKS // 2]
+        kept = kept[self.met[kept] > 0]
+        names, met, size = list(self.place), self.met[kept] // 2, self.size[kept]
+        ids = _runs(self.flat, self.first[kept], size)
+        self.clear()
+        self._put([names[i] for i in kept.tolist()], ids, np.cumsum(size) - size, size, met)
+
+    def _put(self, chunks: list[str], ids: np.ndarray, first: np.ndarray, size: np.ndarray, met: np.ndarray | int = 0) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        have, to = len(self.place), len(self.place) + len(chunks)
+        if to > len(self.first):
+            self.first, self.size, self.met = (np.concatenate([x, np.zeros(to, np.int64)]) for x in (self.first, self.size, self.met))
+        self.first[have:to], self.size[have:to], self.met[have:to] = first + self.used, size, met
+        self.place.update(zip(chunks, range(have, to), strict=True))
+        self.used += len(ids)
 
     def _encode(self, texts: list[str], single: bool = False) -> list[list[int]]:
         marked = [MARK + t.replace(" ", MARK) for t in texts] if single else texts
@@ -211,53 +250,41 @@ class Codec:
         first = np.flatnonzero(self.leads[ids])
         if len(first) != len(chunks):
             raise ValueError("chunks don't match pieces that begin with the mark")
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        have, to = len(self.place), len(self.place) + len(chunks)
-        if to > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros(to, np.int64)]) for x in (self.first, self.size))
-        self.first[have:to], self.size[have:to] = first + self.used, np.diff(np.append(first, len(ids)))
-        self.place.update(zip(chunks, range(have, to), strict=True))
-        self.used += len(ids)
+        self._put(chunks, ids, first, np.diff(np.append(first, len(ids))))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's end; a null or empty text has none."""
         if len(self.place) > CHUNKS:
-            self._clear()
-        chunks: list[list[str] | None] = []
-        whole = []
-        for i, text in enumerate(texts):
-            if not text:
-                chunks.append([])
-            elif self.plain and "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
-                chunks.append(text.split(" "))
-            else:
-                chunks.append(None)
-                whole.append(i)
-        fresh = set().union(*(x for x in chunks if x)).difference(self.place)
-        self._keep([c for c in fresh if len(c) <= 64])
-        long = [c for c in fresh if len(c) > 64]
-        of_long = dict(zip(long, self._encode(long), strict=True))
-        of_whole = dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
-        first, size, place = self.first, self.size, self.place
-        parts, ends, total = [], [], 0
-        for i, x in enumerate(chunks):
-            if x is None:
-                ids = np.array(of_whole[i], np.int32)
-            elif long and any(c in of_long for c in x):
-                ids = np.concatenate([np.array(of_long[c], np.int32) if c in of_long else self.flat[first[place[c]] : first[place[c]] + size[place[c]]] for c in x])
-            elif x:
-                at = np.fromiter(map(place.__getitem__, x), np.int64, len(x))
-                n = size[at]
-                stop = np.cumsum(n)
-                ids = self.flat[np.repeat(first[at] - stop + n, n) + np.arange(int(stop[-1]))]
-            else:
-                ids = np.zeros(0, np.int32)
-            parts.append(ids)
-            total += len(ids)
-            ends.append(total)
-        return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), np.array(ends, np.int64)
+            self._thin()
+        texts = pc.fill_null(texts, "")
+        some = pc.not_equal(texts, "").to_numpy(zero_copy_only=False)
+        split = some & self.plain
+        for test, part in ((pc.match_substring, "  "), (pc.match_substring, MARK), (pc.starts_with, " "), (pc.ends_with, " ")):
+            split &= ~test(texts, part).to_numpy(zero_copy_only=False)
+        rows, whole = np.flatnonzero(split), np.flatnonzero(some & ~split)
+        lists = pc.split_pattern(texts.take(pa.array(rows)), " ")
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
+        fresh = np.flatnonzero(at < 0)
+        self.met[at[at >= 0]] += 1
+        short = np.array([len(chunks[i]) <= 64 for i in fresh.tolist()], bool)
+        at[fresh[short]] = len(self.place) + np.arange(int(short.sum()))
+        self._keep([chunks[i] for i in fresh[short].tolist()])
+        # long chunks and whole texts are encoded one by one and not kept; they stand behind the kept chunks
+        n, long = len(self.place), fresh[~short]
+        at[long] = n + np.arange(len(long))
+        apart = self._encode([chunks[i] for i in long.tolist()] + texts.take(pa.array(whole)).to_pylist())
+        sizes = np.array([len(x) for x in apart], np.int64)
+        flat = np.concatenate([self.flat[: self.used], *(np.array(x, np.int32) for x in apart)])
+        first, size = np.concatenate([self.first[:n], self.used + np.cumsum(sizes) - sizes]), np.concatenate([self.size[:n], sizes])
+        counts = np.zeros(len(some), np.int64)
+        counts[rows], counts[whole] = pc.list_value_length(lists).to_numpy(zero_copy_only=False), 1
+        units = np.concatenate([at[coded.indices.to_numpy(zero_copy_only=False)], n + len(long) + np.arange(len(whole))])
+        if len(whole):
+            units = units[np.argsort(np.concatenate([np.repeat(rows, counts[rows]), whole]), kind="stable")]
+        ends = np.concatenate([[0], np.cumsum(size[units])])[np.cumsum(counts)]
+        return _runs(flat, first[units], size[units]), ends
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for, without the leading mark: the fast form of decode for whole round trips."""
@@ -272,19 +299,33 @@ class Codec:
         return self.decoder.decode_batch(ids, skip_special_tokens=False)
 
 
+#: What a worker's last task left: a codec without chunks.  To build one takes over a second, and a large input has thousands of tasks.
+_spare: dict[tuple[bytes, int, bool], Codec] = {}
+
+
+@contextmanager
+def _codec(data: bytes, threads: int, parity: bool) -> Iterator[Codec]:
+    key = (data, threads, parity)
+    codec = _spare.pop(key, None) or Codec(data, threads, parity)
+    yield codec
+    codec.clear()
+    _spare.clear()
+    _spare[key] = codec
+
+
 def _encode(data: bytes, threads: int, parity: bool, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(data, threads, parity)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                piece = batch.slice(start, 512)
-                texts = piece.column(text_at).to_pylist()
-                ids, ends = codec.encode(texts)
-                first = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                exact = [codec.decode_bytes(ids[a:b]) == (t or "").replace(MARK, " ").encode() for a, b, t in zip(first, ends, texts, strict=True)]
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                columns = [piece.column(i) for i in range(piece.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(np.diff(np.concatenate([[0], ends]))), pa.array(exact)], names=[*piece.schema.names[:-1], "ids", "n_ids", "exact"])
+        with _codec(data, threads, parity) as codec:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 512):
+                    piece = batch.slice(start, 512)
+                    texts = piece.column(text_at)
+                    ids, ends = codec.encode(texts)
+                    first = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+                    exact = [codec.decode_bytes(ids[a:b]) == (t or "").replace(MARK, " ").encode() for a, b, t in zip(first, ends, texts.to_pylist(), strict=True)]
+                    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                    columns = [piece.column(i) for i in range(piece.num_columns - 1)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(np.diff(np.concatenate([[0], ends]))), pa.array(exact)], names=[*piece.schema.names[:-1], "ids", "n_ids", "exact"])
 
     return run
 
@@ -308,11 +349,11 @@ def decode_ids(encoded: DataFrame, model: bytes, ids_col: str = "ids", threads:
     schema = "".join(f"c{i} {encoded.schema[c].dataType.simpleString()}, " for i, c in enumerate(kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model, threads, parity=False)
-        for batch in batches:
-            lists = batch.column(batch.num_columns - 1).to_pylist()
-            texts = iter(codec.decode([x for x in lists if x is not None]))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array([None if x is None else next(texts) for x in lists], pa.string())], names=[*batch.schema.names[:-1], "decoded"])
+        with _codec(model, threads, False) as codec:
+            for batch in batches:
+                lists = batch.column(batch.num_columns - 1).to_pylist()
+                texts = iter(codec.decode([x for x in lists if x is not None]))
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array([None if x is None else next(texts) for x in lists], pa.string())], names=[*batch.schema.names[:-1], "decoded"])
 
     return encoded.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{ids_col}`").cast("array<int>").alias("body")).mapInArrow(run, f"{schema}decoded string").toDF(*kept, "decoded")
 

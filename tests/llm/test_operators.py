@@ -296,6 +296,35 @@ def test_sentencepiece_parity(spark, sf_dir, kind):
     assert sentencepiece_codec.encode_texts(docs.limit(0), model).count() == 0
 
 
+def test_sentencepiece_codec_is_built_once_a_worker(monkeypatch):
+    data = sentencepiece_codec.load_model(None)
+    built, build = [], sentencepiece_codec.Codec.__init__
+    monkeypatch.setattr(sentencepiece_codec, "_spare", {}, raising=False)
+    monkeypatch.setattr(sentencepiece_codec.Codec, "__init__", lambda self, *a: built.append(1) or build(self, *a))
+    batch = pa.RecordBatch.from_arrays([pa.array(["the cat", None, "a  b"])] * 2, names=["c0", "body"])
+    found = [list(sentencepiece_codec._encode(data, 2, True, 1)(iter([batch, batch]))) for _ in range(3)]
+    assert len(built) == 1 and found[0] == found[1] == found[2]
+    failed = sentencepiece_codec._encode(data, 2, True, 1)(iter([batch]))
+    next(failed)
+    failed.close()  # a task that didn't end leaves no codec behind
+    assert next(sentencepiece_codec._encode(data, 2, True, 1)(iter([batch]))) == found[0][0] and len(built) == 2
+
+
+def test_sentencepiece_chunks_beyond_the_bound(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "CHUNKS", 40)
+    rng = np.random.default_rng(5)
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.load_model(None))
+    common = [f"often{i}" for i in range(10)]
+    seen = []
+    monkeypatch.setattr(codec, "_keep", lambda chunks, keep=codec._keep: seen.extend(chunks) or keep(chunks))
+    for i in range(30):
+        texts = [" ".join([*common, f"once{i}x{j}", "y" * (60 + j), *rng.choice(common, 5)]) for j in range(8)] + [None, "", f" {i}  z", "a▁b"]
+        ids, ends = codec.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)] == codec.reference.encode([t or "" for t in texts])
+        assert len(codec.place) <= 40 + 20
+    assert all(seen.count(c) == 1 for c in common)  # what comes again and again stays
+
+
 def test_warc_round_trip(spark, sf_dir, tmp_path, same_as_sql):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     odd = spark.createDataFrame([(1000, "u", "a"), (1001, "u\n x", "a"), (1002, None, "a"), (1003, "u", None), (None, "u", ""), (1003, "u", None)], "page_id long, url string, html string")
