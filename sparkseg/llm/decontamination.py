@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import cut, row_key
-from .textkernel import U64, blocks, gram_hashes, mix
+from .textkernel import U64, blocks, gram_hashes, mix, tidy
 
 WALKS, SAMPLES, SYMBOLS = 8, 6, 4
 LEAST, STEPS = 10, 15
@@ -250,6 +250,7 @@ def _nearest(hits: list[tuple[int, int, int, int]], n: int) -> Iterator[tuple[in
 
 
 def _mark(items: Items):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("item", pa.int64()), ("at", pa.int64()), ("words", pa.int64()), ("edits", pa.int32())]))
         for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkernel import BLOCK_BYTES
+from .textkernel import BLOCK_BYTES, pieces, tidy
 
 DIMENSIONS = 1024
 #: The prototypes travel with every task; 10,000 languages are 40 MB.
@@ -74,8 +74,10 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code, same = (s[:-2] * n + s[1:-1]) * n + s[2:], row[2:] == row[:-2]
     code, row = code[same], row[2:][same]
     if n**3 <= 4_000_000:
-        kinds = np.flatnonzero(np.bincount(code, minlength=n**3))
-        place = np.zeros(n**3, dtype=np.int64)
+        seen = np.zeros(n**3, dtype=bool)
+        seen[code] = True
+        kinds = np.flatnonzero(seen)
+        place = np.zeros(n**3, dtype=np.int32)
         place[kinds] = np.arange(len(kinds))
         place = place[code]
     else:
@@ -116,9 +118,10 @@ def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return vectors, letters
 
 
+@tidy
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in pieces(whole, whole.schema.get_field_index("body"))):
         langs, texts = batch.column("lang").to_pylist(), batch.column("body").to_pylist()
         for at, part in _parts(texts):
             names, row = np.unique(langs[at : at + len(part)], return_inverse=True)
@@ -145,8 +148,9 @@ def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
 
 def _predict(names: list[str], prototypes: np.ndarray):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, whole.num_columns - 1)):
             vectors, letters = bundles([t or "" for t in batch.column("body").to_pylist()])
             cosine = vectors @ prototypes.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9) if names else np.zeros((len(letters), 1))
             best = cosine.argmax(1)

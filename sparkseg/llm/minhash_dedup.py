@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .frames import cut, drop_cut, partitions, row_key
-from .textkernel import U64, blocks, gram_hashes, mix, span_hashes, text_bytes
+from .textkernel import U64, blocks, gram_hashes, mix, span_hashes, text_bytes, tidy
 
 TREES, LEAF, BYTES, DEPTH = 10, 1000, 128, 12
 #: How many times a node above leaf branches, by its depth; once beyond.
@@ -66,6 +66,7 @@ _SIGNATURE = "id {}, k1 long, k2 long, n long, set1 long, set2 long, keys array<
 
 
 def _signatures(k: int, trees: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (batch.column(x).to_numpy() for x in ("k1", "k2"))

@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkernel import pieces, tidy
+
 MARK = "▁"
 #: Path of the model; a parameter of every function.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -30,6 +32,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_BYTES = 64 << 20
 #: Chunks that a task keeps; beyond that, the half of them that came in most batches stays, without those that came in one.
 CHUNKS = 200_000
+#: Texts that the libraries encode at once, as what they return takes far more memory than the ids.
+_AT_ONCE = 32
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
@@ -222,14 +226,18 @@ class Codec:
         self.place.update(zip(chunks, range(have, to), strict=True))
         self.used += len(ids)
 
-    def _encode(self, texts: list[str], single: bool = False) -> list[list[int]]:
+    def _encode(self, texts: list[str], single: bool = False) -> Iterator[np.ndarray]:
+        for i in range(0, len(texts), _AT_ONCE):
+            yield from (np.array(x, np.int32) for x in self._encode_part(texts[i : i + _AT_ONCE], single))
+
+    def _encode_part(self, texts: list[str], single: bool) -> list[list[int]]:
         marked = [MARK + t.replace(" ", MARK) for t in texts] if single else texts
         core = self.single if single else self.tokenizer
         run = core.encode_batch_fast if self.model.kind == BPE else core.encode_batch  # the fast form leaves out the tokens' texts
-        found = run(marked, add_special_tokens=False) if texts else []
+        found = run(marked, add_special_tokens=False)
         ids = [self._with_bytes(e) for e in found] if self.model.kind == UNIGRAM and self.model.byte_fallback else [e.ids for e in found]
         if self.reference is not None:
-            wanted = self.reference.encode(texts) if texts else []
+            wanted = self.reference.encode(texts)
             if ids != wanted:
                 bad = next(t for t, a, b in zip(texts, ids, wanted, strict=True) if a != b)
                 raise ValueError(f"the libraries disagree on {bad[:200]!r}")
@@ -245,8 +253,7 @@ class Codec:
         """Encodes chunks joined by spaces: the ids of one end where a piece begins with the mark."""
         if not chunks:
             return
-        lists = self._encode([" ".join(chunks[i : i + 256]) for i in range(0, len(chunks), 256)], single=True)
-        ids = np.concatenate([np.array(x, np.int32) for x in lists])
+        ids = np.concatenate(list(self._encode([" ".join(chunks[i : i + 256]) for i in range(0, len(chunks), 256)], single=True)))
         first = np.flatnonzero(self.leads[ids])
         if len(first) != len(chunks):
             raise ValueError("chunks don't match pieces that begin with the mark")
@@ -274,9 +281,9 @@ class Codec:
         # long chunks and whole texts are encoded one by one and not kept; they stand behind the kept chunks
         n, long = len(self.place), fresh[~short]
         at[long] = n + np.arange(len(long))
-        apart = self._encode([chunks[i] for i in long.tolist()] + texts.take(pa.array(whole)).to_pylist())
+        apart = list(self._encode([chunks[i] for i in long.tolist()] + texts.take(pa.array(whole)).to_pylist()))
         sizes = np.array([len(x) for x in apart], np.int64)
-        flat = np.concatenate([self.flat[: self.used], *(np.array(x, np.int32) for x in apart)])
+        flat = np.concatenate([self.flat[: self.used], *apart])
         first, size = np.concatenate([self.first[:n], self.used + np.cumsum(sizes) - sizes]), np.concatenate([self.size[:n], sizes])
         counts = np.zeros(len(some), np.int64)
         counts[rows], counts[whole] = pc.list_value_length(lists).to_numpy(zero_copy_only=False), 1
@@ -314,11 +321,11 @@ def _codec(data: bytes, threads: int, parity: bool) -> Iterator[Codec]:
 
 
 def _encode(data: bytes, threads: int, parity: bool, text_at: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _codec(data, threads, parity) as codec:
             for batch in batches:
-                for start in range(0, batch.num_rows, 512):
-                    piece = batch.slice(start, 512)
+                for piece in pieces(batch, text_at):
                     texts = piece.column(text_at)
                     ids, ends = codec.encode(texts)
                     first = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
@@ -348,6 +355,7 @@ def decode_ids(encoded: DataFrame, model: bytes, ids_col: str = "ids", threads:
     kept = [c for c in encoded.columns if c != "decoded"]
     schema = "".join(f"c{i} {encoded.schema[c].dataType.simpleString()}, " for i, c in enumerate(kept))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _codec(model, threads, False) as codec:
             for batch in batches:

@@ -7,8 +7,11 @@ blocks of about half a megabyte so that memory follows the words of a block, not
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,40 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _K1, _K2, _K3 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xD6E8FEB86659FD93)
 
+_libc = ctypes.CDLL(None) if os.name == "posix" else None
+
+
+def give_back() -> None:
+    """Returns what this process has freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which its worker holds no freed memory: workers live on beside the JVM, and the next stage's tasks would add theirs."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def pieces(batch: pa.RecordBatch, text_at: int, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows whose texts are about two blocks long, so that memory follows these, not the batch; every text lies in one."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + 2 * BLOCK_BYTES, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Final mix of splitmix64."""

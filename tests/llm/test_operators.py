@@ -2,11 +2,15 @@ import base64
 import gzip
 import hashlib
 import io
+import os
+import subprocess
+import sys
 import unicodedata
 import zipfile
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -325,6 +329,45 @@ def test_sentencepiece_chunks_beyond_the_bound(monkeypatch):
     assert all(seen.count(c) == 1 for c in common)  # what comes again and again stays
 
 
+HELD = """
+import re, sys
+import numpy as np, pyarrow as pa
+from sparkseg.llm import language_id, sentencepiece_codec
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+rng = np.random.default_rng(3)
+words = ["".join(map(chr, w)) for w in rng.integers(97, 123, (120_000, 7))]
+batch = pa.RecordBatch.from_arrays([pa.array([" ".join(words[j] for j in rng.integers(0, len(words), 500)) for _ in range(3000)])], names=["body"])
+tasks = [sentencepiece_codec._encode(sentencepiece_codec.load_model(None), 2, True, 0), language_id._predict(["a"], np.ones((1, language_id.DIMENSIONS), np.float32))]
+for task in tasks:
+    list(task(iter([batch.slice(0, 1)])))
+before = held()
+for task in tasks:
+    assert sum(x.num_rows for x in task(iter([batch]))) == 3000
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory can't be read here")
+def test_worker_holds_little_after_its_tasks():
+    run = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, timeout=300, cwd=Path(__file__).parents[2])
+    assert run.returncode == 0, run.stderr
+    assert float(run.stdout) < 50
+
+
+def test_pieces_are_bounded_by_bytes():
+    sizes = [0, 5, textkernel.BLOCK_BYTES, textkernel.BLOCK_BYTES, 1, 5 * textkernel.BLOCK_BYTES, *[3] * 700]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes) + 1)), pa.array([*("é" * (n // 2) + "a" * (n % 2) for n in sizes), None])], names=["c0", "body"])
+    for part in (batch, batch.slice(2), batch.slice(0, 0)):
+        found = list(textkernel.pieces(part, 1))
+        assert pa.Table.from_batches(found, part.schema).equals(pa.Table.from_batches([part]))
+        assert all(x.num_rows <= 512 and (x.num_rows == 1 or sum(len(t.encode()) for t in x.column(1).to_pylist() if t) <= 2 * textkernel.BLOCK_BYTES) for x in found)
+    texts = pa.RecordBatch.from_arrays([pa.array(["the cat " * 8000 + "sat"] * 100)], names=["body"])
+    assert max(x.num_rows for x in sentencepiece_codec._encode(sentencepiece_codec.load_model(None), 2, True, 0)(iter([texts]))) <= 2 * textkernel.BLOCK_BYTES // 64_000
+
+
 def test_warc_round_trip(spark, sf_dir, tmp_path, same_as_sql):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     odd = spark.createDataFrame([(1000, "u", "a"), (1001, "u\n x", "a"), (1002, None, "a"), (1003, "u", None), (None, "u", ""), (1003, "u", None)], "page_id long, url string, html string")
