@@ -11,6 +11,10 @@ from .ridge import Ridge
 from .window_classifiers import CompetingKernels, ConvolutionNet, DilatedShapelets, ProximityTrees, SummaryForest, SymbolicWords
 
 
+#: Values of windows whose features are made at once.
+MANY_VALUES = 65_536
+
+
 def windows_of(x: np.ndarray, labels: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     """Half-overlapping windows (count, channels, w) and the state at their start; starts just before a change are left out."""
     stride, n = max(1, w // 2), len(x)
@@ -80,7 +84,7 @@ class Quantiles(Ridge):
     def __init__(self, seed: int):
         self.seed = seed
 
-    def features(self, x, fitting):
+    def features(self, x, fitting=True):
         out = []
         for v in (x, np.diff(x, axis=2), np.diff(x, n=min(2, x.shape[2] - 1), axis=2), np.abs(np.fft.rfft(x, axis=2))):
             for parts in (1, 2, 4, 8):
@@ -108,6 +112,31 @@ def cross_validated(x: np.ndarray, y: np.ndarray, classifier: str, folds: int, s
     return y.copy(), out
 
 
+def cross_validated_many(x: np.ndarray, y: np.ndarray, classifier: str, folds: int, seed: int) -> np.ndarray:
+    """The out-of-fold predictions (series, count) that cross_validated makes for each of many series of windows (series, count, channels, w) with the same labels.
+
+    Where features don't depend on the windows that are learned, those of all series are made at once, for
+    all folds, and so are the fits.
+    """
+    make, folds = pick(CLASSIFIERS, classifier, "classifier"), min(x.shape[1], folds)
+    out = np.repeat(y[None], len(x), axis=0)
+    if folds < 2:
+        return out
+    if make not in (Quantiles, SummaryForest) or x.shape[1] > SummaryForest.MANY:
+        for i, one in enumerate(x):
+            out[i] = cross_validated(one, y, classifier, folds, seed)[1]
+        return out
+    model = make(seed)
+    step = max(1, MANY_VALUES // x[0].size)
+    for at in range(0, len(x), step):
+        part = np.ascontiguousarray(x[at : at + step])
+        f = model.features(part.reshape(-1, *part.shape[2:])).reshape(*part.shape[:2], -1)
+        for test in np.array_split(np.random.RandomState(seed).permutation(x.shape[1]), folds):
+            train = np.setdiff1d(np.arange(x.shape[1]), test)
+            out[at : at + step, test] = model.fit_predict_many(f, y, train, test)
+    return out
+
+
 def macro_f1(y: np.ndarray, p: np.ndarray) -> float:
     scores = []
     for c in np.union1d(y, p):
@@ -181,3 +210,26 @@ def detect_states(values, change_points=None, window_size: int | str = "suss", c
     labels, y, p = merge_states(labels, y, p)
     keep = [i for i in range(1, len(labels)) if labels[i] != labels[i - 1]]
     return States([cps[i - 1] for i in keep], [int(labels[0]), *(int(labels[i]) for i in keep)], w, macro_f1(y, p))
+
+
+def predicted_many(x: np.ndarray, cps: list[int], window_size: int, classifier: str, n_splits: int, sample_size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Truth (count) and out-of-fold predictions (series, count) of the windows of many series (series, n, channels) with the same change points."""
+    labels = dense_states(cps, np.arange(len(cps) + 1), x.shape[1])
+    at, _ = windows_of(np.arange(x.shape[1], dtype=np.float64)[:, None], labels, window_size)  # the places of each window's points
+    rows, y = capped(at[:, 0].astype(np.int64), windows_of(x[0], labels, window_size)[1], sample_size, seed)
+    return y, cross_validated_many(np.ascontiguousarray(x[:, rows].transpose(0, 1, 3, 2)), y, classifier, n_splits, seed)
+
+
+def detect_states_many(x: np.ndarray, change_points: list[int], window_size: int, classifier: str = "rocket", n_splits: int = 5, sample_size: int = 1000, random_state: int = 2357) -> list[tuple[list[int], list[int]]]:
+    """(change points, states of segments) as detect_states gives them for each of many series (series, n, channels) with the same change points."""
+    w = max(1, min(window_size, x.shape[1]))
+    y, found = predicted_many(x, change_points, w, classifier, n_splits, sample_size, random_state)
+    known: dict[bytes, tuple[list[int], list[int]]] = {}
+    out = []
+    for p in found:
+        if (key := p.tobytes()) not in known:
+            labels, _, _ = merge_states(np.arange(len(change_points) + 1), y, p)
+            keep = [i for i in range(1, len(labels)) if labels[i] != labels[i - 1]]
+            known[key] = [change_points[i - 1] for i in keep], [int(labels[0]), *(int(labels[i]) for i in keep)]
+        out.append(known[key])
+    return out

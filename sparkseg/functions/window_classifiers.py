@@ -135,7 +135,7 @@ def _grow(f: np.ndarray, y: np.ndarray, classes: int, rng: np.random.RandomState
     if have.max() == len(y) or len(y) < 2:
         return int(have.argmax())
     best = None
-    for c in rng.choice(f.shape[1], max(1, int(np.sqrt(f.shape[1]) * 2) if f.shape[1] > 4 else f.shape[1]), replace=False):
+    for c in rng.choice(f.shape[1], _tried(f.shape[1]), replace=False):
         order = np.argsort(f[:, c], kind="stable")
         v, left = f[order, c], np.cumsum(np.eye(classes)[y[order]], axis=0)[:-1]
         n = np.arange(1, len(y))
@@ -163,6 +163,63 @@ def _leaves(tree, f: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
     _leaves(tree[3], f, rows[~low], out)
 
 
+def _tried(features: int) -> int:
+    return max(1, int(np.sqrt(features) * 2) if features > 4 else features)
+
+
+class _Draws:
+    """What the forest's generator draws from every state it is met in: all forests begin with the same seed, so those of many series meet the same states."""
+
+    def __init__(self, seed: int, n: int, features: int, parts: int):
+        self.rng, self.n, self.parts = np.random.RandomState(seed), n, parts
+        self.states, self.ids, self.blocks = [], {}, {}
+        room = 1024
+        self.after_tree, self.order, self.some, self.rows = np.full(room, -1), np.zeros((room, features), np.int32), np.zeros((room, parts, max(2, n * 3 // 4)), np.int32), np.zeros((room, n), np.int32)
+        self.after_node, self.tried = np.full(room, -1), np.zeros((room, _tried(features)), np.int32)
+        self._id()
+
+    _TABLES = ("after_tree", "order", "some", "rows", "after_node", "tried")
+
+    def _id(self) -> int:
+        state = self.rng.get_state()
+        block = self.blocks.setdefault(state[1].tobytes(), len(self.blocks))
+        found = self.ids.setdefault((block, state[2]), len(self.states))
+        if found == len(self.states):
+            self.states.append((block, state[2]))
+            if len(self.states) > len(self.after_tree):
+                for name in self._TABLES:
+                    old = getattr(self, name)
+                    setattr(self, name, np.concatenate([old, np.full_like(old, -1)]))
+        return found
+
+    def _at(self, state: int) -> None:
+        if not hasattr(self, "_keys") or len(self._keys) < len(self.blocks):
+            self._keys = [np.frombuffer(b, dtype=np.uint32) for b in self.blocks]
+        block, place = self.states[state]
+        self.rng.set_state(("MT19937", self._keys[block], place, 0, 0.0))
+
+    def tree(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each state the order of features, the rows of each part's axes, the rows of the tree, and the state afterwards."""
+        for state in np.unique(states[self.after_tree[states] < 0]).tolist():
+            self._at(state)
+            self.order[state] = self.rng.permutation(self.order.shape[1])
+            for part in range(self.parts):
+                self.some[state, part] = self.rng.choice(self.n, self.some.shape[2])
+            self.rows[state] = self.rng.choice(self.n, self.n)
+            after = self._id()  # may move the tables
+            self.after_tree[state] = after
+        return self.order[states], self.some[states], self.rows[states], self.after_tree[states]
+
+    def node(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each state the features that a node tries, and the state afterwards."""
+        for state in np.unique(states[self.after_node[states] < 0]).tolist():
+            self._at(state)
+            self.tried[state] = self.rng.choice(self.order.shape[1], self.tried.shape[1], replace=False)
+            after = self._id()
+            self.after_node[state] = after
+        return self.tried[states], self.after_node[states]
+
+
 class SummaryForest:
     """Summary figures of each window and a forest whose trees each see them rotated: principal axes of random groups of figures."""
 
@@ -202,6 +259,81 @@ class SummaryForest:
             votes[np.arange(len(x)), out] += 1
         return self.classes[votes.argmax(1)]
 
+    #: Training windows up to which the trees of many series are grown together; longer series keep a call of NumPy busy by themselves.
+    MANY = 128
+
+    def fit_predict_many(self, f: np.ndarray, y: np.ndarray, train: np.ndarray, test: np.ndarray) -> np.ndarray:
+        """What fit on the rows `train` and predict on `test` give for each of many feature tables (tables, rows, features) with the same labels.
+
+        The forests grow in step, a node of each at once, and draw what each would draw by itself.
+        """
+        g, h = np.ascontiguousarray(f[:, train]), np.ascontiguousarray(f[:, test])
+        classes, at = np.unique(y[train], return_inverse=True)
+        mean, std = g.mean(1, keepdims=True), g.std(1, keepdims=True)
+        scale = np.where(std < 1e-9, 1, std)
+        g, h = (g - mean) / scale, (h - mean) / scale
+        count, n, features = g.shape
+        parts = max(1, features // self.group)
+        widths = [len(part) for part in np.array_split(np.arange(features), parts)]
+        key = (self.seed, n, features, parts)
+        if getattr(SummaryForest, "_known", (None, None))[0] != key or len(SummaryForest._known[1].states) > 100_000:
+            SummaryForest._known = key, _Draws(*key)
+        draws, states, own = SummaryForest._known[1], np.zeros(count, dtype=np.int64), np.arange(count)
+        votes = np.zeros((count, h.shape[1], len(classes)))
+        for _ in range(self.trees):
+            order, some, rows, states = draws.tree(states)
+            turn, low = np.zeros((count, features, features)), 0
+            for part, width in enumerate(widths):
+                mine = order[:, low : low + width]
+                low += width
+                axes = np.ascontiguousarray(g[own[:, None, None], some[:, part][:, None, :], mine[:, :, None]]).transpose(0, 2, 1)
+                turn[own[:, None, None], mine[:, :, None], mine[:, None, :]] = np.linalg.svd(axes - axes.mean(1, keepdims=True), full_matrices=True)[2].transpose(0, 2, 1)
+            states = self._vote((g @ turn)[own[:, None], rows], at[rows], h @ turn, states, draws, votes)
+        return classes[votes.argmax(2)]
+
+    @staticmethod
+    def _vote(f, y, h, states, draws, votes) -> np.ndarray:
+        """Grows a tree a table, left before right, and counts the class that each test row ends in; the generator's states afterwards."""
+        (count, n, _), classes = f.shape, votes.shape[2]
+        kinds = np.eye(classes)[y]
+        nodes, tests = np.zeros((count, n + 1, n), dtype=bool), np.zeros((count, n + 1, h.shape[1]), dtype=bool)
+        nodes[:, 0], tests[:, 0], depth, states = True, True, np.ones(count, dtype=np.int64), states.copy()
+        while len(live := np.flatnonzero(depth)):
+            depth[live] -= 1
+            mine, theirs = nodes[live, depth[live]], tests[live, depth[live]]
+            have, size = (mine[:, :, None] * kinds[live]).sum(1), mine.sum(1)
+            ends = (have.max(1) == size) | (size < 2)
+            open_ = np.flatnonzero(~ends)
+            if len(open_):
+                at = live[open_]
+                tried, states[at] = draws.node(states[at])
+                v = np.where(mine[open_][:, :, None], f[at[:, None, None], np.arange(n)[None, :, None], tried[:, None, :]], np.inf)
+                order = np.argsort(v, axis=1, kind="stable")
+                v = np.take_along_axis(v, order, 1)
+                left = np.cumsum((mine[open_][:, :, None] * kinds[at])[np.arange(len(at))[:, None, None], order], axis=1)[:, :-1]
+                k, m = np.arange(1, n)[None, :, None], size[open_][:, None, None]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    impurity = m - (left**2).sum(3) / k - ((have[open_][:, None, None] - left) ** 2).sum(3) / (m - k)
+                impurity[(v[:, 1:] == v[:, :-1]) | (k >= m)] = np.inf
+                place = impurity.argmin(1)
+                least = np.take_along_axis(impurity, place[:, None], 1)[:, 0]
+                best, each = least.argmin(1), np.arange(len(at))
+                place, column = place[each, best], tried[each, best]
+                bar = (v[each, place, best] + v[each, np.minimum(place + 1, n - 1), best]) / 2
+                low = f[at, :, column] <= bar[:, None]
+                lows, highs = mine[open_] & low, mine[open_] & ~low
+                fine = np.isfinite(least[each, best]) & lows.any(1) & highs.any(1)
+                ends[open_[~fine]] = True
+                at, right = at[fine], h[at[fine], :, column[fine]] > bar[fine][:, None]
+                here = theirs[open_[fine]]
+                for node, test in ((highs[fine], here & right), (lows[fine], here & ~right)):
+                    nodes[at, depth[at]], tests[at, depth[at]] = node, test
+                    depth[at] += 1
+            done = np.flatnonzero(ends)
+            which, row = np.nonzero(theirs[done])
+            votes[live[done][which], row, have[done].argmax(1)[which]] += 1
+        return states
+
 
 def warped(x: np.ndarray, one: np.ndarray, band: int) -> np.ndarray:
     """Dynamic time warping distances of rows (count, channels, w) to one (channels, w) within a band; band 0 is Euclidean."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, kernels
-from .series import dealt, windows
+from .series import dealt, in_batches, windows
 
 
 def _matrix(frame: pd.DataFrame) -> np.ndarray:
@@ -103,6 +103,18 @@ def states(p: DataFrame, cps: DataFrame | None = None, **settings) -> DataFrame:
         return _rows(len(bounds) - 1, key[0], seg_id=list(range(len(bounds) - 1)), start=bounds[:-1], end=bounds[1:], state=found.segment_states)
 
     schema = "series_id string, seg_id int, start long, end long, state int"
+    w = settings.get("window_size", "suss")
+    if cps is not None and not isinstance(w, str):
+
+        def many(frame, bounds):
+            out = []
+            for names, x, at in _alike(frame, bounds):
+                for name, (found, kinds) in zip(names, classify.detect_states_many(x, at, **settings), strict=True):
+                    edges = [0, *found, x.shape[1]]
+                    out += [(name, i, edges[i], edges[i + 1], kind) for i, kind in enumerate(kinds)]
+            return pd.DataFrame(out, columns=["series_id", "seg_id", "start", "end", "state"])
+
+        return in_batches(_with_cuts(p, cps), ("cut", "t", "dim"), many, schema)
     if cps is None:
         return dealt(p, "series_id").groupBy("series_id").applyInPandas(lambda key, frame: rows(key, _matrix(frame), None), schema)
     return dealt(p, "series_id").groupBy("series_id").cogroup(dealt(cps, "series_id").groupBy("series_id")).applyInPandas(lambda key, frame, c: rows(key, _matrix(frame), sorted(c["cp"].tolist())) if len(frame) else _rows(0, key[0], seg_id=[], start=[], end=[], state=[]), schema)
@@ -111,17 +123,44 @@ def states(p: DataFrame, cps: DataFrame | None = None, **settings) -> DataFrame:
 def state_scores(p: DataFrame, cps: DataFrame, classifier: str = "rocket", window_size: int = 10, n_splits: int = 5, sample_size: int = 1000, seed: int = 2357) -> DataFrame:
     """(series_id, y_true, y_pred, n): the confusion of the cross-validated window classifier, a label a segment."""
 
-    def run(key, frame, c):
-        if not len(frame):  # change points of a series that has no points
-            return pd.DataFrame({"series_id": pd.Series([], dtype=object), **{n: pd.Series([], dtype="int64") for n in ("y_true", "y_pred", "n")}})
-        x = kernels.as_series(_matrix(frame))
-        at = sorted(c["cp"].tolist())
-        y, pred = classify.cross_validated(*classify.capped(*classify.windows_of(x, classify.dense_states(at, range(len(at) + 1), len(x)), window_size), sample_size, seed), classifier, n_splits, seed)
-        out = pd.DataFrame({"y_true": y, "y_pred": pred}).value_counts().rename("n").reset_index()
-        out.insert(0, "series_id", key[0])
-        return out
-
-    return dealt(p, "series_id").groupBy("series_id").cogroup(dealt(cps, "series_id").groupBy("series_id")).applyInPandas(run, "series_id string, y_true int, y_pred int, n long")
+    def run(frame, bounds):
+        out = [pd.DataFrame({"series_id": pd.Series([], dtype=object), **{n: pd.Series([], dtype="int64") for n in ("y_true", "y_pred", "n")}})]
+        for names, x, at in _alike(frame, bounds):
+            y, found = classify.predicted_many(x, at, window_size, classifier, n_splits, sample_size, seed)
+            kinds = len(at) + 1
+            cells, n = np.unique((np.arange(len(x))[:, None] * kinds + y[None]) * kinds + found, return_counts=True)
+            out.append(pd.DataFrame({"series_id": np.array(names, dtype=object)[cells // kinds**2], "y_true": cells // kinds % kinds, "y_pred": cells % kinds, "n": n}))
+        return pd.concat(out, ignore_index=True)
+
+    return in_batches(_with_cuts(p, cps), ("cut", "t", "dim"), run, "series_id string, y_true int, y_pred int, n long")
+
+
+def _with_cuts(p: DataFrame, cps: DataFrame) -> DataFrame:
+    """Points and change points as rows of one table."""
+    dim = F.col("dim") if "dim" in p.columns else F.lit(None)
+    points = p.select(F.col("series_id").cast("string").alias("series_id"), F.lit(False).alias("cut"), F.col("t").cast("long").alias("t"), dim.cast("int").alias("dim"), F.col("value").cast("double").alias("value"))
+    return points.unionAll(cps.select(F.col("series_id").cast("string"), F.lit(True), F.col("cp").cast("long"), F.lit(None).cast("int"), F.lit(None).cast("double")))
+
+
+def _alike(frame: pd.DataFrame, bounds: list[int]):
+    """(names, (series, n, channels), change points) of the series of a batch that have points, those of one shape and the same change points together."""
+    ids, cut, t, value = frame["series_id"].to_numpy(dtype=object), frame["cut"].to_numpy(dtype=bool), frame["t"].to_numpy(), frame["value"].to_numpy(dtype=float)
+    dim = frame["dim"].to_numpy(dtype=float)
+    groups: dict[tuple, tuple[list, list]] = {}
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        split = low + int((~cut[low:high]).sum())  # points come first
+        if split == low:
+            continue
+        x, places, channel = value[low:split], t[low:split], dim[low:split]
+        dims = 1 if channel[0] == channel[-1] or np.isnan(channel[0]) else len(np.unique(channel))
+        if not np.isnan(channel[0]) and (len(x) % dims or (channel.reshape(-1, dims) != channel[:dims]).any() or (places.reshape(-1, dims) != places[::dims, None]).any() or (np.diff(places[::dims]) == 0).any()):
+            raise ValueError("the channels of a series must hold the same points")
+        x = kernels.as_series(x.reshape(-1, dims))
+        names, series = groups.setdefault((x.shape, tuple(t[split:high].tolist())), ([], []))
+        names.append(ids[low])
+        series.append(x)
+    for (_, at), (names, series) in groups.items():
+        yield names, np.stack(series), [int(c) for c in at]
 
 
 def collapsed(labels: DataFrame) -> DataFrame:

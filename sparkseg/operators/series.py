@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +43,37 @@ def dealt(p: DataFrame, *keys: str) -> DataFrame:
     return p.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def in_batches(rows: DataFrame, order: tuple[str, ...], run: Callable[[pd.DataFrame, list[int]], pd.DataFrame], schema: str, most: int = 65_536) -> DataFrame:
+    """run(frame, bounds) on whole series at once, in order: series i lies between bounds i and i + 1.
+
+    A call by group costs more than a short series' own work, so a frame holds some `most` rows, or one series that is longer.
+    """
+
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n, whole, last = [], 0, 0, None  # frames, their rows, rows before the last series, its name
+
+        def done(frame):
+            ids = frame["series_id"].to_numpy(dtype=object)
+            return run(frame, [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)])
+
+        for frame in frames:
+            if not len(frame):
+                continue
+            ids = frame["series_id"].to_numpy(dtype=object)
+            new = np.flatnonzero(ids[1:] != ids[:-1])
+            whole = n + int(new[-1]) + 1 if len(new) else n if n and ids[0] != last else whole
+            held.append(frame)
+            n, last = n + len(frame), ids[-1]
+            if whole >= most:
+                frame = pd.concat(held, ignore_index=True)
+                yield done(frame[:whole])
+                held, n, whole = [frame[whole:].reset_index(drop=True)], n - whole, 0
+        if n:
+            yield done(pd.concat(held, ignore_index=True))
+
+    return dealt(rows, "series_id").sortWithinPartitions("series_id", *order).mapInPandas(step, schema)
+
+
 def check_series(p: DataFrame) -> DataFrame:
     """Raises TypeError unless p has the columns of points and a numeric value."""
     missing = {"series_id", "t", "value"} - set(p.columns)

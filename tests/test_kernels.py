@@ -469,3 +469,30 @@ def test_segmentation_is_the_naive_one(validation, score, early):
         assert got == want
         found += len(got)
     assert found > 3
+
+
+@pytest.mark.parametrize("classifier", ["quant", "freshprince", "dummy"])
+@pytest.mark.parametrize("n, cuts", [(64, [32]), (90, [30, 61]), (61, []), (300, [100])])
+def test_many_series_are_classified_as_each_by_itself(classifier, n, cuts):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(7, n, 2 if n == 90 else 1)).round(1 if n == 61 else 9) + (np.arange(n) >= n // 2)[None, :, None]
+    y, found = classify.predicted_many(x, cuts, 8, classifier, 5, 1000, 3)
+    for one, p in zip(x, found, strict=True):
+        windows = classify.capped(*classify.windows_of(one, classify.dense_states(cuts, range(len(cuts) + 1), n), 8), 1000, 3)
+        truth, want = classify.cross_validated(*windows, classifier, 5, 3)
+        assert truth.tolist() == y.tolist() and want.tolist() == p.tolist()
+    for one, states in zip(x, classify.detect_states_many(x, cuts, 8, classifier, random_state=3), strict=True):
+        want = classify.detect_states(one, cuts, 8, classifier, random_state=3)
+        assert states == (want.change_points, want.segment_states)
+
+
+def test_features_of_many_series_are_made_at_once(monkeypatch):
+    """Once for all series and folds: a call a series and fold was most of the time."""
+    calls = []
+    quant, forest = classify.Quantiles.features, classify.SummaryForest.features
+    monkeypatch.setattr(classify.Quantiles, "features", lambda *a: calls.append(1) or quant(*a))
+    monkeypatch.setattr(classify.SummaryForest, "features", staticmethod(lambda x: calls.append(1) or forest(x)))
+    x = np.random.default_rng(0).normal(size=(40, 64, 1))
+    for classifier in ("quant", "freshprince"):
+        classify.predicted_many(x, [32], 8, classifier, 5, 1000, 3)
+    assert len(calls) == 2

@@ -192,3 +192,34 @@ def test_stream_query_is_the_replayed_one(spark, sf_dir):
         want += len(known)
         late += len(known ^ {x for x in found if x[0] == key})
     assert want > 5 and late == 0
+
+
+def test_series_in_batches_are_whole(spark):
+    """Batches end between series, also where one is longer than a batch or its rows come in several frames."""
+    lengths = {f"s{i}": n for i, n in enumerate([3, 25_000, 1, 40, 12_000, 7, 0, 30_001])}
+    rows = spark.createDataFrame([(s, n) for s, n in lengths.items()], "series_id string, n int").select("series_id", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("t"))
+    rows = rows.unionAll(spark.createDataFrame([(None, 5)], "series_id string, t int"))
+
+    def run(frame, bounds):
+        import pandas as pd
+
+        parts = [frame[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert all(p["t"].is_monotonic_increasing for p in parts)
+        return pd.DataFrame({"series_id": [p["series_id"].iloc[0] for p in parts], "n": [len(p) for p in parts]})
+
+    for most in (10, 20_000, 10**9):
+        found = series.in_batches(rows, ("t",), run, "series_id string, n long", most).collect()
+        assert {r.series_id: r.n for r in found} == {s: n + 1 for s, n in lengths.items()} | {None: 1} and len(found) == 9
+
+
+def test_states_by_batches_hold_channels_and_gaps(spark):
+    x = np.random.default_rng(4).normal(size=(3, 120))
+    one = series.from_arrays(spark.createDataFrame([(s, v.tolist()) for s, v in zip("abc", x, strict=True)], "id string, v array<double>"), "id", "v")
+    two = one.unionAll(one.select("series_id", "t", F.lit(1).alias("dim"), (-F.col("value")).alias("value")))
+    cps = spark.createDataFrame([("a", 60), ("b", 80), ("b", 40), ("gone", 5)], "series_id string, cp long")
+    for p in (one, two, one.drop("dim")):
+        assert {(r.series_id, r.start) for r in panel.states(p, cps, window_size=8, classifier="quant").collect() if r.seg_id == 0} == {(s, 0) for s in "abc"}
+        counts = panel.state_scores(p, cps, "quant", 8).groupBy("series_id").agg(F.sum("n").alias("n"), F.max("y_true").alias("k")).collect()
+        assert {r.series_id: r.k for r in counts} == {"a": 1, "b": 2, "c": 0}
+    with pytest.raises(Exception, match="must hold the same points"):
+        panel.states(two.where("dim = 0 or t < 50"), cps, window_size=8, classifier="quant").collect()
