@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import in_batches
+
 
 def change_point_distance(truth: DataFrame, found: DataFrame, lengths: DataFrame) -> DataFrame:
     """(series_id, distance): summed distance of found change points to the nearest true one, over their number times the length; 6 places."""
@@ -37,12 +40,22 @@ def covering(truth: DataFrame, found: DataFrame, lengths: DataFrame) -> DataFram
 
 def true_positives(truth, found, margin: int = 5) -> list[int]:
     """True change points, ascending, that take a found one within the margin, the nearest (then the least) first; each is taken once."""
-    left, out = set(found), []
+    x, out, at = sorted(set(found)), [], 0
+    after, before = list(range(len(x) + 1)), list(range(len(x) + 1))  # the first free place from i on, and one more than the last free place below i
+
+    def free(links: list[int], i: int) -> int:
+        while links[i] != i:
+            links[i] = i = links[links[i]]
+        return i
+
     for t in sorted(truth):
-        close = sorted((abs(t - x), x) for x in left if abs(t - x) <= margin)
-        if close:
+        while at < len(x) and x[at] < t:
+            at += 1
+        low, high = free(before, at), free(after, at)
+        place = low - 1 if low and (high == len(x) or t - x[low - 1] <= x[high] - t) else high
+        if place < len(x) and abs(t - x[place]) <= margin:
             out.append(t)
-            left.remove(close[0][1])
+            after[place], before[place + 1] = place + 1, place
     return out
 
 
@@ -57,12 +70,35 @@ def f_of(annotations: list, predictions, margin: int = 5, alpha: float = 0.5) ->
 def f_measure(annotations: DataFrame, found: DataFrame, margin: int = 5, alpha: float = 0.5) -> DataFrame:
     """(series_id, annotator, cp) and (series_id, cp) to (series_id, f, precision, recall); a null cp is an annotator without any."""
 
-    def run(key, a, x):
-        sets = [g["cp"].dropna().astype(int).tolist() for _, g in a.groupby("annotator")]
-        f, p, r = f_of(sets or [[]], x["cp"].dropna().astype(int).tolist(), margin, alpha)
-        return pd.DataFrame({"series_id": [key[0]], "f": [f], "precision": [p], "recall": [r]})
-
-    return annotations.groupBy("series_id").cogroup(found.groupBy("series_id")).applyInPandas(run, "series_id string, f double, precision double, recall double")
+    notes = annotations.where("annotator is not null").select("series_id", F.col("annotator").cast("string").alias("annotator"), F.col("cp").cast("long").alias("cp"))
+    return f_of_marks(notes.unionAll(found.select("series_id", F.lit(None).cast("string"), F.col("cp").cast("long"))), margin, alpha)
+
+
+def f_of_marks(marks: DataFrame, margin: int = 5, alpha: float = 0.5) -> DataFrame:
+    """f_measure of one table (series_id, annotator, cp), where found change points have no annotator."""
+
+    def run(frame, bounds):
+        ids, who, cp = frame["series_id"].to_numpy(dtype=object), frame["annotator"].to_numpy(dtype=object), frame["cp"].to_numpy(dtype=float)
+        holds = ~np.isnan(cp)
+        places = np.where(holds, cp, 0).astype(np.int64).tolist()  # 0 is a change point of all
+        start = np.ones(len(frame), dtype=bool)
+        start[1:] = (who[1:] != who[:-1]) | (ids[1:] != ids[:-1])
+        runs = [*np.flatnonzero(start).tolist(), len(frame)]
+        out, i = [], 0
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            sets, found = [], []
+            while runs[i] < high:
+                part = places[runs[i] : runs[i + 1]]
+                if who[runs[i]] is None:
+                    found = part
+                else:
+                    sets.append(part)
+                i += 1
+            out.append((ids[low], *f_of(sets or [[]], found, margin, alpha)))
+        return pd.DataFrame(out, columns=["series_id", "f", "precision", "recall"])
+
+    rows = marks.select(F.col("series_id").cast("string").alias("series_id"), F.col("annotator").cast("string").alias("annotator"), F.col("cp").cast("long").alias("cp"))
+    return in_batches(rows, ("annotator",), run, "series_id string, f double, precision double, recall double")
 
 
 def adjusted_mutual_information(counts: list[tuple[int, int, int]]) -> float:

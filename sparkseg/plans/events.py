@@ -322,10 +322,10 @@ def state_scores(spark, sf_dir):
 def f_measure(spark, sf_dir):
     """Price jumps against two annotators: changes of status, and of priority."""
     p = ordered(spark, sf_dir)
-    notes = _changes(p, "status <> status0").withColumn("annotator", F.lit(0)).unionAll(_changes(p, "priority <> priority0").withColumn("annotator", F.lit(1)))
-    notes = notes.unionAll(p.where("t = 0").select("series_id", F.lit(None).cast("long"), F.explode(F.array(F.lit(0), F.lit(1)))))  # an annotator without any change still counts
-    found = _changes(p, "abs(price - price0) > 200000").unionAll(p.where("t = 0").select("series_id", F.lit(None).cast("long")))
-    return metrics.f_measure(notes, found, 1).select("series_id", *(F.round(c, 9).alias(c) for c in ("f", "precision", "recall")))
+    # an annotator without any change still counts
+    mark = lambda who, changed: F.when(F.expr(f"t = 0 or {changed}"), F.struct(F.lit(who).cast("string").alias("annotator"), F.when(F.col("t") > 0, F.col("t")).alias("cp")))
+    marks = p.select("series_id", F.explode(F.array(mark(0, "status <> status0"), mark(1, "priority <> priority0"), mark(None, "abs(price - price0) > 200000"))).alias("m")).where("m is not null").select("series_id", "m.annotator", "m.cp")
+    return metrics.f_of_marks(marks, 1).select("series_id", *(F.round(c, 9).alias(c) for c in ("f", "precision", "recall")))
 
 
 def guessed():

@@ -223,3 +223,24 @@ def test_states_by_batches_hold_channels_and_gaps(spark):
         assert {r.series_id: r.k for r in counts} == {"a": 1, "b": 2, "c": 0}
     with pytest.raises(Exception, match="must hold the same points"):
         panel.states(two.where("dim = 0 or t < 50"), cps, window_size=8, classifier="quant").collect()
+
+
+def test_true_positives_are_the_naive_ones_and_linear(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a, b, margin = rng.integers(0, 30, rng.integers(0, 20)).tolist(), rng.integers(0, 30, rng.integers(0, 20)).tolist(), int(rng.choice([0, 1, 2, 5, 100]))
+        left, want = set(b), []
+        for t in sorted(a):
+            close = sorted((abs(t - x), x) for x in left if abs(t - x) <= margin)
+            if close:
+                want.append(t)
+                left.remove(close[0][1])
+        assert metrics.true_positives(a, b, margin) == want
+    # one series of very many change points: pairing them all would not end
+    many = spark.range(300_000).select(F.lit("a").alias("series_id"), (F.col("id") + 1).alias("cp"))
+    f = metrics.f_measure(many.withColumn("annotator", F.lit("x")), many.where("cp % 3 = 0"), 0).first()
+    assert (f.precision, f.recall) == (1, pytest.approx(100_001 / 300_001))
+    # series with only annotations, only found ones, and annotators without any
+    notes = spark.createDataFrame([("a", 1, 4), ("a", 2, None), ("n", 1, None), (None, 1, 7)], "series_id string, annotator int, cp long")
+    found = spark.createDataFrame([("a", 5), ("f", 3), (None, 7)], "series_id string, cp long")
+    assert {r.series_id: (r.precision, r.recall) for r in metrics.f_measure(notes, found, 1).collect()} == {"a": (1, 1), "n": (1, 1), "f": (0.5, 1), None: (1, 1)}
