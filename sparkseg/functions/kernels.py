@@ -147,12 +147,12 @@ def neighbours(series: np.ndarray, w: int, k: int, distance: str = "znormed_eucl
 def majority_threshold(offsets: np.ndarray) -> np.ndarray:
     """t with: most neighbours lie at or after split s if and only if t >= s."""
     k = offsets.shape[1]
-    return np.sort(offsets, axis=1)[:, k - (k // 2 + 1)]
+    return offsets[:, 0] if k == 1 else np.sort(offsets, axis=1)[:, k - (k // 2 + 1)]
 
 
 def _reverse_count(at: np.ndarray, l: int) -> np.ndarray:
     """How many values are s or more, for s in 0 .. l-1."""
-    return np.cumsum(np.bincount(np.clip(at, 0, l), minlength=l + 1)[::-1])[::-1][:l]
+    return np.bincount(np.minimum(np.maximum(at, 0), l), minlength=l + 1)[::-1].cumsum()[::-1][:l]
 
 
 def f1_of(tp, fp, fn, tn):
@@ -218,12 +218,9 @@ def stream_profile(offsets: np.ndarray, w: int, m: int, score: str = "f1") -> np
 def _zone(t: np.ndarray, l: int, w: int) -> np.ndarray:
     """For each s: windows i in [s, s + w) with t_i >= s."""
     i = np.arange(l)
-    change = np.zeros(l + 2, dtype=np.int64)
     low, high = np.maximum(0, i - w + 1), np.minimum(i, t)  # i is counted for s in low .. min(i, t)
     some = high >= low
-    np.add.at(change, low[some], 1)
-    np.add.at(change, high[some] + 1, -1)
-    return np.cumsum(change)[:l]
+    return (np.bincount(low[some], minlength=l + 2) - np.bincount(high[some] + 1, minlength=l + 2)).cumsum()[:l]
 
 
 def rank_sum_z(left0: float, left1: float, n1: float, zeros: float, n: float) -> float:

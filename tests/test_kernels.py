@@ -498,3 +498,19 @@ def test_features_of_many_series_are_made_at_once(monkeypatch):
     for classifier in ("quant", "freshprince"):
         classify.predicted_many(x, [32], 8, classifier, 5, 1000, 3)
     assert len(calls) == 2
+
+
+def test_online_state_is_plain_arrays_behind_a_head():
+    """No archive of files in each state: packing and reading one took longer than 15 points of the stream."""
+    import io
+
+    model = OnlineSegmentation(n_timepoints=48, window_size=5)
+    for v in np.random.default_rng(0).normal(size=100):
+        model.update(v)
+    blob = model.dump()
+    arrays = sum(v.nbytes for v in model.stream.arrays().values()) + model._best.nbytes
+    assert arrays < len(blob) < arrays + 1200 and OnlineSegmentation.load(blob).dump() == blob
+    old = io.BytesIO()
+    np.savez(old, head=np.frombuffer(b'{"format": 1}', np.uint8))
+    with pytest.raises(ValueError):
+        OnlineSegmentation.load(old.getvalue())
