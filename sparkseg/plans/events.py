@@ -11,7 +11,7 @@ from ..functions import kernels
 from ..operators import metrics, panel
 from ..operators import neighbours as nb
 from ..operators import series as se
-from ..streaming.online import OnlineSegmentation
+from ..streaming.online import replayed
 
 W, K, M = 12, 3, 60
 EUCLID = "euclidean_distance"
@@ -213,12 +213,18 @@ def stream_replay(spark, sf_dir):
     """The online segmentation over stored series, point by point: what a stream of them would have made known."""
     p = vectors(spark, sf_dir).unionByName(hourly(spark, sf_dir).withColumn("value", F.col("value").cast("double")))
 
-    def run(key, frame):
-        model = OnlineSegmentation(n_timepoints=min(600, max(60, len(frame))), window_size=5)
-        known = sum(model.update(v) for v in frame.sort_values("t")["value"].tolist())
-        return pd.DataFrame({"series_id": [key[0]], "n": [len(frame)], "n_change_points": [int(known)], "last_cp": [model.last_cp]})
-
-    return se.dealt(p, "series_id").groupBy("series_id").applyInPandas(run, "series_id string, n long, n_change_points long, last_cp long")
+    def run(frame, bounds):
+        ids, value, alike = frame["series_id"].to_numpy(dtype=object), frame["value"].to_numpy(dtype=float), {}
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            alike.setdefault(high - low, []).append(low)
+        out = []
+        for n, starts in alike.items():
+            for some in np.array_split(starts, -(-len(starts) * n // 65_536)):
+                found = replayed(np.stack([value[i : i + n] for i in some]), n_timepoints=min(600, max(60, n)), window_size=5)
+                out += [(ids[i], n, *f) for i, f in zip(some, found, strict=True)]
+        return pd.DataFrame(out, columns=["series_id", "n", "n_change_points", "last_cp"])
+
+    return se.in_batches(p.select("series_id", "t", "value"), ("t",), run, "series_id string, n long, n_change_points long, last_cp long")
 
 
 def channels(spark, sf_dir) -> DataFrame:

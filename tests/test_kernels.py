@@ -514,3 +514,29 @@ def test_online_state_is_plain_arrays_behind_a_head():
     np.savez(old, head=np.frombuffer(b'{"format": 1}', np.uint8))
     with pytest.raises(ValueError):
         OnlineSegmentation.load(old.getvalue())
+
+
+@pytest.mark.parametrize("n, w, k", [(64, 5, 3), (300, 20, 3), (400, 9, 1), (130, 8, 2)])
+def test_series_without_a_change_take_the_steps_of_one(n, w, k):
+    rng = np.random.default_rng(n)
+    x = rng.integers(0, 3, (3, n)).astype(float) if n == 130 else rng.normal(size=(3, n))
+    each = [online.OnlineNeighbours(n, w, k) for _ in x]
+    for seen, offsets in online._quiet_offsets(x, w, k):
+        for i, one in enumerate(each):
+            one.update(x[i, seen - 1])
+            assert offsets is None or offsets[i].tolist() == one.offsets().tolist()
+
+
+def test_replay_of_many_series_is_the_one_of_each(monkeypatch):
+    rng = np.random.default_rng(3)
+    quiet, t = rng.normal(size=(30, 600)), np.arange(300)
+    loud = np.concatenate([np.sin(t / 4), np.sign(np.sin(t / 7))]) + rng.normal(0, 0.05, (2, 600))
+    x, want, made = np.concatenate([quiet, loud]), [], []
+    for v in x[[0, 30, 31]]:
+        model = OnlineSegmentation(n_timepoints=600, window_size=20)
+        want.append((sum(model.update(a) for a in v), model.last_cp))
+    update = OnlineSegmentation.update
+    monkeypatch.setattr(OnlineSegmentation, "update", lambda self, v: made.append(1) or update(self, v))
+    found = online.replayed(x, n_timepoints=600, window_size=20)
+    assert [found[0], *found[30:]] == want and want[1][0] == 1 and found[:30] == [(0, 0)] * 30
+    assert len(made) == 2 * 600  # point by point only where there is a change
